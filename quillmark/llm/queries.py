@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from quillmark.llm import language
+from quillmark.llm import language, packing
 
-QUERIES = {"op3_language_id": language.op3_language_id}
+QUERIES = {"op3_language_id": language.op3_language_id, "op10_packing": packing.op10_packing}
 ORACLES: dict[str, str] = {}
