@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from quillmark.llm import language, minhash, packing
+from quillmark.llm import language, minhash, packing, secrets
 
-QUERIES = {"op2_minhash": minhash.op2_minhash, "op3_language_id": language.op3_language_id, "op10_packing": packing.op10_packing}
-ORACLES: dict[str, str] = {}
+QUERIES = {"op6_secrets": secrets.op6_secrets, "op2_minhash": minhash.op2_minhash, "op3_language_id": language.op3_language_id, "op10_packing": packing.op10_packing}
+ORACLES: dict[str, str] = {"op6_secrets": secrets.ORACLE}
