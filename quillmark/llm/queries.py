@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from quillmark.llm import language, minhash, packing, secrets, topk
+from quillmark.llm import decontaminate, language, minhash, packing, secrets, topk
 
-QUERIES = {"op9_topk": topk.op9_topk, "op6_secrets": secrets.op6_secrets, "op2_minhash": minhash.op2_minhash, "op3_language_id": language.op3_language_id, "op10_packing": packing.op10_packing}
+QUERIES = {"op4_decontaminate": decontaminate.op4_decontaminate, "op9_topk": topk.op9_topk, "op6_secrets": secrets.op6_secrets, "op2_minhash": minhash.op2_minhash, "op3_language_id": language.op3_language_id, "op10_packing": packing.op10_packing}
 ORACLES: dict[str, str] = {"op6_secrets": secrets.ORACLE, "op9_topk": topk.ORACLE}
