@@ -231,5 +231,19 @@ def classes(docs: DataFrame) -> DataFrame:
     return found.unionByName(nulls)
 
 
+def one_of_each(docs: DataFrame) -> DataFrame:
+    """Pipeline stage: the document of smallest doc_id of each class, all columns unchanged.
+
+    Of several rows with its doc_id one stays. Rows with a null doc_id stay.
+    """
+    found = classes(docs).where("class_id <> doc_id").select(F.col("doc_id").alias("__gone")).distinct()
+    gone = S.materialize(found, "gone")
+    kept = docs.join(gone, docs["doc_id"] == gone["__gone"], "left_anti")
+    if docs.where(F.col("doc_id").isNotNull()).groupBy("doc_id").count().where("count > 1").limit(1).count():
+        nulls = kept.where(F.col("doc_id").isNull())
+        kept = kept.where(F.col("doc_id").isNotNull()).dropDuplicates(["doc_id"]).unionByName(nulls)
+    return kept
+
+
 def op2_minhash(spark, sf_dir: str) -> DataFrame:
     return classes(S.read(spark, sf_dir, "documents")).withColumn("kept", F.col("doc_id") == F.col("class_id"))
