@@ -2,5 +2,7 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict[str, str] = {}
+from quillmark.plans import search_queries
+
+QUERIES: dict = {**search_queries.QUERIES}
+ORACLES: dict[str, str] = {**search_queries.ORACLES}
