@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from quillmark.plans import search_queries
+from quillmark.plans import archive_queries, search_queries
 
-QUERIES: dict = {**search_queries.QUERIES}
-ORACLES: dict[str, str] = {**search_queries.ORACLES}
+#: ``archive_queries`` registers into the same tables.
+QUERIES: dict = search_queries.QUERIES
+ORACLES: dict[str, str] = search_queries.ORACLES
+__all__ = ["ORACLES", "QUERIES", "archive_queries"]
