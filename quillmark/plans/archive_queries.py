@@ -288,7 +288,7 @@ def latest_job_state(spark, sf_dir) -> DataFrame:
 
 
 @query(f"""SELECT line_id, CASE WHEN e.doc_id IS NOT NULL THEN trim('Neu: ' || text) ELSE text END AS text, e.doc_id IS NOT NULL AS manually_corrected,
-    CASE WHEN e.doc_id IS NOT NULL THEN {text.normalize_sql('trim('Neu: ' || text)')} ELSE {text.normalize_sql('text')} END AS normalized
+    CASE WHEN e.doc_id IS NOT NULL THEN {text.normalize_sql("trim('Neu: ' || text)")} ELSE {text.normalize_sql('text')} END AS normalized
     FROM ({LINES}) l LEFT JOIN (SELECT DISTINCT doc_id FROM labels WHERE quality = 0) e USING (doc_id)""")
 def edits_overlay(spark, sf_dir) -> DataFrame:
     lines = corpus.indexed_lines(spark, sf_dir)
