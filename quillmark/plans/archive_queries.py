@@ -67,12 +67,12 @@ def _best(spark, sf_dir) -> DataFrame:
 # ------------------------------------------------------------ recognition
 
 
-@query(f"""SELECT document_id, page_index, (row_number() OVER (PARTITION BY document_id, page_index ORDER BY y1, x1, line_order) - 1)::INT AS line_order, text, round(confidence, 6) AS confidence, x1, y1, x2, y2 FROM (
+@query(f"""SELECT document_id, page_index, (row_number() OVER (PARTITION BY document_id, page_index ORDER BY y1, x1, line_order) - 1)::INT AS line_order, text, round(confidence, 8) AS confidence, x1, y1, x2, y2 FROM (
     SELECT document_id, page_index, line_order, string_agg(text, ' ' ORDER BY word) AS text, least(1.0::DOUBLE, coalesce(avg(confidence) FILTER (WHERE confidence >= 0) / 100, 0)) AS confidence,
       min(x1)::INT AS x1, min(y1)::INT AS y1, max(x2)::INT AS x2, max(y2)::INT AS y2 FROM ({WORDS_SQL}) WHERE trim(text) <> '' GROUP BY ALL)""")
 def word_grouping(spark, sf_dir) -> DataFrame:
     found = recognition.lines_of_words(words(spark, sf_dir), PAGE)
-    return found.select(*PAGE, "line_order", "text", F.round("confidence", 6).alias("confidence"), "x1", "y1", "x2", "y2")
+    return found.select(*PAGE, "line_order", "text", F.round("confidence", 8).alias("confidence"), "x1", "y1", "x2", "y2")
 
 
 @query(f"SELECT document_id, page_index, round(avg(confidence), 6) AS mean_confidence FROM ({LINES}) GROUP BY ALL")

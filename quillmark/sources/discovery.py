@@ -61,5 +61,5 @@ def load_images(spark: SparkSession, folder: str) -> DataFrame:
 
     Multi-page TIFF, PDF and HEIC need decoders that are not bundled.
     """
-    rows = spark.read.format("image").option("recursiveFileLookup", "true").load(folder).select("image.*")
+    rows = spark.read.format("image").option("recursiveFileLookup", "true").option("dropInvalid", "true").load(folder).select("image.*")
     return rows.select(F.col("origin").alias("path"), "width", "height", F.col("nChannels").alias("channels"), "data")
