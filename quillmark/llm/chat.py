@@ -136,3 +136,31 @@ def conversations(messages: DataFrame) -> DataFrame:
 
 def op7_chat(spark, sf_dir: str) -> DataFrame:
     return conversations(S.read(spark, sf_dir, "conversations"))
+
+
+def _oracle() -> str:
+    said = lambda x: rf"trim(regexp_replace(lower({x}), '\s+', ' ', 'g'))"
+    marks = MARKS.replace("'", "''")
+    return rf"""
+    WITH RECURSIVE m AS (SELECT row_number() OVER () AS id, conv_id, turn, role, text, string_split_regex(coalesce(text, ''), '\r?\n') AS ls,
+      coalesce(regexp_matches(text, '(?m)^[ \t]*>'), false) AS q FROM conversations),
+    l AS (SELECT id, conv_id, turn, i, length(regexp_replace(regexp_extract(x, '{marks}'), '[^>]', '', 'g')) AS level, regexp_replace(x, '{marks}[ \t]?', '') AS body
+      FROM (SELECT id, conv_id, turn, unnest(ls) AS x, unnest(range(1, len(ls) + 1)) AS i FROM m WHERE q)),
+    n AS (SELECT *, coalesce(lead(level) OVER w, 0) AS following, CASE WHEN lag(level) OVER w = level THEN 0 ELSE 1 END AS new FROM l WINDOW w AS (PARTITION BY id ORDER BY i)),
+    kept AS (SELECT id, string_agg(body, chr(10) ORDER BY i) AS t FROM n WHERE level = 0 AND NOT (regexp_matches(body, '{ATTRIBUTION}') AND following > 0) GROUP BY id),
+    r AS (SELECT id, conv_id, turn, role, trim(regexp_replace(CASE WHEN q THEN coalesce(t, '') ELSE coalesce(text, '') END, '^\s+|\s+$', '', 'g')) AS own FROM m LEFT JOIN kept USING (id)),
+    p AS (SELECT *, sum(new) OVER (PARTITION BY id ORDER BY i) AS passage FROM n),
+    units AS (SELECT conv_id, turn, level, {said('body')} AS b FROM p WHERE level > 0
+      UNION ALL SELECT conv_id, turn, level, {said("string_agg(body, ' ' ORDER BY i)")} FROM p WHERE level > 0 GROUP BY conv_id, turn, level, passage HAVING count(*) > 1),
+    origin AS (SELECT conv_id, b, min(turn) AS first FROM (SELECT conv_id, turn, {said('part')} AS b FROM (
+      SELECT conv_id, turn, unnest(string_split(own, chr(10)) || string_split_regex(own, '\n\s*\n') || [own]) AS part FROM r)) WHERE b <> '' GROUP BY conv_id, b),
+    f AS (SELECT u.conv_id, u.turn, o.first, min(level) AS level, sum(length(u.b)) AS size FROM units u JOIN origin o ON o.conv_id = u.conv_id AND o.b = u.b AND o.first < u.turn GROUP BY ALL),
+    link AS (SELECT conv_id, turn, first AS parent FROM f QUALIFY row_number() OVER (PARTITION BY conv_id, turn ORDER BY level, size DESC, first DESC) = 1),
+    th AS (SELECT DISTINCT conv_id, turn, turn AS root, 0 AS depth FROM r ANTI JOIN link USING (conv_id, turn)
+      UNION ALL SELECT link.conv_id, link.turn, th.root, th.depth + 1 FROM th JOIN link ON link.conv_id = th.conv_id AND link.parent = th.turn)
+    SELECT r.conv_id, r.turn, role, own AS text, parent AS parent_turn, root AS root_turn, depth::BIGINT AS depth,
+      (rank() OVER (PARTITION BY r.conv_id ORDER BY root, r.turn) - 1)::BIGINT AS position
+    FROM r JOIN th ON th.conv_id = r.conv_id AND th.turn = r.turn LEFT JOIN link ON link.conv_id = r.conv_id AND link.turn = r.turn"""
+
+
+ORACLE = _oracle()

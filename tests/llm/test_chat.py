@@ -40,3 +40,27 @@ def test_long_threads_need_few_rounds(spark):
     rows = [(1, 0, "user", "line number 0")] + [(1, t, "user", f"> line number {t - 1}\nline number {t}") for t in range(1, 40)]
     found = run(spark, rows)
     assert [r.depth for r in found] == list(range(40)) and {r.root_turn for r in found} == {0}
+
+
+def test_equals_its_sql(spark, tmp_path):
+    import random
+
+    import duckdb
+
+    rng = random.Random(3)
+    rows = []
+    for conv in range(25):
+        said = []
+        for turn in range(rng.randint(1, 9)):
+            own = " ".join(rng.choices(["tea", "Bread", "and", "milk?"], k=rng.randint(1, 4))) + rng.choice(["", "\nmore  lines", "\n\nA paragraph"])
+            quoted = ""
+            if said and rng.random() < 0.6:
+                source = rng.choice(said)
+                quoted = rng.choice(["", "Bob wrote:\n"]) + "\n".join(rng.choice(["> ", ">", ">> "]) + x for x in source.split("\n")[: rng.randint(1, 3)]) + "\n"
+            rows.append((conv, turn, "user", quoted + own))
+            said.append(own)
+    spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").coalesce(1).write.parquet(f"{tmp_path}/conversations.parquet")
+    found = sorted(map(str, (tuple(r) for r in chat.op7_chat(spark, str(tmp_path)).collect())))
+    c = duckdb.connect()
+    c.execute(f"create view conversations as select * from '{tmp_path}/conversations.parquet/*.parquet'")
+    assert found == sorted(map(str, c.execute(chat.ORACLE).fetchall()))
