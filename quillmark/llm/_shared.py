@@ -126,13 +126,20 @@ def _powers(name: str, base: np.uint64, n: int) -> np.ndarray:
     return have
 
 
+def scattered(points: np.ndarray) -> np.ndarray:
+    """A random-looking 64-bit number for each code point."""
+    if "scattered" not in _TABLES:
+        _TABLES["scattered"] = mix(np.arange(0x110000, dtype=U64) + _P1)
+    return _TABLES["scattered"][points]
+
+
 class Rolling:
-    """Hashes of any substrings of one array, after one pass over it (polynomial modulo 2^64)."""
+    """Hashes of any substrings of an array of code points, after one pass over it (polynomial modulo 2^64)."""
 
-    def __init__(self, values: np.ndarray):
-        n = len(values)
+    def __init__(self, points: np.ndarray):
+        n = len(points)
         self.sums = np.zeros(n + 1, U64)
-        np.cumsum(mix(values.astype(U64) + _P1) * _powers("base", _BASE, n + 1)[:n], out=self.sums[1:])
+        np.cumsum(scattered(points) * _powers("base", _BASE, n + 1)[:n], out=self.sums[1:])
         self.inverse = _powers("inverse", _INVERSE, n + 1)
 
     def __call__(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:

@@ -38,14 +38,16 @@ class Lines:
     def __init__(self, texts: list[str], least: int):
         self.points, offsets = S.code_points(texts)
         breaks = np.flatnonzero(self.points == 10)
-        start = np.concatenate((offsets[:-1], breaks + 1))
-        end = np.concatenate((breaks, offsets[1:]))
-        text = np.concatenate((np.arange(len(texts)), np.searchsorted(offsets, breaks, side="right") - 1))
-        order = np.lexsort((start, text))
-        self.start, self.text = start[order], text[order]
-        self.end = np.sort(end)
-        first = np.searchsorted(self.text, np.arange(len(texts)))
-        self.number = np.arange(len(self.text)) - first[self.text]
+        inside = np.searchsorted(breaks, offsets)  # line feeds before each text
+        count = np.diff(inside) + 1
+        self.text = np.repeat(np.arange(len(texts)), count)
+        self.number = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
+        self.start = np.zeros(count.sum(), np.int64)
+        self.start[self.number == 0], self.start[self.number > 0] = offsets[:-1], breaks + 1
+        self.end = np.zeros(count.sum(), np.int64)
+        last = np.cumsum(count) - 1
+        self.end[last] = offsets[1:]
+        self.end[np.setdiff1d(np.arange(count.sum()), last, assume_unique=True)] = breaks
         self._take(self.end - self.start >= least)
 
     def _take(self, keep: np.ndarray) -> None:
@@ -60,17 +62,20 @@ class Lines:
         return how.reduceat(np.append(values, values.dtype.type(0)), cuts)[::2]
 
     def second(self) -> np.ndarray:
-        """Another hash, so that two different lines are never taken as equal."""
-        place = np.zeros(len(self.points), np.int64)
-        place[self.start] = self.start
-        place = np.arange(len(self.points)) - np.maximum.accumulate(place)
-        return self._reduce(np.add, S.mix(self.points.astype(_U) * _A + place.astype(_U) * _B)) if len(self.start) else np.zeros(0, _U)
+        """Another hash, so that two different lines are never taken as equal: characters weighted by place."""
+        value = S.scattered(self.points)
+        odd = 2 * np.arange(len(self.points), dtype=_U) + _U(1)
+        plain, placed = np.zeros(len(value) + 1, _U), np.zeros(len(value) + 1, _U)
+        np.cumsum(value, out=plain[1:])
+        np.cumsum(value * odd, out=placed[1:])
+        start = self.start.astype(_U)
+        return S.mix(placed[self.end] - placed[self.start] - 2 * start * (plain[self.end] - plain[self.start]))
 
     def sketch(self) -> np.ndarray:
         """Parity of 64 character classes: an edit changes two bits at most."""
         if not len(self.start):
             return np.zeros(0, _U)
-        return self._reduce(np.bitwise_xor, _U(1) << (S.mix(self.points.astype(_U)) & _U(63)))
+        return self._reduce(np.bitwise_xor, _U(1) << (S.scattered(self.points) & _U(63)))
 
 
 def segment(length: np.ndarray, t: int, i: int) -> tuple[np.ndarray, np.ndarray]:
