@@ -45,7 +45,8 @@ def year_words(year: Column) -> Column:
     return F.when(year.between(1800, 1999), F.concat(century, F.when(ending == "", "").otherwise(F.concat(F.lit(" und "), ending))))
 
 
-def _reading(model: Column = None) -> Column:
+def _reading() -> Column:
+    """The line as it was read, as an alternative."""
     return F.array(F.struct(F.col("text").alias("text"), F.col("model").alias("model"), F.col("confidence").alias("confidence")))
 
 
