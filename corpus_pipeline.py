@@ -10,16 +10,19 @@ from quillmark.llm import decontaminate, language, lines, minhash, packing
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in some known language; those without letters or without any known n-gram go."""
+    S.small_batches(spark)
     return language.keep_determined(docs, language.fit(language.training_rows(docs)))
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without lines that an earlier line equals or nearly equals."""
+    S.small_batches(spark)
     return lines.without_repeated(docs)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each near-duplicate class."""
+    S.small_batches(spark)
     return minhash.one_of_each(docs)
 
 
@@ -30,6 +33,7 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token pieces with their sequences and offsets."""
+    S.small_batches(spark)
     return packing.pack(docs, packing.tokenizer_path())
 
 

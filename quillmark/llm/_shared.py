@@ -11,8 +11,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Code points handled at once by the vectorised kernels; bounds Python memory.
-CHUNK_CHARS = 1_000_000
+#: Bytes of text handled at once by the vectorised kernels, and rows in an Arrow batch; both bound Python memory.
+CHUNK_CHARS = 500_000
+BATCH_ROWS = 1000
 
 U64 = np.uint64
 _P1 = U64(0x9E3779B97F4A7C15)
@@ -47,7 +48,15 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Keeps Arrow batches of long texts small, where the session has Spark's default of 10,000 rows."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(name) == "10000":
+        spark.conf.set(name, str(BATCH_ROWS))
+
+
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
+    small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
@@ -59,6 +68,16 @@ def crc_mod(column: str, modulus: int):
 # ---------------------------------------------------------------- batches
 
 
+def _tidy() -> None:
+    """Gives freed memory back: workers live long and change operators."""
+    if "trim" not in _TABLES:
+        import ctypes
+
+        _TABLES["trim"] = getattr(ctypes.CDLL(None), "malloc_trim", lambda _: 0)
+    _TABLES["trim"](0)
+    pa.default_memory_pool().release_unused()
+
+
 def slices(batch: pa.RecordBatch, column: str, limit: int = CHUNK_CHARS) -> Iterator[pa.RecordBatch]:
     """Zero-copy slices of an Arrow batch whose texts sum to about ``limit`` bytes each."""
     import pyarrow.compute as pc
@@ -70,6 +89,7 @@ def slices(batch: pa.RecordBatch, column: str, limit: int = CHUNK_CHARS) -> Iter
     cuts = [0, *(np.flatnonzero(np.diff(group)) + 1).tolist(), len(sizes)]
     for a, b in zip(cuts, cuts[1:], strict=False):
         yield batch.slice(a, b - a)
+    _tidy()
 
 
 def code_points(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -79,7 +99,7 @@ def code_points(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), "<u4"), offsets
 
 
-_TABLES: dict[str, np.ndarray] = {}
+_TABLES: dict = {}
 
 #: Classes of a code point.
 OTHER, LETTER, NUMBER, SPACE = 0, 1, 2, 3

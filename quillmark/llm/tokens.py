@@ -16,7 +16,7 @@ import numpy as np
 from quillmark.llm import _shared as S
 
 #: Distinct pre-tokens remembered in a worker; the memory is cleared beyond it.
-CACHE = 600_000
+CACHE = 250_000
 #: The contractions that the pre-tokenizer's pattern splits off.
 CONTRACTIONS = ("s", "t", "re", "ve", "m", "ll", "d")
 
