@@ -20,7 +20,7 @@ from quillmark.llm import _shared as S
 #: Edits up to which lines are alike, and characters below which a line is never touched.
 DISTANCE, MIN_CHARS = 2, 20
 #: Line hashes a task remembers to emit a repeated line once; forgotten beyond it.
-REMEMBERED = 500_000
+REMEMBERED = 200_000
 #: Keys of many lines are found on this share of the documents, from so many lines on, so many at most.
 #: They are split by the lines' character sketches, which changes the work and never the result.
 SAMPLE, HOT_LINES, HOT_KEYS = 16, 8, 20_000
@@ -72,10 +72,10 @@ class Lines:
         return S.mix(placed[self.end] - placed[self.start] - 2 * start * (plain[self.end] - plain[self.start]))
 
     def sketch(self) -> np.ndarray:
-        """Parity of 64 character classes: an edit changes two bits at most."""
+        """Parity of 63 character classes: an edit changes two bits at most. The top bit stays 0."""
         if not len(self.start):
             return np.zeros(0, _U)
-        return self._reduce(np.bitwise_xor, _U(1) << (S.scattered(self.points) & _U(63)))
+        return self._reduce(np.bitwise_xor, _U(1) << np.minimum(S.scattered(self.points) & _U(63), _U(62)))
 
 
 def segment(length: np.ndarray, t: int, i: int) -> tuple[np.ndarray, np.ndarray]:
@@ -91,15 +91,15 @@ def index_keys(rolling: S.Rolling, start: np.ndarray, length: np.ndarray, t: int
         yield _key(rolling(start + at, start + at + size), length, i)
 
 
-def probe_keys(rolling: S.Rolling, start: np.ndarray, length: np.ndarray, t: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Pairs of valid rows and their keys, for every shorter length and possible offset of each segment."""
+def probe_keys(rolling: S.Rolling, start: np.ndarray, length: np.ndarray, t: int) -> Iterator[tuple[np.ndarray, np.ndarray, bool]]:
+    """Valid rows, their keys and whether lengths are equal, for every shorter length and possible offset of each segment."""
     for shorter in range(t + 1):
         for i in range(t + 1):
             at, size = segment(length - shorter, t, i)
             for shift in range(max(-i, shorter - (t - i)), min(i, shorter + (t - i)) + 1):
                 fine = np.flatnonzero((at + shift >= 0) & (at + shift + size <= length) & (length > shorter))
                 a = (start + at + shift)[fine]
-                yield fine, _key(rolling(a, a + size[fine]), (length - shorter)[fine], i)
+                yield fine, _key(rolling(a, a + size[fine]), (length - shorter)[fine], i), shorter == 0
 
 
 def _key(hashes: np.ndarray, length: np.ndarray, i: int) -> np.ndarray:
@@ -202,7 +202,7 @@ def hot_keys(docs: DataFrame, t: int, least: int) -> np.ndarray:
 
 
 def keyed(docs: DataFrame, t: int, least: int, hot: np.ndarray, probe: bool) -> DataFrame:
-    """key, h, sketch: the index rows of every distinct line, or its probes.
+    """key, h, sketch: the index rows of every distinct line, or its probes (top bit: for its own length).
 
     A hot key goes out once for each of 2t + 1 parts of the sketch: lines within
     distance t differ in at most 2t of its bits, so some part is equal.
@@ -218,8 +218,9 @@ def keyed(docs: DataFrame, t: int, least: int, hot: np.ndarray, probe: bool) ->
         if probe:
             found = [*probe_keys(rolling, lines.start, length, t)]
         else:
-            found = [(np.arange(len(h)), k) for k in index_keys(rolling, lines.start, length, t)]
+            found = [(np.arange(len(h)), k, False) for k in index_keys(rolling, lines.start, length, t)]
         row, key = np.concatenate([f[0] for f in found]), np.concatenate([f[1] for f in found])
+        same = np.repeat([f[2] for f in found], [len(f[0]) for f in found])
         if len(hot):
             is_hot = np.isin(key, hot)
             r, k = row[is_hot], key[is_hot]
@@ -228,7 +229,8 @@ def keyed(docs: DataFrame, t: int, least: int, hot: np.ndarray, probe: bool) ->
                 bits = (sketch[r] >> _U(a)) & _U((1 << (b - a)) - 1)
                 parts.append(S.mix(k ^ S.mix(bits + _U((n + 1) << 60))))
             row, key = np.concatenate((row[~is_hot], *[r] * len(parts))), np.concatenate((key[~is_hot], *parts))
-        return [key, h[row], sketch[row]]
+            same = np.concatenate((same[~is_hot], *[same[is_hot]] * len(parts)))
+        return [key, h[row], sketch[row] | same.astype(_U) << _U(63)]
 
     return _mapped(docs, "key long, h long, sketch long", make)
 
@@ -241,7 +243,10 @@ def near_pairs(docs: DataFrame, seen_lines: DataFrame, t: int = DISTANCE, least:
     hot = hot_keys(docs, t, least)
     index = keyed(docs, t, least, hot, probe=False).alias("i")
     probe = keyed(docs, t, least, hot, probe=True).alias("p")
-    near = (F.col("i.h") != F.col("p.h")) & (F.bit_count(F.col("i.sketch").bitwiseXOR(F.col("p.sketch"))) <= 2 * t)
+    # lines of one length find each other twice, of different lengths once
+    once = (F.col("i.h") < F.col("p.h")) | ((F.col("p.sketch") >= 0) & (F.col("i.h") != F.col("p.h")))
+    differ = F.col("i.sketch").bitwiseXOR(F.col("p.sketch")).bitwiseAND(F.lit((1 << 63) - 1))
+    near = once & (F.bit_count(differ) <= 2 * t)
     joined = index.join(probe, (F.col("i.key") == F.col("p.key")) & near)
     pairs = S.materialize(joined.select(F.least("i.h", "p.h").alias("a"), F.greatest("i.h", "p.h").alias("b")).distinct(), "pairs")
     wanted = S.materialize(pairs.select(F.explode(F.array("a", "b")).alias("h")).distinct(), "wanted")
