@@ -144,8 +144,10 @@ def links(sets: list[np.ndarray], similar: float = S.SIMILAR) -> list[tuple[int,
     """Pairs of at least ``similar`` weighted Jaccard that connect all such pairs.
 
     A spanning set: after the members of a component are known to be linked,
-    pairs within it are skipped. Every pair across components is compared, from
-    the smaller component's side, through postings of units of weight.
+    pairs within it are skipped. Members of the component that is largest at
+    their turn wait. In the end those of one component may go without being
+    compared, as every other text has been compared with all; the others that
+    wait are compared too, since another component may have led when they came.
     """
     n = len(sets)
     sizes = np.array([len(s) for s in sets], np.int64)
@@ -158,12 +160,8 @@ def links(sets: list[np.ndarray], similar: float = S.SIMILAR) -> list[tuple[int,
     first = np.concatenate(([0], np.cumsum(sizes)))
     central = np.array([spread[where[first[i] : first[i + 1]]].mean() if sizes[i] else 0 for i in range(n)])
     label, found = np.arange(n), []
-    for i in np.argsort(-central, kind="stable"):
-        count = np.bincount(label, minlength=n)
-        if count.max() == n:
-            break
-        if count[label[i]] > 1 and count[label[i]] == count.max() and np.argmax(count) == label[i] and len(found) >= 8:
-            continue  # the largest component is compared from the others' side
+
+    def compare(i: int) -> None:
         mine = where[first[i] : first[i + 1]]
         size = spread[mine]
         at = np.repeat(begin[mine] - (np.cumsum(size) - size), size) + np.arange(size.sum())
@@ -173,6 +171,21 @@ def links(sets: list[np.ndarray], similar: float = S.SIMILAR) -> list[tuple[int,
             if label[j] != label[i]:
                 found.append((int(i), int(j)))
                 label[label == label[j]] = label[i]
+
+    waiting = []
+    for i in np.argsort(-central, kind="stable"):
+        count = np.bincount(label, minlength=n)
+        if count.max() == n:
+            return found
+        if count[label[i]] > 1 and count[label[i]] == count.max() and np.argmax(count) == label[i] and len(found) >= 8:
+            waiting.append(i)
+        else:
+            compare(i)
+    if waiting:
+        pinned = waiting[int(np.argmax(np.bincount(label[waiting], minlength=n)[label[waiting]]))]
+        for i in waiting:
+            if label[i] != label[pinned]:
+                compare(i)
     return found
 
 

@@ -83,6 +83,32 @@ def test_minhash_classes_equal_brute_force(spark, documents):
     assert kept[0].asDict().keys() == set(df.columns)
     assert minhash.classes(df.limit(0)).count() == 0
 
+def components_of(n, pairs):
+    label = list(range(n))
+    for a, b in pairs:
+        label = [label[a] if x == label[b] else x for x in label]
+    return {frozenset(i for i in range(n) if label[i] == x) for x in label}
+
+
+def clique_and_chain(rng):
+    """Shuffled sets of 12 near copies, and of a chain of drifting versions that starts at one of them."""
+    base = rng.integers(1, 2**63, 60, dtype=np.uint64)
+    fresh = lambda s, k: np.sort(np.concatenate((rng.permutation(s)[k:], rng.integers(1, 2**63, k, dtype=np.uint64))))
+    sets = [fresh(base, int(rng.integers(0, 4))) for _ in range(12)]
+    at = sets[-1]
+    for _ in range(60):
+        at = fresh(at, int(rng.integers(4, 7)))
+        sets.append(at)
+    return [sets[k] for k in rng.permutation(len(sets))]
+
+
+def test_links_hold_every_bridge_of_a_clique_and_a_chain():
+    for seed in (3, 9, 11, 22, 23, 32):
+        sets = clique_and_chain(np.random.default_rng(seed))
+        bags = [Counter(s.tolist()) for s in sets]
+        want = [p for p in itertools.combinations(range(len(sets)), 2) if jaccard(bags[p[0]], bags[p[1]]) >= 0.8]
+        assert components_of(len(sets), minhash.links(sets)) == components_of(len(sets), want)
+
 
 def test_signatures_estimate_weighted_similarity():
     rng = np.random.default_rng(1)
