@@ -89,12 +89,12 @@ def aliases_of(aliases: DataFrame | None, name: str) -> list[str]:
     return [name, *sorted(found - {name})]
 
 
-def search(lines: DataFrame, query: str, fuzziness: float, names: bool, cap: int, aliases: DataFrame | None = None, candidate_cap: int | None = 20_000) -> DataFrame | None:
+def search(lines: DataFrame, query: str, fuzziness: float, names: bool, cap: int, aliases: DataFrame | None = None, candidate_cap: int | None = None) -> DataFrame | None:
     """line_id, raw, rank, reason, matched_form of the ``cap`` best lines; None for an empty query.
 
     ``lines`` has line_id, normalized, confidence and maybe alternatives (an
-    array of structs with text). ``candidate_cap`` takes the most confident
-    lines first, as the archive's users know it; None searches all lines.
+    array of structs with text). All lines are scored; ``candidate_cap``
+    scores only so many, the most confident first, as the archive's users know it (20,000).
     """
     q = text.normalize_string(query)
     if not q:

@@ -112,8 +112,8 @@ def assemble(archive: Archive, fused: DataFrame, query: Query) -> DataFrame:
     return ordered.select("line_id", "document_id", F.col("title").alias("document_title"), "page_index", "bbox", "text", "matched_form", "reason", "score", "confidence", "year")
 
 
-def search(archive: Archive, query: Query, vector: list[float] | None = None, candidate_cap: int | None = 20_000, prefilter: bool = False) -> DataFrame:
-    """Hits of one query as a lazy plan. ``prefilter`` moves the filters before the caps, where the answer may differ."""
+def search(archive: Archive, query: Query, vector: list[float] | None = None, candidate_cap: int | None = None, prefilter: bool = False) -> DataFrame:
+    """Hits of one query as a lazy plan. ``candidate_cap`` is that of fuzzy.search. ``prefilter`` moves the filters before the caps, where the answer may differ."""
     if prefilter and (query.document_id or query.year_from or query.year_to):
         keep = archive.documents
         keep = keep.where(F.col("document_id") == query.document_id) if query.document_id else keep

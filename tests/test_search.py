@@ -120,6 +120,21 @@ def test_partial_ratio_equals_its_definition():
         assert fuzzy.partial_ratios(query, texts).tolist() == pytest.approx([plain(query, t) for t in texts])
 
 
+def test_fuzzy_scores_lines_beyond_the_former_cap(spark):
+    rng = random.Random(6)
+    said = ["".join(rng.choices("abcdefgh ", k=20)) for _ in range(40)]
+    rows = [(f"l{i:05d}", rng.choice(said), 0.9) for i in range(20_500)] + [("x1", "thonerly heed", 0.1), ("x2", "a thonerly hede", 0.2)]
+    lines = spark.createDataFrame(rows, "line_id string, normalized string, confidence double")
+    score = {t: fuzzy._one("thonerly heed", t) for _, t, _ in rows}
+    want = sorted(((-score[t] / 100, i) for i, t, _ in rows if score[t] >= 45))[:200]
+    found = fuzzy.search(lines, "thonerly heed", 0.4, False, 200).orderBy("rank").collect()
+    assert [(r.line_id, r.raw) for r in found] == [(i, pytest.approx(-s)) for s, i in want] and found[0].line_id == "x1"
+    archive = search.Archive(lines.withColumns({"document_id": F.lit("d"), "page_index": F.lit(0), "bbox": F.lit(None).cast("string"), "text": F.col("normalized")}), spark.createDataFrame([("d", "t", 1900)], "document_id string, title string, year int"))
+    for mode in (search.Mode.INTELLIGENT, search.Mode.NAMES):
+        assert {"x1", "x2"} <= set(ids(search.search(archive, search.Query("thonerli heed", mode, 0.65))))
+    assert "x1" not in {r.line_id for r in fuzzy.search(lines, "thonerly heed", 0.4, False, 200, candidate_cap=20_000).collect()}
+
+
 def test_semantic_search_and_missing(spark):
     vectors = spark.createDataFrame([("a", "r1", [1.0, 0.0]), ("b", "r1", [0.6, 0.8]), ("c", "r0", [0.0, 1.0]), ("d", "r1", [1.0])], "line_id string, revision string, embedding array<float>")
     assert [(r.line_id, r.rank) for r in semantic.search(vectors, [0.0, 1.0], 2).orderBy("rank").collect()] == [("c", 0), ("b", 1)]
