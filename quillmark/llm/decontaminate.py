@@ -4,7 +4,9 @@ A document leaks an item if one of its windows of as many words as the item has
 a weighted Jaccard similarity of 0.8 or more to it, on five-word shingles
 weighted by their counts. Such a window shares a shingle with the item, so only
 windows around shared shingles are fingerprinted; which of them are candidates
-is decided by their fingerprints, and the exact similarity verifies those.
+is decided by their fingerprints, and the exact similarity verifies those. A
+text of fewer words than the item is one window of its whole length, compared
+exactly with every item of which it shares enough shingles.
 """
 
 from __future__ import annotations
@@ -106,6 +108,18 @@ def leaks(texts: list[str], benchmark: list[Items], similar: float = S.SIMILAR)
         if not len(hits):
             continue
         span = group.width - group.size + 1  # shingles in a window
+        for t in np.unique(np.searchsorted(offsets, hits, side="right") - 1).tolist():
+            words = int(offsets[t + 1] - offsets[t])
+            count = words - group.size + 1  # shingles in the text
+            if not group.size <= words < group.width or count < similar * span - 1e-9:
+                continue
+            own = found[offsets[t] : offsets[t] + count]
+            common = np.isin(group.shingles, own).sum(1)  # at least what both share, repeats counted
+            for i in np.flatnonzero(common >= similar * (count + span - common) - 1e-9).tolist():
+                value = similarity(own, group.shingles[i])
+                key = t, group.ids[i]
+                if value >= similar and (-value, int(offsets[t])) < best.get(key, (0.0, 0)):
+                    best[key] = -value, int(offsets[t])
         start = np.unique(hits[:, None] - np.arange(span))
         start = start[start >= 0]
         text = np.searchsorted(offsets, start, side="right") - 1

@@ -174,6 +174,30 @@ def test_decontamination_equals_brute_force(spark):
     assert decontaminate.find(df, bench.limit(0)).count() == 0 and decontaminate.find(df.limit(0), bench).count() == 0
 
 
+def test_texts_shorter_than_an_item_leak_as_brute_force_says():
+    rng = random.Random(8)
+    items = [(k, prose(rng, n, 60)) for k, n in enumerate((3, 6, 7, 9, 12, 15, 20, 30, 59))]
+    items.append((9, " ".join(["w1", "w2", "w3"] * 9)))
+    texts = []
+    for _, text in items:
+        w = text.split()
+        for cut in range(1, len(w) // 3 + 2):
+            texts += [" ".join(w[:-cut]), " ".join(w[cut:]), changed(rng, " ".join(w[cut:]), 1) if w[cut:] else ""]
+    texts.append(" ".join(["w2", "w3", "w1"] * 8))
+    bags = {k: bag(words(text)) for k, text in items}
+    want, width = set(), {k: len(words(text)) for k, text in items}
+    for t, text in enumerate(texts):
+        w = words(text)
+        for k in bags:
+            spans = [w[s : s + width[k]] for s in range(max(1, len(w) - width[k] + 1))] if w else []
+            if any(jaccard(bags[k], bag(x)) >= 0.8 for x in spans):
+                want.add((t, k))
+    found = decontaminate.leaks(texts, decontaminate.items(items))
+    assert {(t, k) for t, k, *_ in found} == want and len(want) > 30
+    last = texts.index(" ".join(items[8][1].split()[:-1]))
+    assert (last, 8, 0, pytest.approx(54 / 55)) in found
+
+
 def test_fingerprints_within_the_radius_are_all_found():
     rng = np.random.default_rng(2)
     group = decontaminate.Items(9, list(range(20)), rng.integers(1, 2**63, (20, 5), dtype=np.uint64))
