@@ -13,18 +13,21 @@ def _state(edges: DataFrame) -> tuple:
     return row[0], row[1]
 
 
-def components(edges: DataFrame, most_rounds: int = 100) -> DataFrame:
+def components(edges: DataFrame, most_rounds: int | None = None) -> DataFrame:
     """``node, root`` for every node with an edge; ``root`` is the component's smallest node.
 
     ``edges`` has long columns ``u, v``, in any direction, with repeats and
     loops. Each step is a minimum per node with map-side combining and a join,
-    written to the shared folder; only two numbers reach the driver.
+    written to the shared folder; only two numbers reach the driver. Steps go on
+    until nothing changes; after ``most_rounds``, if given, that is an error.
     """
     edges = S.materialize(edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges")
     state = _state(edges)
-    for _ in range(most_rounds):
-        if not state[0]:
-            break
+    rounds = 0
+    while state[0]:
+        if rounds == most_rounds:
+            raise RuntimeError(f"components still change after {most_rounds} rounds")
+        rounds += 1
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()

@@ -11,7 +11,7 @@ import public_tokenizers
 import pytest
 from tokenizers import Tokenizer
 
-from quillmark.llm import decontaminate, language, minhash, packing, quality
+from quillmark.llm import decontaminate, graph, language, minhash, packing, quality
 
 PATH = public_tokenizers.path("byte_bpe_50k.json")
 SCHEMA = "doc_id long, text string, lang string, score string, bands string"
@@ -174,6 +174,13 @@ def test_decontamination_equals_brute_force(spark):
     assert decontaminate.find(df, bench.limit(0)).count() == 0 and decontaminate.find(df.limit(0), bench).count() == 0
 
 
+def test_components_are_whole_or_an_error(spark):
+    edges = spark.createDataFrame([(k, k + 1) for k in range(12)], "u long, v long")
+    with pytest.raises(RuntimeError):
+        graph.components(edges, most_rounds=1)
+    assert {tuple(r) for r in graph.components(edges).collect()} == {(k, 0) for k in range(13)}
+
+
 def test_texts_shorter_than_an_item_leak_as_brute_force_says():
     rng = random.Random(8)
     items = [(k, prose(rng, n, 60)) for k, n in enumerate((3, 6, 7, 9, 12, 15, 20, 30, 59))]
