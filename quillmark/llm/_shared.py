@@ -156,10 +156,10 @@ def scattered(points: np.ndarray) -> np.ndarray:
 class Rolling:
     """Hashes of any substrings of an array of code points, after one pass over it (polynomial modulo 2^64)."""
 
-    def __init__(self, points: np.ndarray):
+    def __init__(self, points: np.ndarray, values: np.ndarray | None = None):
         n = len(points)
         self.sums = np.zeros(n + 1, U64)
-        np.cumsum(scattered(points) * _powers("base", _BASE, n + 1)[:n], out=self.sums[1:])
+        np.cumsum((scattered(points) if values is None else values) * _powers("base", _BASE, n + 1)[:n], out=self.sums[1:])
         self.inverse = _powers("inverse", _INVERSE, n + 1)
 
     def __call__(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
