@@ -12,6 +12,7 @@ import html as entities
 import random
 import re
 import zlib
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -29,10 +30,15 @@ INLINE = frozenset("a abbr b bdi bdo big cite code data del dfn em font i ins kb
 HEADINGS = frozenset(f"h{n}" for n in range(1, 7))
 _RAW = frozenset("script style template noscript iframe textarea svg title".split())
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?][^>]*>", re.S)
-_NAMES = re.compile(r"(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
+#: A plain tag without any of the rarer forms; every other one is read attribute by attribute.
+_PLAIN = re.compile(r"<(/?)([a-zA-Z][^\s/<>\"'=]*)((?:\s+[^\s/<>\"'=]+(?:=\"[^\"<>]*\")?)*)\s*(/?)>")
+_NAMED = re.compile(r"\s(?:class|id|role)=\"([^\"]*)\"", re.I)
+_NAME, _SKIP, _ATTRIBUTE, _EQUALS, _VALUE = (re.compile(p) for p in (r"[^\s/>]+", r"[\s/]*", r"=?[^\s/>=]*", r"\s*=\s*", r"[^\s>]*"))
+#: Innermost elements that a block's path keeps; those above would weigh under two in a million.
+DEPTH = 256
 _WORDS = re.compile(r"[a-z0-9]+")
 _SPACE = re.compile(r"\s+")
+_END_OF = {name: re.compile(rf"</{name}(?=[\s/>])", re.I) for name in _RAW}
 
 
 @dataclass
@@ -48,7 +54,9 @@ class Block:
 class _Reader:
     blocks: list[Block] = field(default_factory=list)
     stack: list[tuple[str, str]] = field(default_factory=list)  # name, name with class and id words
+    names: Counter = field(default_factory=Counter)  # how often each name is on the stack
     parts: list[str] = field(default_factory=list)
+    blank: bool = True  # no part has anything but white space
     path: tuple[str, ...] = ()
     links: int = 0
     unseen: int = 0
@@ -61,8 +69,9 @@ class _Reader:
         if not found.strip():
             self.parts.append(found)
             return
-        if not any(p.strip() for p in self.parts):
-            self.path = tuple(entry for name, entry in self.stack if name not in INLINE)
+        if self.blank:
+            self.path = tuple(entry for name, entry in self.stack[-DEPTH:] if name not in INLINE)
+            self.blank = False
         self.parts.append(found)
         if self.anchors:
             self.links += len(found)
@@ -72,9 +81,9 @@ class _Reader:
             found = _SPACE.sub(" ", "".join(self.parts)).strip()
             if found:
                 self.blocks.append(Block(found, self.path, self.links))
-        self.parts, self.links = [], 0
+        self.parts, self.links, self.blank = [], 0, True
 
-    def open(self, name: str, attributes: str) -> None:
+    def open(self, name: str, words: list[str]) -> None:
         if name == "br":
             self.text(" ")
             self.parts.append(" ")
@@ -91,7 +100,7 @@ class _Reader:
                     break
                 if self.stack[depth][0] not in INLINE:
                     break
-        words = [w for m in _NAMES.finditer(attributes) for w in _WORDS.findall((m[1] or m[2] or m[3] or "").lower())] if attributes else []
+        self.names[name] += 1
         self.stack.append((name, name + "".join(f".{w}" for w in words)))
         self.unseen += name in UNSEEN
         self.anchors += name == "a"
@@ -99,39 +108,93 @@ class _Reader:
     def close(self, name: str) -> None:
         if name not in INLINE:
             self.flush()
-        for depth in range(len(self.stack) - 1, -1, -1):
-            if self.stack[depth][0] == name:
-                self.cut(depth)
-                return
+        if self.names[name]:
+            depth = len(self.stack) - 1
+            while self.stack[depth][0] != name:
+                depth -= 1
+            self.cut(depth)
 
     def cut(self, depth: int) -> None:
         for name, _ in self.stack[depth:]:
+            self.names[name] -= 1
             self.unseen -= name in UNSEEN
             self.anchors -= name == "a"
         del self.stack[depth:]
 
 
-def blocks(page: str) -> list[Block]:
-    """The leaf blocks of a page in order; entities decoded, white space collapsed."""
-    reader, at = _Reader(), 0
+def _markup(page: str, at: int) -> tuple[int, str, bool, list[str]] | None:
+    """What stands at the ``<`` at ``at``: its end, the tag's lower-case name ("": a comment or the like),
+    whether it closes, and its class, id and role words. None: a plain character.
+
+    Tags follow the grammar of HTML: a quote opens a value only right after the
+    equals sign; an unclosed quote ends with its tag, an unclosed tag or comment with the page.
+    An end of -1: no tag ends any more, and the rest is text.
+    """
+    found = _PLAIN.match(page, at)
+    if found:
+        words = [w for v in _NAMED.findall(found[3]) for w in _WORDS.findall(v.lower())] if found[3] else []
+        return found.end(), found[2].lower(), bool(found[1]), words
+    if page.startswith("<!--", at):
+        for empty in (">", "->"):
+            if page.startswith(empty, at + 4):
+                return at + 4 + len(empty), "", False, []
+        return _after(page, "-->", at + 4), "", False, []
+    closes = page.startswith("/", at + 1)
+    first = page[at + 1 + closes : at + 2 + closes]
+    if not (first.isascii() and first.isalpha()):
+        return (_after(page, ">", at + 1), "", False, []) if closes or first in ("!", "?") and first else None
+    place = _NAME.match(page, at + 1 + closes).end()
+    name, words = page[at + 1 + closes : place].lower(), []
     while True:
-        m = _TOKEN.search(page, at)
-        if m is None:
-            break
-        reader.text(page[at : m.start()])
-        at = m.end()
-        if m[2] is None:
+        place = _SKIP.match(page, place).end()
+        if place >= len(page):
+            return (len(page) if ">" in page[at:] else -1), "", False, []
+        if page[place] == ">":
+            return place + 1, name, closes, words
+        begin, place = place, _ATTRIBUTE.match(page, place).end()
+        attribute, equals, value = page[begin:place].lower(), _EQUALS.match(page, place), ""
+        if equals:
+            place = equals.end()
+            quote = page[place : place + 1]
+            if quote and quote in "\"'":
+                end = page.find(quote, place + 1)
+                end = end if end >= 0 else page.find(">", place)
+                if end < 0:
+                    return -1, "", False, []
+                value, place = page[place + 1 : end], end + (page[end] == quote)
+            else:
+                begin, place = place, _VALUE.match(page, place).end()
+                value = page[begin:place]
+        if attribute in ("class", "id", "role"):
+            words += _WORDS.findall(value.lower())
+
+
+def _after(page: str, mark: str, at: int) -> int:
+    found = page.find(mark, at)
+    return found + len(mark) if found >= 0 else len(page)
+
+
+def blocks(page: str) -> list[Block]:
+    """The leaf blocks of a page in order; entities decoded, white space collapsed. Time is linear in the page."""
+    reader, at, text = _Reader(), 0, 0
+    while (at := page.find("<", at)) >= 0:
+        found = _markup(page, at)
+        if found is None:
+            at += 1
             continue
-        name = m[2].lower()
-        if m[1]:
+        if found[0] < 0:
+            break
+        reader.text(page[text:at])
+        at, name, closes, words = found
+        if closes:
             reader.close(name)
-            continue
-        if name in _RAW and not m[3].endswith("/"):
-            end = re.compile(rf"</{re.escape(name)}\b[^>]*>", re.I).search(page, at)
-            at = end.end() if end else len(page)
-            continue
-        reader.open(name, m[3])
-    reader.text(page[at:])
+        elif name in _RAW and page[at - 2] != "/":
+            end = _END_OF[name].search(page, at)
+            at = _after(page, ">", end.end()) if end else len(page)
+        elif name:
+            reader.open(name, words)
+        text = at
+    reader.text(page[text:])
     reader.flush()
     return reader.blocks
 
@@ -149,7 +212,7 @@ def _path_vector(path: tuple[str, ...]) -> np.ndarray:
         if len(_PATHS) > 20_000:
             _PATHS.clear()
         v = np.zeros(PATH, np.float32)
-        for depth, entry in enumerate(reversed(path[-8:])):
+        for depth, entry in enumerate(reversed(path)):
             name, *words = entry.split(".")
             for token, size in ((name, 1.0), *((f".{w}", 1.5) for w in words)):
                 v[zlib.crc32(token.encode()) % PATH] += size * 0.95**depth
@@ -400,7 +463,12 @@ def main_texts(pages: list[str], network: Network) -> list[str]:
 
 
 def extract(pages: DataFrame, network: Network, keep: list[str]) -> DataFrame:
-    """``keep`` columns with ``text`` and ``n_chars`` (code points); null or empty html gives the empty text."""
+    """``keep`` columns with ``text`` and ``n_chars`` (code points).
+
+    Null or empty html gives the empty text. Every row is answered by itself, so
+    repeated pages give repeated rows, an empty table none. Pages are read whole,
+    however long or malformed. Other columns may have any names.
+    """
     source = pages.select(*[F.col(f"`{c}`") for c in keep], F.col("html").alias("__html"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -6,7 +6,9 @@ positive, from the bottom where it is negative. What was read gives every
 vector a lower and an upper bound; reading goes deeper until no outsider's
 upper bound reaches the k-th lower bound, and the rest are resolved exactly.
 Lists are read in stages and bounds kept for a block of queries at once, as
-matrix products. Queries and vectors meet block by block.
+matrix products. Queries and vectors meet block by block; the first queries of
+a block go through all stages, the others only through those at which one of
+the first could stop, as bounds that never decide would only cost time.
 """
 
 from __future__ import annotations
@@ -23,44 +25,57 @@ from quillmark.llm import _shared as S
 #: Vectors and queries in a block.
 BLOCK, QUERY_BLOCK = 4096, 512
 #: Shares of the lists read before the bounds are compared.
-STAGES = (0.25, 0.6, 1.0)
+STAGES = (1 / 64, 1 / 16, 1 / 4, 1 / 2, 1.0)
+#: Queries of a block that go through every stage.
+PILOT = 16
 
 
-def search(queries: np.ndarray, vectors: np.ndarray, k: int) -> list[np.ndarray]:
-    """For each query the rows of all vectors that may be among its k best: at least those, with every tie.
+def search(queries: np.ndarray, vectors: np.ndarray, k: int) -> tuple[list[np.ndarray], np.ndarray]:
+    """For each query the rows of all vectors that may be among its k best (at least those, with every
+    tie), and the share of the lists that was read.
 
     Integers throughout; float64 products of them are exact below 2^53.
     """
     n = len(vectors)
-    plus, minus = np.maximum(queries, 0), np.minimum(queries, 0)
-    lists = np.sort(vectors, axis=0)
-    low, high = lists[0], lists[-1]
     out: list[np.ndarray] = [np.arange(n)] * len(queries)
+    share = np.ones(len(queries))
     if n <= k:
-        return out
-    active = np.arange(len(queries))
-    for share in STAGES:
-        depth = min(n, max(k, int(np.ceil(n * share))))
-        top, bottom = lists[n - depth], lists[depth - 1]  # the last value read from either end
-        p, m = plus[active], minus[active]
-        lower = p @ np.where(vectors >= top, vectors, low).T + m @ np.where(vectors <= bottom, vectors, high).T
+        return out, share
+    lists = np.sort(vectors, axis=0)
+    _read(queries[:PILOT], vectors, lists, k, STAGES, out, share, 0)
+    useful = tuple(s for s in STAGES if s == STAGES[-1] or (share[: len(queries[:PILOT])] == s).any())
+    _read(queries[PILOT:], vectors, lists, k, useful, out, share, PILOT)
+    return out, share
+
+
+def _read(queries: np.ndarray, vectors: np.ndarray, lists: np.ndarray, k: int, stages: tuple[float, ...], out: list[np.ndarray], share: np.ndarray, first: int) -> None:
+    n, active = len(vectors), np.arange(len(queries))
+    for stage in stages:
+        if not len(active):
+            return
+        depth = min(n, max(k, int(np.ceil(n * stage))))
+        asked = queries[active]
+        if depth == n:  # read to the end: both bounds are the score
+            lower = upper = asked @ vectors.T
+        else:
+            p, m = np.maximum(asked, 0), np.minimum(asked, 0)
+            top, bottom = lists[n - depth], lists[depth - 1]  # the last value read from either end
+            lower = p @ np.where(vectors >= top, vectors, lists[0]).T + m @ np.where(vectors <= bottom, vectors, lists[-1]).T
+            upper = p @ np.where(vectors >= top, vectors, top).T + m @ np.where(vectors <= bottom, vectors, bottom).T
         reached = np.partition(lower, n - k, axis=1)[:, n - k]
-        upper = lower if depth == n else p @ np.maximum(vectors, top).T + m @ np.minimum(vectors, bottom).T
         may = upper >= reached[:, None]
-        left = may.sum(1)
-        for row in np.flatnonzero((left <= 4 * k) | (depth == n)):
-            out[active[row]] = np.flatnonzero(may[row])
-        active = active[(left > 4 * k) & (depth < n)]
-        if not len(active):
-            break
-    return out
+        done = (may.sum(1) <= 4 * k) | (depth == n)
+        for row in np.flatnonzero(done):
+            out[first + active[row]] = np.flatnonzero(may[row])
+            share[first + active[row]] = stage
+        active = active[~done]
 
 
 def best(queries: np.ndarray, query_ids: np.ndarray, vectors: np.ndarray, ids: np.ndarray, k: int) -> tuple[list, list, list]:
     """query id, vector id and score of each query's k best, ties to the smaller id, its own id left out."""
     a, b, c = [], [], []
     spare = int(np.unique(ids, return_counts=True)[1].max(initial=0))  # rows that a query's own id may hold
-    for query, q, rows in zip(queries, query_ids, search(queries, vectors, k + spare), strict=True):
+    for query, q, rows in zip(queries, query_ids, search(queries, vectors, k + spare)[0], strict=True):
         rows = rows[ids[rows] != q]
         score = (vectors[rows] @ query).astype(np.int64)
         first = np.lexsort((ids[rows], -score))[:k]

@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import time
 
 import duckdb
 import numpy as np
@@ -66,7 +67,7 @@ def test_search_stops_early_and_keeps_all_that_qualify():
     rng = np.random.default_rng(5)
     vectors = rng.integers(-64, 64, (3000, 3)).astype(float)
     queries = rng.integers(-64, 64, (40, 3)).astype(float)
-    for q, rows in zip(queries, topk.search(queries, vectors, 10), strict=True):
+    for q, rows in zip(queries, topk.search(queries, vectors, 10)[0], strict=True):
         scores = vectors @ q
         assert set(np.flatnonzero(scores >= np.sort(scores)[-10])) <= set(rows.tolist())
 
@@ -126,3 +127,40 @@ def test_network_gradient_and_held_out_pages():
             good += int(((html.trained().label([html.vectors(found)])[0] >= 0.5) == label).sum())
             all_ += len(found)
     assert good >= 0.97 * all_
+
+
+def test_malformed_tags_lose_no_text():
+    texts = lambda page: [b.text for b in html.blocks(page)]
+    assert texts("<p title=don't>Hello it's nice</p><p>next</p>") == ["Hello it's nice", "next"]
+    assert texts("<div><a href=x title=it's>One</a><p>Two.</p><p>Three, isn't it.</p><p>Four</p></div>") == ["One", "Two.", "Three, isn't it.", "Four"]
+    assert texts("<!--><p>b</p><!---><p>c</p><!-- x > <p>no</p> --><p>d</p>") == ["b", "c", "d"]
+    assert texts('<p class="a>b" x>one</p><p class=\'c"d\'>two</p><p =x y = z>three</p><P CLASS = "q">four</P>') == ["one", "two", "three", "four"]
+    assert texts('<p class="open>one</p><p>two</p>')[-1] == "two"
+    assert texts("<script>if (a < b) '</p>'</script x><p>one</p><title>no") == ["one"]
+    assert texts("a < b, 1 <2, </> <!doctype html><?x y?>c") == ["a < b, 1 <2, c"]
+    assert html.blocks('<footer class="x Site-Footer" id=end role=\'r\'><p>t</p>')[0].path == ("footer.x.site.footer.end.r", "p")
+    deep = "<footer>" + "<div>" * 60 + "t"
+    assert html.blocks(deep)[0].path[0] == "footer" and html.vectors(html.blocks(deep)).any()
+
+
+def test_time_is_linear_in_malformed_pages():
+    for page in ("<a" * 500_000, "<" * 1_000_000, "<a " + "x=' " * 250_000, "<p class=" * 100_000, "</title" * 140_000, "<title>" + "</title" * 140_000, "<!--" * 250_000, "<div>" * 100_000 + "</span>" * 50_000, "<b> " * 200_000, "&" * 500_000):
+        began = time.perf_counter()
+        html.blocks(page)
+        assert time.perf_counter() - began < 4, page[:20]
+
+
+def test_search_stops_early_where_bounds_decide():
+    rng = np.random.default_rng(6)
+    vectors = rng.integers(-2, 3, (2000, 8)).astype(float)
+    vectors[:40, 0] = rng.integers(500, 900, 40)  # a component that few vectors have much of
+    queries = np.zeros((60, 8))
+    queries[:, 0] = rng.integers(1, 60, 60)
+    queries[:, 1] = 1
+    found, share = topk.search(queries, vectors, 10)
+    assert (share < 1).all()
+    scores = queries @ vectors.T
+    for q, rows in enumerate(found):
+        assert set(np.argsort(-scores[q], kind="stable")[:10]) <= set(rows.tolist()) and len(rows) < 2000
+    noise = rng.integers(-50, 50, (3000, 64)).astype(float)
+    assert (topk.search(noise[:40], noise, 20)[1] == 1).all()
