@@ -24,7 +24,7 @@ from quillmark.llm import _shared as S
 BITS, BLOCKS, FLIPS = 64, 6, 3
 #: Largest Hamming distance of which some block differs in at most ``FLIPS`` bits.
 RADIUS = BLOCKS * (FLIPS + 1) - 1
-#: Items looked up at once; a larger benchmark takes several passes.
+#: Items looked up at once; a larger benchmark takes several passes, one after the other.
 ITEMS = 1000
 
 _CUTS = [round(k * BITS / BLOCKS) for k in range(BLOCKS + 1)]
@@ -135,24 +135,27 @@ def leaks(texts: list[str], benchmark: list[Items], similar: float = S.SIMILAR)
     return [(t, item, at - int(offsets[t]), -value) for (t, item), (value, at) in best.items()]
 
 
-def _passes(benchmark: DataFrame) -> Iterator[list[Items]]:
-    """The benchmark in parts of about ``ITEMS`` items, each small enough for every task."""
+def _passes(benchmark: DataFrame) -> Iterator[tuple[list[Items], bool]]:
+    """The benchmark in parts of about ``ITEMS`` items, each small enough for every task, and whether another follows."""
     rows = benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text")
     parts = max(1, -(-rows.count() // ITEMS))
     for k in range(parts):
-        yield items([tuple(r) for r in rows.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(parts)) == k).collect()])
+        yield items([tuple(r) for r in rows.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(parts)) == k).collect()]), k + 1 < parts
 
 
 def find(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """``doc_id, item_id, start, similarity``: each row's leaked items, ``start`` counting words from 0.
 
     Null and empty texts leak nothing; repeated rows each report; an empty
-    table on either side gives no rows.
+    table on either side gives no rows. Of windows with the same similarity the
+    first counts. Texts are read whole, and only doc_id and text are read. Each
+    part of a benchmark of more than ``ITEMS`` items is written out before the
+    next, so that no plan holds more than one.
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     schema = "doc_id long, item_id long, start long, similarity double"
     out = None
-    for part in _passes(benchmark):
+    for part, more in _passes(benchmark):
 
         def run(batches: Iterator[pa.RecordBatch], part=part) -> Iterator[pa.RecordBatch]:
             for batch in batches:
@@ -164,13 +167,20 @@ def find(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
                     yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["doc_id", "item_id", "start", "similarity"])
 
         found = rows.mapInArrow(run, schema)
+        if more or out is not None:
+            found = S.materialize(found, "leaks")
         out = found if out is None else out.unionByName(found)
     return out
 
 
 def drop_leaking(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """Pipeline stage: rows that leak no item, all columns unchanged."""
-    for part in _passes(benchmark):
+    """Pipeline stage: rows that leak no item, all columns, whatever their names, unchanged.
+
+    Null and empty texts stay, as do rows with a null doc_id that leak nothing;
+    repeated rows go or stay together. An empty benchmark drops nothing, an
+    empty table stays empty.
+    """
+    for part, more in _passes(benchmark):
 
         def run(batches: Iterator[pa.RecordBatch], part=part) -> Iterator[pa.RecordBatch]:
             for batch in batches:
@@ -180,6 +190,8 @@ def drop_leaking(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
                     yield piece.filter(pa.array(keep))
 
         docs = docs.mapInArrow(run, docs.schema)
+        if more:
+            docs = S.materialize(docs, "not_leaking")
     return docs
 
 

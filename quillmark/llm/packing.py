@@ -2,8 +2,9 @@
 
 Texts are cut into full pieces and one remainder each. The remainders' length
 histogram (at most ``capacity`` rows, whatever the corpus) is the demand of a
-linear program over packing patterns; column generation solves it, a knapsack
-dynamic program pricing the columns. The rounded patterns are then dealt to the
+linear program over packing patterns; column generation solves it from the
+patterns of best fit on, a knapsack dynamic program pricing the columns. The
+rounded patterns, which never store more than best fit does, are then dealt to the
 documents by their rank within their length, which takes one broadcast table of
 pattern slots and no further look at the texts.
 """
@@ -23,8 +24,12 @@ from quillmark.llm import _shared as S
 from quillmark.llm.tokens import Encoder
 
 CAPACITY = 1024
-#: Simplex steps at most; the patterns found by then are used.
-MAX_STEPS = 500
+#: Column generation goes on until the program's value is within this share of its lower bound, or within
+#: this many sequences of it, or until no pattern prices out.
+GAP, SLACK = 0.001, 4
+#: Weight of the plain lengths in the prices a pattern is first sought by, patterns taken from one
+#: dynamic program, and simplex steps between two fresh inversions of the basis.
+STEADY, TAKEN, FRESH = 0.9, 60, 150
 #: Pieces in a ranking group, about.
 GROUP = 200
 #: Ranking groups whose offsets are summed in one task.
@@ -48,8 +53,12 @@ def sequence_cost(fill: int, capacity: int) -> int:
     return fill if fill and fill & (fill - 1) == 0 else capacity
 
 
-def price(values: np.ndarray, lengths: np.ndarray, capacity: int) -> tuple[float, dict[int, int]]:
-    """The pattern of largest value less cost: unbounded knapsack over exact fills."""
+def price(values: np.ndarray, lengths: np.ndarray, cost: np.ndarray) -> tuple[float, list[dict[int, int]]]:
+    """The largest ratio of a pattern's value to its cost, and the patterns of largest value less cost.
+
+    Unbounded knapsack: the best pattern for each exact fill.
+    """
+    capacity = len(cost) - 1
     best = np.full(capacity + 1, -np.inf)
     best[0] = 0.0
     chosen = np.full(capacity + 1, -1)
@@ -59,116 +68,173 @@ def price(values: np.ndarray, lengths: np.ndarray, capacity: int) -> tuple[float
             found = best[c - lengths[: upto[c]]] + values[: upto[c]]
             k = int(found.argmax())
             best[c], chosen[c] = found[k], k
-    cost = np.array([sequence_cost(c, capacity) for c in range(capacity + 1)], float)
-    fill = int((best - cost)[1:].argmax()) + 1
-    gain, counts = float(best[fill] - cost[fill]), {}
-    while fill > 0 and chosen[fill] >= 0:
-        counts[int(chosen[fill])] = counts.get(int(chosen[fill]), 0) + 1
-        fill -= int(lengths[chosen[fill]])
-    return gain, counts
-
-
-def solve(lengths: np.ndarray, demand: np.ndarray, capacity: int, max_steps: int) -> list[tuple[dict[int, int], float]]:
-    """Column generation: patterns (index of length to count) and how often each is used.
-
-    Revised simplex on min cost x, A x >= demand. The first basis pairs each
-    length over half the capacity with its complement and fills the rest with
-    patterns of one length, or with the surplus of lengths that pairs cover.
+    gain, out = best - cost, []
+    for fill in np.argsort(-gain, kind="stable")[:TAKEN].tolist():
+        if fill and gain[fill] > 1e-6:
+            counts: dict[int, int] = {}
+            while fill > 0:
+                k = int(chosen[fill])
+                counts[k] = counts.get(k, 0) + 1
+                fill -= int(lengths[k])
+            out.append(counts)
+    return float((best[1:] / cost[1:]).max()), out
+
+
+@dataclass
+class Program:
+    """The solved linear program: patterns (index of length to count) with how often each is used, value and bound."""
+
+    patterns: list[tuple[dict[int, int], float]]
+    value: float
+    bound: float
+    finished: bool  # no pattern prices out
+
+
+def solve(lengths: np.ndarray, demand: np.ndarray, capacity: int, start: list[dict[int, int]], gap: float = GAP) -> Program:
+    """Column generation by the revised simplex method on min cost x, A x >= demand.
+
+    ``start`` are patterns to begin with. Degenerate steps are avoided by a small
+    perturbation of the demand. Patterns are first sought at prices near the plain
+    lengths, which are themselves a feasible dual solution and hence a lower bound,
+    and at the program's own prices if that gives none. The loop has no other end
+    than the gap or the lack of columns.
     """
     m = len(lengths)
-    index = {int(n): k for k, n in enumerate(lengths)}
-    columns: list[dict[int, int] | None] = [None] * m
-    diagonal, cost, paired = np.ones(m), np.zeros(m), []
-    left = demand.astype(float).copy()
-    for k in range(m - 1, -1, -1):
-        n = int(lengths[k])
-        if 2 * n > capacity:
-            columns[k] = {k: 1}
-            if capacity - n in index:
-                columns[k][index[capacity - n]] = 1
-                left[index[capacity - n]] -= demand[k]
-                paired.append((index[capacity - n], k))
-        elif left[k] < 0:
-            diagonal[k] = -1.0
+    cost = np.array([sequence_cost(c, capacity) for c in range(capacity + 1)], float)
+
+    def dense(patterns: list[dict[int, int]]) -> np.ndarray:
+        out = np.zeros((len(patterns), m))
+        for row, counts in enumerate(patterns):
+            for i, a in counts.items():
+                out[row, i] = a
+        return out
+
+    pool = [{k: 1} for k in range(m)] + start
+    rows = dense(pool)
+    price_of = lambda a: cost[(a @ lengths).astype(int)]
+    costs, known = price_of(rows), {tuple(sorted(p.items())) for p in pool}
+    rng = np.random.default_rng(1)
+    wanted = demand * (1 + 1e-4 * rng.random(m)) + 1e-4 * rng.random(m)
+    basis, basic = np.arange(m), costs[:m].copy()  # a negative number: the surplus of row -1 - n
+    inverse, x, y = np.eye(m), wanted.copy(), costs[:m].copy()
+    bound, finished, steps = float(demand @ lengths), False, 0
+    while True:
+        gains = rows @ y - costs
+        column, surplus = int(gains.argmax()), int(y.argmin())
+        if max(gains[column], -y[surplus]) > 1e-6:
+            if -y[surplus] > gains[column]:
+                entering, c, gain, name = -np.eye(1, m, surplus)[0], 0.0, -y[surplus], -1 - surplus
+            else:
+                entering, c, gain, name = rows[column], costs[column], gains[column], column
+            direction = inverse @ entering
+            ratio = np.full(m, np.inf)
+            up = direction > 1e-9
+            ratio[up] = np.maximum(x[up], 0) / direction[up]
+            out = int(ratio.argmin())
+            x = x - ratio[out] * direction
+            x[out] = ratio[out]
+            pivot = inverse[out] / direction[out]
+            moved, used = np.flatnonzero(np.abs(direction) > 1e-12), np.flatnonzero(pivot)
+            inverse[np.ix_(moved, used)] -= np.outer(direction[moved], pivot[used])
+            inverse[out] = pivot
+            y = y - gain * pivot
+            basic[out], basis[out], steps = c, name, steps + 1
+            if steps % FRESH == 0:
+                inverse = np.linalg.inv(np.stack([rows[n] if n >= 0 else -np.eye(1, m, -1 - n)[0] for n in basis], 1))
+                x, y = inverse @ wanted, basic @ inverse
             continue
-        else:
-            columns[k] = {k: capacity // n}
-            diagonal[k] = capacity // n
-        cost[k] = sequence_cost(sum(int(lengths[i]) * a for i, a in columns[k].items()), capacity)
-    inverse = np.diag(1.0 / diagonal)  # of a basis that is diagonal but for the pairs
-    for small, large in paired:
-        inverse[small, large] = -1.0 / diagonal[small]
-    x = inverse @ demand
-    for _ in range(max_steps):
-        y = cost @ inverse
-        surplus = int(y.argmin())
-        if y[surplus] < -1e-7:
-            counts, entering, c = None, np.zeros(m), 0.0
-            entering[surplus] = -1.0
-        else:
-            gain, counts = price(y, lengths, capacity)
-            if gain < 1e-6:
+        value = float(basic @ np.maximum(x, 0))
+        if value - bound <= max(gap * bound, SLACK * capacity):
+            break
+        new: list[dict[int, int]] = []
+        for weight in (STEADY, STEADY / 2, 0.0):
+            prices = weight * lengths + (1 - weight) * np.maximum(y, 0)
+            ratio_, found = price(prices, lengths, cost)
+            bound = max(bound, float(prices @ demand) / max(ratio_, 1.0))
+            found = [p for p in found if tuple(sorted(p.items())) not in known]
+            if found:
+                more = dense(found)
+                gains = more @ y - price_of(more)
+                new = [p for p, g in zip(found, gains, strict=True) if g > 1e-6]
+            if new:
                 break
-            entering = np.zeros(m)
-            for i, a in counts.items():
-                entering[i] = a
-            c = float(sequence_cost(sum(int(lengths[i]) * a for i, a in counts.items()), capacity))
-        direction = inverse @ entering
-        ratio = np.full(m, np.inf)
-        up = direction > 1e-9
-        ratio[up] = np.maximum(x[up], 0) / direction[up]
-        out = int(ratio.argmin())
-        if not np.isfinite(ratio[out]):
+        if not new:
+            finished = True
             break
-        x = x - ratio[out] * direction
-        x[out] = ratio[out]
-        pivot = inverse[out] / direction[out]
-        inverse = inverse - np.outer(direction, pivot)
-        inverse[out] = pivot
-        cost[out], columns[out] = c, counts
-    return [(p, float(v)) for p, v in zip(columns, x, strict=True) if p and v > 1e-9]
-
-
-def best_fit(lengths: list[int], capacity: int) -> list[list[int]]:
-    """Best-fit decreasing for what rounding leaves over."""
-    room: dict[int, list[list[int]]] = {}
-    open_sizes = np.zeros(capacity + 1, np.int64)
-    bins: list[list[int]] = []
-    for n in sorted(lengths, reverse=True):
-        fits = np.flatnonzero(open_sizes[n:])
-        if len(fits):
-            r = int(fits[0]) + n
-            found = room[r].pop()
-            open_sizes[r] -= 1
-        else:
-            r, found = capacity, []
-            bins.append(found)
-        found.append(n)
-        if r > n:
-            room.setdefault(r - n, []).append(found)
-            open_sizes[r - n] += 1
-    return bins
-
-
-def plan(histogram: dict[int, int], capacity: int = CAPACITY, max_steps: int = MAX_STEPS) -> list[Pattern]:
-    """Patterns that hold every piece of the histogram exactly once."""
-    lengths = np.array(sorted(n for n, k in histogram.items() if k > 0), np.int64)
-    if not len(lengths):
+        known |= {tuple(sorted(p.items())) for p in new}
+        more = dense(new)
+        pool, rows, costs = pool + new, np.concatenate((rows, more)), np.concatenate((costs, price_of(more)))
+    x = inverse @ demand
+    used = [(pool[n], float(v)) for n, v in zip(basis.tolist(), x, strict=True) if n >= 0 and v > 1e-9]
+    return Program(used, float(basic @ np.maximum(x, 0)), bound, finished)
+
+
+def best_fit(histogram: dict[int, int], capacity: int) -> list[Pattern]:
+    """Best-fit decreasing over a histogram: bins of one content are one pattern, however many pieces there are."""
+    room: dict[int, list[tuple[dict[int, int], int]]] = {}
+    is_open = np.zeros(capacity + 1, bool)
+
+    def put(left: int, content: dict[int, int], bins: int) -> None:
+        if bins:
+            room.setdefault(left, []).append((content, bins))
+            is_open[left] = left > 0
+
+    for n in sorted((n for n, k in histogram.items() if k > 0), reverse=True):
+        left = histogram[n]
+        while left:
+            fits = np.flatnonzero(is_open[n:])
+            if len(fits):
+                r = int(fits[0]) + n
+                content, bins = room[r].pop()
+                is_open[r] = bool(room[r])
+            else:
+                r, content, bins = capacity, {}, left
+            most = r // n
+            taken = min(left, bins * most)
+            whole, extra = divmod(taken, most)
+            put(r - most * n, content | {n: most}, whole)
+            put(r - extra * n, content | {n: extra}, int(extra > 0))
+            if content:
+                put(r, content, bins - whole - (extra > 0))
+            left -= taken
+    return [Pattern(tuple(c), tuple(c.values()), bins) for groups in room.values() for c, bins in groups]
+
+
+def stored(patterns: list[Pattern], capacity: int) -> int:
+    """Tokens that all sequences take, padding included."""
+    return sum(p.times * sequence_cost(sum(n * a for n, a in zip(p.lengths, p.counts, strict=True)), capacity) for p in patterns)
+
+
+def plan(histogram: dict[int, int], capacity: int = CAPACITY, gap: float = GAP) -> list[Pattern]:
+    """Patterns that hold every piece of the histogram exactly once.
+
+    The program's patterns are rounded down, or, largest share first, up where
+    that still fits; best fit packs what is left over. The better of both ways
+    is taken, or plain best fit, where that stores less.
+    """
+    histogram = {n: k for n, k in histogram.items() if k > 0}
+    if not histogram:
         return []
-    left = np.array([histogram[int(n)] for n in lengths], np.int64)
-    out: list[Pattern] = []
-    for counts, value in sorted(solve(lengths, left.copy(), capacity, max_steps), key=lambda p: -p[1]):
-        times = int(min(np.floor(value + 1e-6), *(left[i] // a for i, a in counts.items())))
-        if times > 0:
-            order = sorted(counts, reverse=True)
-            out.append(Pattern(tuple(int(lengths[i]) for i in order), tuple(counts[i] for i in order), times))
-            for i, a in counts.items():
-                left[i] -= a * times
-    rest = [int(n) for n, k in zip(lengths, left, strict=True) for _ in range(int(k))]
-    for found in best_fit(rest, capacity):
-        order = sorted(set(found), reverse=True)
-        out.append(Pattern(tuple(order), tuple(found.count(n) for n in order), 1))
-    return out
+    greedy = best_fit(histogram, capacity)
+    lengths = np.array(sorted(histogram), np.int64)
+    index = {int(n): k for k, n in enumerate(lengths)}
+    demand = np.array([histogram[int(n)] for n in lengths], np.int64)
+    start = {tuple(sorted((index[n], a) for n, a in zip(p.lengths, p.counts, strict=True))): None for p in greedy}
+    program = solve(lengths, demand, capacity, [dict(p) for p in start], gap)
+    found = [greedy]
+    for least in (1.0, 0.5):
+        left, rounded = demand.copy(), []
+        for whole in (True, False):
+            for counts, value in sorted(program.patterns, key=lambda p: -(p[1] if whole else p[1] % 1)):
+                share = np.floor(value + 1e-6) if whole else float(value % 1 >= least)
+                times = int(min(share, *(left[i] // a for i, a in counts.items())))
+                if times > 0:
+                    order = sorted(counts, reverse=True)
+                    rounded.append(Pattern(tuple(int(lengths[i]) for i in order), tuple(counts[i] for i in order), times))
+                    for i, a in counts.items():
+                        left[i] -= a * times
+        found.append(rounded + best_fit({int(n): int(k) for n, k in zip(lengths, left, strict=True)}, capacity))
+    return min(reversed(found), key=lambda patterns: stored(patterns, capacity))
 
 
 def slots(patterns: list[Pattern]) -> dict[int, np.ndarray]:
@@ -229,17 +295,20 @@ def ranked(cut: DataFrame, total: int) -> DataFrame:
     return local.join(first, ["length", "group"]).select(*cut.columns[:-1], (F.col("own") - 1 + F.col("first")).alias("rank"))
 
 
-def pack(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, max_steps: int = MAX_STEPS) -> DataFrame:
+def pack(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, gap: float = GAP) -> DataFrame:
     """Pieces of all documents with ``sequence_id`` and ``offset``.
 
-    Null text: empty, so one piece with id 0. Rows sharing a doc_id are packed
-    each for itself. An empty table gives no rows. Ranks go by a hash of the
-    document, so the packing is the same whatever the input's order.
+    Null text: empty, so one piece with id 0. Rows sharing a doc_id, repeated
+    rows and rows with a null doc_id are packed each for itself. A very long
+    text gives as many pieces as it needs. An empty table gives no rows. Only
+    ``doc_id`` and ``text`` are read, so other columns may have any names. Ranks
+    go by a hash of the document, so the packing is the same whatever the
+    input's order; rows equal in every way are ranked among each other at will.
     """
     cut = S.materialize(pieces(docs, tokenizer, capacity), "pieces")
     sizes = {r["length"]: r["n"] for r in cut.groupBy("length").agg(F.count("*").alias("n")).collect()}
     total, full = sum(sizes.values()), sizes.pop(capacity, 0)
-    table = slots(plan(sizes, capacity, max_steps))
+    table = slots(plan(sizes, capacity, gap))
     table[capacity] = np.array([[0, 1, max(total - full, 0), 0]], np.int64)  # full pieces stand alone
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

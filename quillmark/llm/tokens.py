@@ -9,6 +9,7 @@ the tests hold the ids equal to those of ``tokenizers`` on the whole texts.
 from __future__ import annotations
 
 import json
+import re
 from array import array
 
 import numpy as np
@@ -74,6 +75,11 @@ class Encoder:
     def __init__(self, path: str):
         import tiktoken
 
+        with open(path, encoding="utf-8") as file:
+            added = {t["content"]: t["id"] for t in json.load(file)["added_tokens"]}
+        #: Added tokens stand for themselves wherever their text occurs; the longest wins.
+        self.added = {k: np.array([n], np.uint32) for k, n in added.items()}
+        self.splits = re.compile("|".join(re.escape(k) for k in sorted(added, key=lambda k: (-len(k), k)))) if added else None
         # every text given is one pre-token already
         self.bpe = tiktoken.Encoding("own", pat_str=r"[\s\S]+", mergeable_ranks=ranks(path), special_tokens={})
         self.known: dict[int, bytes] = {}
@@ -86,6 +92,25 @@ class Encoder:
 
     def __call__(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts in one array, and each text's offset in it."""
+        if self.splits is None or not any(self.splits.search(t) for t in texts):
+            return self._plain(texts)
+        pieces, after, owner = [], [], []  # what stands between added tokens, and the one that ends it
+        for n, text in enumerate(texts):
+            at = 0
+            for found in self.splits.finditer(text):
+                pieces.append(text[at : found.start()])
+                after.append(self.added[found[0]])
+                owner.append(n)
+                at = found.end()
+            pieces.append(text[at:])
+            after.append(np.zeros(0, np.uint32))
+            owner.append(n)
+        ids, offsets = self._plain(pieces)
+        parts = [x for k, end in enumerate(after) for x in (ids[offsets[k] : offsets[k + 1]], end)]
+        sizes = np.bincount(owner, [len(parts[2 * k]) + len(parts[2 * k + 1]) for k in range(len(after))], len(texts))
+        return np.concatenate(parts), np.concatenate(([0], np.cumsum(sizes).astype(np.int64)))
+
+    def _plain(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         points, offsets = S.code_points(texts)
         if not len(points):
             return np.zeros(0, np.uint32), np.zeros(len(texts) + 1, np.int64)

@@ -275,7 +275,6 @@ def test_attention_gradient():
 
 def packed(rows, found, capacity):
     reference = Tokenizer.from_file(PATH)
-    reference.encode_special_tokens = True
     want = Counter()
     for key, text, *_ in rows:
         ids = np.array([*reference.encode(text or "", add_special_tokens=False).ids, 0], "<u4")
@@ -313,3 +312,62 @@ def test_plans_cover_their_histogram(seed):
         for n, a in zip(p.lengths, p.counts, strict=True):
             done[n] += a * p.times
     assert done == histogram
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_plans_store_no_more_than_best_fit_and_reach_the_gap(seed):
+    rng = random.Random(seed)
+    histogram = dict(Counter(min(255, int(rng.expovariate(1 / 90)) + 1) for _ in range((300, 3000, 200_000)[seed])))
+    greedy, plan = packing.best_fit(histogram, 256), packing.plan(histogram, 256)
+    for patterns in (greedy, plan):
+        held = Counter()
+        for p in patterns:
+            for n, a in zip(p.lengths, p.counts, strict=True):
+                held[n] += a * p.times
+        assert held == histogram
+    assert packing.stored(plan, 256) <= packing.stored(greedy, 256)
+    lengths = np.array(sorted(histogram), np.int64)
+    demand = np.array([histogram[n] for n in lengths.tolist()])
+    program = packing.solve(lengths, demand, 256, [])
+    tokens = int(lengths @ demand)
+    assert program.bound >= tokens and program.value >= tokens - 1e-6
+    assert program.finished or program.value - program.bound <= max(packing.GAP * program.bound, packing.SLACK * 256) * 1.001
+    for counts, _ in program.patterns:
+        assert sum(int(lengths[i]) * a for i, a in counts.items()) <= 256
+
+
+def test_best_fit_over_a_histogram_equals_piece_by_piece():
+    rng = random.Random(8)
+    for _ in range(50):
+        pieces = sorted((rng.randint(1, 40) for _ in range(rng.randint(1, 200))), reverse=True)
+        rooms = []
+        for n in pieces:
+            fit = min((r for r in rooms if r >= n), default=None)
+            if fit is None:
+                rooms.append(40 - n)
+            else:
+                rooms[rooms.index(fit)] -= n
+        assert sum(p.times for p in packing.best_fit(dict(Counter(pieces)), 40)) == len(rooms)
+
+
+def test_a_benchmark_of_several_passes(spark, monkeypatch):
+    rng = random.Random(5)
+    rows = [(k, prose(rng, 60), "en", "s", "b") for k in range(40)]
+    items = [(k, " ".join(rows[k][1].split()[:25])) for k in range(0, 40, 4)]
+    docs, bench = spark.createDataFrame(rows, SCHEMA), spark.createDataFrame(items, "item_id long, text string")
+    once = sorted(map(tuple, decontaminate.find(docs, bench).collect()))
+    kept = sorted(map(str, decontaminate.drop_leaking(docs, bench).collect()))
+    monkeypatch.setattr(decontaminate, "ITEMS", 3)
+    assert len(once) >= 10 and sorted(map(tuple, decontaminate.find(docs, bench).collect())) == once
+    assert sorted(map(str, decontaminate.drop_leaking(docs, bench).collect())) == kept
+
+
+def test_tables_go_when_discarded(spark):
+    from quillmark.llm import _shared as S
+
+    table = S.materialize(spark.range(5).toDF("x"), "five")
+    path = S._WRITTEN[id(table)][1]
+    assert table.count() == 5
+    S.discard(table)
+    with pytest.raises(Exception, match=r"(?i)not exist|FILE_NOT_EXIST|FAILED_READ_FILE|PATH_NOT_FOUND"):
+        spark.read.parquet(path).count()

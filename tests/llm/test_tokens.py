@@ -12,9 +12,7 @@ PIECES = ["a", "b", "S", "s", "t", "r", "e", "v", "l", "d", "m", "'", " ", " ",
 
 @pytest.fixture(scope="module")
 def reference():
-    found = Tokenizer.from_file(PATH)
-    found.encode_special_tokens = True
-    return found
+    return Tokenizer.from_file(PATH)
 
 
 def test_ids_equal_those_of_the_library(reference):
