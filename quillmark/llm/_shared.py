@@ -25,12 +25,11 @@ _P3 = U64(0x94D049BB133111EB)
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: ``spark.checkpoint.dir``, or a local one in tests."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
+    """The folder all executors share: ``spark.checkpoint.dir``; in a local session without one, as in tests, its own."""
+    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
-        current = spark.sparkContext.getCheckpointDir()
-        if current:
-            return current
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         found = f"/tmp/quillmark-checkpoints/{uuid.uuid4().hex}"
         spark.sparkContext.setCheckpointDir(found)
     return found
@@ -43,9 +42,32 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     whether a later join broadcasts it (autoBroadcastJoinThreshold) or shuffles.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/quillmark/{name}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/quillmark/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    found = spark.read.schema(df.schema).parquet(path)
+    _WRITTEN[id(found)] = found, path
+    return found
+
+
+_WRITTEN: dict[int, tuple[DataFrame, str]] = {}
+
+
+def discard(*tables: DataFrame) -> None:
+    """Deletes materialised tables that no plan still to run reads."""
+    for table in tables:
+        _, path = _WRITTEN.pop(id(table))
+        _delete(table.sparkSession, path)
+
+
+def clean(spark: SparkSession) -> None:
+    """Deletes all tables this application has materialised; results not yet read are lost."""
+    _WRITTEN.clear()
+    _delete(spark, f"{shared_dir(spark)}/quillmark/{spark.sparkContext.applicationId}")
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
 
 
 def small_batches(spark: SparkSession) -> None:
@@ -60,6 +82,31 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+#: Bits of a ``Bitmap``: its size, whatever the input's.
+BITMAP_BITS = 1 << 25
+
+
+class Bitmap:
+    """A table of bits at places of a column's whole numbers: it says of a number "perhaps there" or "surely not".
+
+    A filter before a shuffle join: however many values there are, it takes 4 MB,
+    and more of them only let more rows pass to the join that decides.
+    """
+
+    def __init__(self, rows: DataFrame, column: str):
+        value = F.col(column).cast("long")
+        at = value.bitwiseXOR(F.shiftrightunsigned(value, 25)).bitwiseXOR(F.shiftrightunsigned(value, 50)).bitwiseAND(F.lit(BITMAP_BITS - 1))
+        bit = F.call_function("shiftleft", F.lit(1).cast("long"), F.col("at").bitwiseAND(F.lit(63)).cast("int"))
+        found = rows.select(at.alias("at")).groupBy(F.shiftright("at", 6).alias("word")).agg(F.bit_or(bit).alias("bits")).toArrow()
+        self.words = np.zeros(BITMAP_BITS // 64, U64)
+        self.words[found.column("word").to_numpy()] = found.column("bits").to_numpy().view(U64)
+
+    def may_hold(self, values: np.ndarray) -> np.ndarray:
+        value = values.view(U64)
+        at = (value ^ (value >> U64(25)) ^ (value >> U64(50))) & U64(BITMAP_BITS - 1)
+        return (self.words[(at >> U64(6)).astype(np.int64)] >> (at & U64(63))) & U64(1) == 1
+
+
 def crc_mod(column: str, modulus: int):
     """crc32(column as text) mod ``modulus``; a null id counts as the empty text."""
     return F.crc32(F.coalesce(F.col(column).cast("string"), F.lit("")).cast("binary")) % modulus

@@ -33,7 +33,8 @@ def components(edges: DataFrame, most_rounds: int | None = None) -> DataFrame:
         large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e"))
-        edges = S.materialize(small.select("e.u", "e.v").where("u <> v").distinct(), "edges")
+        last, edges = edges, S.materialize(small.select("e.u", "e.v").where("u <> v").distinct(), "edges")
+        S.discard(last)
         before, state = state, _state(edges)
         if before == state:
             break

@@ -352,8 +352,8 @@ def _unseen(hashes: np.ndarray, seen: set) -> np.ndarray:
     return np.sort(first[new])
 
 
-def candidates(seen: DataFrame, t: int) -> DataFrame:
-    """``key, h, meta`` (the sketch; top bit: indexed by the key) of lines that share a key and nearly a sketch with another.
+def shared_keys(seen: DataFrame, t: int) -> DataFrame:
+    """``key, h, meta`` (the sketch; top bit: indexed by the key) of lines that share a key with another.
 
     A key of very many lines goes out once for each part of the sketch, so that
     lines meet only if some part is equal, as it is within distance ``t``.
@@ -372,8 +372,11 @@ def candidates(seen: DataFrame, t: int) -> DataFrame:
     rows = rows.select(F.explode(F.when(F.col("hot").isNull(), F.array("key")).otherwise(F.array(*split))).alias("key"), "h", "meta")
     over = Window.partitionBy("key")
     shared = rows.withColumn("low", F.min("h").over(over)).withColumn("high", F.max("h").over(over)).withColumn("sign", F.min("meta").over(over))
-    shared = shared.where("low <> high and sign < 0").groupBy("key", "h").agg(F.bit_or("meta").alias("meta"))
-    shared = S.materialize(shared, "shared_keys")
+    return shared.where("low <> high and sign < 0").groupBy("key", "h").agg(F.bit_or("meta").alias("meta"))
+
+
+def candidates(shared: DataFrame, t: int) -> DataFrame:
+    """The rows of lines that share a key and nearly a sketch with another line."""
     x, y = shared.alias("x"), shared.alias("y")
     differ = F.col("x.meta").bitwiseXOR(F.col("y.meta")).bitwiseAND(F.lit(_SKETCH))
     alike = (F.col("x.h") != F.col("y.h")) & (F.least("x.meta", "y.meta") < 0) & (F.bit_count(differ) <= 2 * t)
@@ -386,23 +389,30 @@ def near_lines(docs: DataFrame, seen: DataFrame, distinct: DataFrame, t: int = D
 
     ``docs`` has long doc_id and text; ``distinct`` is ``h, h2, rep``, a document that has the line.
     No pair is written: the rows are those of the candidates, however many links they have.
+    The texts of candidate lines are read from the documents once more, through bitmaps of
+    fixed size, so that documents are not shuffled.
     """
-    rows = S.materialize(candidates(seen, t), "candidates")
+    shared = S.materialize(shared_keys(seen, t), "shared_keys")
+    rows = S.materialize(candidates(shared, t), "candidates")
+    S.discard(shared)
     wanted = S.materialize(distinct.join(rows.select("h").distinct(), "h", "left_semi").select("h", "h2", "rep"), "wanted")
 
+    documents, lines_wanted = S.Bitmap(wanted, "rep"), S.Bitmap(wanted, "h")
+
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         done: set = set()
         for batch in batches:
+            batch = batch.filter(pa.array(documents.may_hold(batch.column("doc_id").to_numpy())))
             for part in S.slices(batch, "text"):
                 texts = [x or "" for x in part.column("text").to_pylist()]
                 lines = Lines(texts, least)
-                h, new, whole = lines.hashes(), _unseen(lines.hashes(), done), "".join(texts)
+                h = lines.hashes()
+                new = _unseen(h, done)
+                new, whole = new[lines_wanted.may_hold(h[new])], "".join(texts)
                 found = [whole[a:b] for a, b in zip(lines.start[new].tolist(), lines.end[new].tolist(), strict=True)]
                 yield pa.RecordBatch.from_arrays([pa.array(h[new].view(np.int64)), pa.array(lines.second()[new].view(np.int64)), pa.array(found, pa.string())], ["h", "h2", "line"])
 
-    holders = wanted.select(F.col("rep").alias("holder")).distinct()
-    some = docs.join(holders, docs["doc_id"] == holders["holder"], "left_semi").select("text")
-    texts = some.mapInArrow(read, "h long, h2 long, line string").join(wanted, ["h", "h2"]).dropDuplicates(["h", "h2"])
+    texts = docs.mapInArrow(read, "h long, h2 long, line string").join(wanted, ["h", "h2"]).dropDuplicates(["h", "h2"])
     texts = S.materialize(texts, "line_texts")
     blocks = rows.groupBy("key").agg(F.ceil(F.count("*") / F.lit(BLOCK)).cast("int").alias("blocks"))
     dealt = rows.join(blocks, "key").withColumn("block", F.pmod(F.xxhash64("h"), F.col("blocks")).cast("int"))
