@@ -68,9 +68,13 @@ def slug(x: Column) -> Column:
 
 
 def natural_key(x: Column) -> Column:
-    """Sort key in which digit runs compare as numbers, as one string."""
+    """Sort key in which digit runs compare as numbers, as one string: a run's digits follow their count."""
     parts = F.regexp_extract_all(F.lower(x), F.lit(r"\d+|[^\d]+"), F.lit(0))
-    return F.array_join(F.transform(parts, lambda p: F.when(p.rlike(r"^\d"), F.lpad(F.regexp_replace(p, "^0+(?=.)", ""), 20, "0")).otherwise(p)), "\u0001")
+    return F.array_join(F.transform(parts, lambda p: F.when(p.rlike(r"^\d"), _counted(F.regexp_replace(p, "^0+(?=.)", ""))).otherwise(p)), "\u0001")
+
+
+def _counted(digits: Column) -> Column:
+    return F.concat(F.lpad(F.length(digits).cast("string"), 10, "0"), digits)
 
 
 def percent(x: Column, digits: int = 0) -> Column:
@@ -98,6 +102,12 @@ def normalize_sql(x: str) -> str:
     return rf"trim(regexp_replace(regexp_replace({x}, '[^\p{{L}}\p{{N}}_\s-]', ' ', 'g'), '\s+', ' ', 'g'))"
 
 
+def natural_key_sql(x: str) -> str:
+    digits = "coalesce(nullif(ltrim(p, '0'), ''), '0')"
+    counted = f"lpad(length({digits})::VARCHAR, 10, '0') || {digits}"
+    return rf"array_to_string(list_transform(regexp_extract_all(lower({x}), '\d+|[^\d]+'), lambda p: CASE WHEN regexp_matches(p, '^\d') THEN {counted} ELSE p END), chr(1))"
+
+
 def index_tokens_sql(x: str) -> str:
     return rf"regexp_extract_all(replace(lower({x}), 'ſ', 's'), '[\p{{L}}\p{{N}}]+')"
 

@@ -58,6 +58,28 @@ def aliases(pairs: DataFrame) -> DataFrame:
     return pairs.select(text.normalize(F.col("canonical")).alias("canonical"), text.normalize(F.col("alias")).alias("alias")).where("canonical <> '' and alias <> ''").distinct()
 
 
+def alias_variants(names: DataFrame, pairs: DataFrame) -> DataFrame:
+    """``names`` with each ``variant`` of their column name: itself and both sides of every alias pair it is part of."""
+    keyed = names.join(pairs, names["name"] == pairs["canonical"]).unionByName(names.join(pairs, names["name"] == pairs["alias"]))
+    found = keyed.select(*names.columns, F.explode(F.array("canonical", "alias")).alias("variant"))
+    return found.unionByName(names.withColumn("variant", F.col("name"))).distinct()
+
+
+def line_context(lines: DataFrame, pages: DataFrame, documents: DataFrame) -> DataFrame:
+    """Every line with its document's title and year and its page's columns."""
+    return lines.join(pages, ["document_id", "page_index"]).join(documents.select("document_id", "title", "year"), "document_id")
+
+
+def list_documents(documents: DataFrame) -> DataFrame:
+    """Documents, the newest first, then by title."""
+    return documents.orderBy(F.desc("created_at"), "title")
+
+
+def rows(spark, sql: str, parameters: dict | list | None = None) -> DataFrame:
+    """Any query over registered tables, with parameters marked ``:name`` or ``?``."""
+    return spark.sql(sql, args=parameters)
+
+
 class Snapshots:
     """Tables kept as numbered snapshot folders; a pointer file, written last, names the current one.
 

@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillmark.functions import text
-from quillmark.operators import export, lexical, merge, recognition, rules, store
-from quillmark.plans.search_queries import LINES, query
+from quillmark.operators import export, lexical, merge, recognition, recognizers, rules, store
+from quillmark.plans.search_queries import LINES, ORACLES, query
 from quillmark.sources import corpus, pagexml
 
 DOCS = corpus.DOCUMENTS_SQL
@@ -200,9 +200,40 @@ def year_words(spark, sf_dir) -> DataFrame:
     return spark.range(1780, 2020).select(F.col("id").cast("int").alias("year")).select("year", rules.year_words(F.col("year")).alias("words"))
 
 
-@query()
+#: Lines of a civil-register form as they might be read, the last two of no form's wording.
+FORM_LINES = (
+    "Dc. 145.", "Der Standesbeamte.", "verstorben sei.", "Wor dem Anzeigenden", "wäre in Sorau", "des Jahres tausend", "x, genehmigt und unterschrieben.",
+    "worden in Guben", "sind setzte aus , das er", "45 Jahre, katholischer Rel.", "geborenen Schmidt", "Sohn aus Anzeigenden", "am zwanzigtx ab. Mai um", "Worden ist",
+)
+#: The form's patterns for an engine without look-around; a line starts or a sign that is no letter comes before, or follows.
+FORM_SQL = (
+    (r"^Wor dem([^\p{L}\p{N}_]|$)", r"Vor dem\1"), (r"(?i)^worden in([^\p{L}\p{N}_]|$)", r"wohnhaft in\1"),
+    (r"(?i)^(?:sind|und) setzte aus\s*,\s*das([^\p{L}\p{N}_]|$)", r"und zeigte an, daß\1"), (r"(?i)^(\d+)\s+Jahre.*katholischer.*$", r"\1 Jahre alt, katholischer Religion,"),
+    (r"(?i)^wäre in([^\p{L}\p{N}_]|$)", r"wohnhaft in\1"), (r"(?i)^geborenen?\s+", "geboren zu "), (r"(?i)^Sohn aus Anzeigenden([^\p{L}\p{N}_]|$)", r"Sohn des Anzeigenden\1"),
+    (r"(?i)^\S+\s*,\s*genehmigt und unterschrieben\s*\.?$", "Vorgelesen, genehmigt und unterschrieben."),
+    (r"(?i)(^|[^\p{L}\p{N}_])zwanzig[\p{L}\p{N}_]*(?:\s+[\p{L}\p{N}_]{1,3}\s*\.)?\s+(April|Mai|Juni|Juli)([^\p{L}\p{N}_]|$)", r"\1zwanzigsten \2\3"),
+)
+
+
+def _form_sql(x: str) -> str:
+    x = rf"CASE WHEN line_order < 4 THEN regexp_replace({x}, '^[A-Za-z]{{1,3}}\s*\.\s*(\d{{1,5}})\s*\.$', 'Nr. \1.') ELSE {x} END"
+    for pattern, replacement in FORM_SQL:
+        x = f"regexp_replace({x}, '{pattern}', '{replacement}')"
+    return x
+
+
+YEAR_WORDS_SQL = f"""SELECT y, CASE WHEN y < 1900 THEN 'tausend achthundert' ELSE 'tausend neunhundert' END || CASE WHEN e = '' THEN '' ELSE ' und ' || e END AS words FROM (
+    SELECT y, CASE WHEN y % 100 < 20 THEN ({rules.UNITS})[y % 100 + 1] WHEN y % 10 = 0 THEN ({rules.TENS})[y % 100 // 10 - 1]
+      ELSE regexp_replace(({rules.UNITS})[y % 10 + 1], 's$', '') || 'und' || ({rules.TENS})[y % 100 // 10 - 1] END AS e FROM range(1800, 2000) r(y))"""
+
+
+@query(f"""WITH said AS (SELECT unnest({list(FORM_LINES)}) AS text, unnest(range({len(FORM_LINES)}))::INT AS line_order),
+    form AS (SELECT line_order, text, {_form_sql('text')} AS fixed FROM said),
+    dated AS (SELECT document_id, line_order, text, CASE WHEN starts_with(lower(fixed), 'des jahres') AND words IS NOT NULL THEN 'des Jahres ' || words ELSE fixed END AS fixed
+      FROM form, ({DOCS}) d LEFT JOIN ({YEAR_WORDS_SQL}) w ON w.y = d.year)
+    SELECT document_id, line_order, fixed AS text, CASE WHEN fixed <> text THEN 'm+standesformular' ELSE 'm' END AS model FROM dated""")
 def civil_register_rules(spark, sf_dir) -> DataFrame:
-    said = ["Dc. 145.", "Der Standesbeamte.", "verstorben sei.", "Wor dem Anzeigenden", "wäre in Sorau", "des Jahres tausend", "x, genehmigt und unterschrieben."]
+    said = FORM_LINES
     none = F.expr("cast(array() as array<struct<text:string,model:string,confidence:double>>)")
     docs = corpus.archive_documents(spark, sf_dir)
     lines = docs.select("document_id", "year", F.posexplode(F.array(*map(F.lit, said))).alias("line_order", "text")).select("*", F.lit("m").alias("model"), F.lit(0.8).alias("confidence"), none.alias("alternatives"))
@@ -321,16 +352,69 @@ def reindex_after_edits(spark, sf_dir) -> DataFrame:
     return index.groupBy("token").agg(F.count("*").alias("n"))
 
 
-@query()
+@query(ORACLES["token_doc_freq"])
 def stream_incremental_index(spark, sf_dir) -> DataFrame:
+    """The postings that a stream of lines leaves equal those of one pass."""
     import uuid
 
     from quillmark.streaming import index
 
-    base = spark.conf.get("spark.checkpoint.dir", None) or "/tmp/quillmark-streams"
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not base and not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+    base = base or "/tmp/quillmark-streams"
     root = f"{base}/stream-{uuid.uuid4().hex}"
     corpus.archive_lines(spark, sf_dir).select("line_id", "text").write.parquet(f"{root}/in")
     source = spark.readStream.schema("line_id string, text string").parquet(f"{root}/in")
     index.follow(source, f"{root}/index", f"{root}/state").awaitTermination()
     return spark.read.parquet(f"{root}/index").groupBy("token").agg(F.countDistinct("line_id").alias("lines"), F.count("*").alias("n"))
 
+
+
+# ------------------------------------------------------------ recognizers and listings
+
+
+@query(f"""SELECT document_id, page_index, line_order AS segment, string_agg(trim(text), ' ' ORDER BY word) FILTER (WHERE trim(text) <> '') AS text,
+      round(greatest(0.0, least(1.0, coalesce(avg(confidence) FILTER (WHERE confidence >= 0) / 100, 0.0::DOUBLE))), 8) AS confidence
+    FROM ({WORDS_SQL}) GROUP BY document_id, page_index, line_order HAVING max(trim(text)) <> ''""")
+def segmented_reading(spark, sf_dir) -> DataFrame:
+    read = words(spark, sf_dir).withColumnRenamed("line", "segment").withColumn("bbox", F.struct("x1", "y1", "x2", "y2"))
+    return recognizers.segment_lines(read, PAGE).select(*PAGE, "segment", "text", F.round("confidence", 8).alias("confidence"))
+
+
+@query(f"""SELECT line_id, round(CASE WHEN doc_id % 11 = 0 THEN 0.72::DOUBLE ELSE greatest(0.05::DOUBLE, least(0.92::DOUBLE, exp(-(n % 40) / 10.0::DOUBLE))) END, 9) AS confidence,
+      substr(sha1('trocr-modern:original:' || n || ':' || text), 1, 20) AS id FROM ({LINES})""")
+def sequence_confidences(spark, sf_dir) -> DataFrame:
+    lines = corpus.archive_lines(spark, sf_dir)
+    score = F.when(F.col("doc_id") % 11 != 0, -(F.col("n") % 40) / F.lit(10.0))
+    own = recognizers.line_id(F.lit("trocr-modern"), F.lit("original"), F.col("n"), F.col("text"))
+    return lines.select("line_id", F.round(recognizers.sequence_confidence(score), 9).alias("confidence"), own.alias("id"))
+
+
+#: What the registered cross product reads with: a page reader, a segment reader of its language and a model.
+READERS = recognizers.assemble(recognizers.Installed(("deu", "frak2021"), ("trocr-kurrent-19",), True), ("trocr-kurrent-19", "trocr-kurrent-early"))
+
+
+@query(f"""SELECT document_id, variant, recognizer, position FROM ({DOCS}), (VALUES ('original'), ('kontrast'), ('binär')) v(variant),
+    (VALUES {', '.join(f"({k}, '{r.name}', '{r.kind}')" for k, r in enumerate(READERS))}) r(position, recognizer, kind) WHERE kind = 'page' OR variant = 'original'""")
+def variant_recognizers(spark, sf_dir) -> DataFrame:
+    kinds = F.array(*map(F.lit, ("original", "kontrast", "binär")))
+    variants = corpus.archive_documents(spark, sf_dir).select("document_id", F.explode(kinds).alias("variant"))
+    readers = spark.createDataFrame([(k, r.name, r.kind) for k, r in enumerate(READERS)], "position int, recognizer string, kind string")
+    return recognizers.readings_wanted(variants, readers).select("document_id", "variant", "recognizer", "position")
+
+
+@query(f"""SELECT document_id, title, created_at, (row_number() OVER (ORDER BY created_at DESC, title))::INT AS place
+    FROM (SELECT document_id, title, (doc_id * 7) % 50 AS created_at FROM ({DOCS})) QUALIFY place <= 100""")
+def recent_documents(spark, sf_dir) -> DataFrame:
+    """The 100 first of the list: a page of the listing, as its users see it."""
+    docs = corpus.archive_documents(spark, sf_dir).withColumn("created_at", F.col("document_id").cast("long") * 7 % 50)
+    top = store.list_documents(docs).limit(100)
+    place = F.row_number().over(Window.orderBy(F.desc("created_at"), "title"))  # over 100 rows
+    return top.select("document_id", "title", "created_at", place.alias("place"))
+
+
+@query(f"SELECT year, count(*) AS documents FROM ({DOCS}) WHERE year >= 1850 GROUP BY year")
+def parameterised_rows(spark, sf_dir) -> DataFrame:
+    corpus.archive_documents(spark, sf_dir).createOrReplaceTempView("quillmark_documents")
+    return store.rows(spark, "SELECT year, count(*) AS documents FROM quillmark_documents WHERE year >= :least GROUP BY year", {"least": 1850})

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillmark.functions import phonetics, text
-from quillmark.operators import fuzzy, lexical, search, semantic
+from quillmark.operators import fuzzy, lexical, search, semantic, store
 from quillmark.sources import corpus
 
 QUERIES: dict = {}
@@ -87,8 +87,7 @@ def slug_titles(spark, sf_dir) -> DataFrame:
     return docs.select("doc_id", text.slug(title).alias("slug"))
 
 
-@query(r"""SELECT page_id, array_to_string(list_transform(regexp_extract_all(lower(url), '\d+|[^\d]+'), lambda p:
-    CASE WHEN regexp_matches(p, '^\d') THEN lpad(coalesce(nullif(ltrim(p, '0'), ''), '0'), 20, '0') ELSE p END), chr(1)) AS key FROM pages""")
+@query(f"SELECT page_id, {text.natural_key_sql('url')} AS key FROM pages")
 def natural_order(spark, sf_dir) -> DataFrame:
     return corpus.table(spark, sf_dir, "pages").select("page_id", text.natural_key(F.col("url")).alias("key"))
 
@@ -214,8 +213,8 @@ def rrf_fusion_lex_sem(spark, sf_dir) -> DataFrame:
 def line_context(spark, sf_dir) -> DataFrame:
     lines = corpus.archive_lines(spark, sf_dir)
     pages = lines.select("document_id", "page_index").distinct().select("*", F.lit(1000).alias("width"), F.lit(2440).alias("height"))
-    joined = lines.join(pages, ["document_id", "page_index"]).join(corpus.archive_documents(spark, sf_dir), "document_id")
-    return joined.select("line_id", "title", "year", "page_index", "text", "width", "height")
+    found = store.line_context(lines, pages, corpus.archive_documents(spark, sf_dir))
+    return found.select("line_id", "title", "year", "page_index", "text", "width", "height")
 
 
 def name_lines(spark, sf_dir) -> search.Archive:
@@ -253,5 +252,4 @@ def smart_search(spark, sf_dir) -> DataFrame:
 def alias_expansion(spark, sf_dir) -> DataFrame:
     pairs = name_lines(spark, sf_dir).aliases
     names = corpus.table(spark, sf_dir, "nation").select("n_nationkey", F.lower("n_name").alias("name"))
-    found = names.join(pairs, names["name"] == pairs["canonical"]).unionByName(names.join(pairs, names["name"] == pairs["alias"]))
-    return found.select("n_nationkey", F.explode(F.array("name", "canonical", "alias")).alias("variant")).distinct()
+    return store.alias_variants(names, pairs).select("n_nationkey", "variant")

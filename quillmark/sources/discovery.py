@@ -2,6 +2,12 @@
 
 from __future__ import annotations
 
+import re
+import struct
+import zlib
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -63,3 +69,57 @@ def load_images(spark: SparkSession, folder: str) -> DataFrame:
     """
     rows = spark.read.format("image").option("recursiveFileLookup", "true").option("dropInvalid", "true").load(folder).select("image.*")
     return rows.select(F.col("origin").alias("path"), "width", "height", F.col("nChannels").alias("channels"), "data")
+
+
+def load_page(pages: DataFrame, document_id: str, index: int) -> DataFrame:
+    """The one row of a page; a page that is not there is an IndexError."""
+    found = pages.where((F.col("document_id") == document_id) & (F.col("page_index") == index))
+    if found.isEmpty():
+        raise IndexError(f"{document_id} has no page {index}")
+    return found
+
+
+def tiff_pages(content: bytes) -> int:
+    """Frames of a TIFF file (classic or big): the length of its chain of directories, without decoding any."""
+    order = {b"II": "<", b"MM": ">"}.get(bytes(content[:2]))
+    if order is None:
+        raise ValueError("not a TIFF file")
+    big = struct.unpack_from(order + "H", content, 2)[0] == 43
+    number, entry, place, first = ("Q", 20, "Q", 8) if big else ("H", 12, "I", 4)
+    at, seen = struct.unpack_from(order + place, content, first)[0], set()
+    while at and at not in seen:
+        seen.add(at)
+        entries = struct.unpack_from(order + number, content, at)[0]
+        at = struct.unpack_from(order + place, content, at + struct.calcsize(number) + entry * entries)[0]
+    return len(seen)
+
+
+_PDF_PAGE, _PDF_STREAM = re.compile(rb"/Type\s*/Page(?![A-Za-z])"), re.compile(rb"/ObjStm\b.{0,400}?stream\r?\n", re.S)
+
+
+def pdf_pages(content: bytes) -> int:
+    """Page objects of a PDF file, those in compressed object streams included; encrypted files are not read."""
+    count = len(_PDF_PAGE.findall(content))
+    for found in _PDF_STREAM.finditer(content):
+        try:
+            count += len(_PDF_PAGE.findall(zlib.decompressobj().decompress(content[found.end() :])))
+        except zlib.error:
+            continue
+    return count
+
+
+def page_counts(spark: SparkSession, folder: str) -> DataFrame:
+    """path, kind, pages of every TIFF and PDF file below a folder; unreadable files have null."""
+
+    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            found = []
+            for sort, content in zip(batch["kind"], batch["content"], strict=True):
+                try:
+                    found.append((tiff_pages if sort == "tiff" else pdf_pages)(content))
+                except (ValueError, struct.error):
+                    found.append(None)
+            yield pd.DataFrame({"path": batch["path"], "kind": batch["kind"], "pages": pd.array(found, "Int64")})
+
+    held = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder).withColumn("kind", kind(F.col("path")))
+    return held.where(F.col("kind").isin("tiff", "pdf")).select("path", "kind", "content").mapInPandas(count, "path string, kind string, pages long")
