@@ -48,9 +48,14 @@ def words(x: Column) -> Column:
     return F.regexp_extract_all(x, F.lit(r"[\p{L}\p{N}_-]+"), F.lit(0))
 
 
+def folded(x: Column) -> Column:
+    """Lower case, diacritics kept, long s as s."""
+    return F.replace(F.lower(x), F.lit("ſ"), F.lit("s"))
+
+
 def index_tokens(x: Column) -> Column:
-    """Full-text tokens: lower-case runs of letters and digits, diacritics kept, long s as s."""
-    return F.regexp_extract_all(F.replace(F.lower(x), F.lit("ſ"), F.lit("s")), F.lit(r"[\p{L}\p{N}]+"), F.lit(0))
+    """Full-text tokens: runs of letters and digits of the folded text."""
+    return F.regexp_extract_all(folded(x), F.lit(r"[\p{L}\p{N}]+"), F.lit(0))
 
 
 def language_quality(x: Column) -> Column:

@@ -6,7 +6,7 @@ import re
 from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillmark.functions import text
@@ -53,11 +53,12 @@ def _matches(index: DataFrame, phrase: Phrase) -> DataFrame:
     return reduce(lambda a, b: a.join(b, ["line_id", "col", "base"]), parts)
 
 
-def bm25(index: DataFrame, sizes: DataFrame, phrases: list[Phrase]) -> DataFrame:
+def bm25(index: DataFrame, sizes: DataFrame, phrases: list[Phrase], own: DataFrame | None = None) -> DataFrame:
     """line_id and bm25, the smaller the better, of every line that holds a phrase.
 
     ``index`` is a postings table; stored sorted by token, the filters on token
     reach its Parquet files. The collection's size and mean length are one row.
+    ``own``, if given, has the sizes of at least the lines that hold a phrase.
     """
     hits = None
     for k, phrase in enumerate(phrases):
@@ -69,19 +70,34 @@ def bm25(index: DataFrame, sizes: DataFrame, phrases: list[Phrase]) -> DataFrame
     per_phrase = tf.groupBy("phrase").agg(F.count("*").alias("holders")).crossJoin(F.broadcast(whole))  # a row for each phrase
     idf = F.log((F.col("lines") - F.col("holders") + 0.5) / (F.col("holders") + 0.5))
     per_phrase = per_phrase.select("phrase", "mean", F.when(idf > 0, idf).otherwise(1e-6).alias("idf"))
-    scored = tf.join(F.broadcast(per_phrase), "phrase").join(sizes, "line_id")
+    scored = tf.join(F.broadcast(per_phrase), "phrase").join(sizes if own is None else own, "line_id")
     part = F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("d") / F.col("mean")))
     return scored.groupBy("line_id").agg((-F.sum(part)).alias("bm25"))
 
 
+def may_hold(lines: DataFrame, phrases: list[Phrase]) -> DataFrame:
+    """The lines that have all tokens of some phrase somewhere in their characters, and maybe as words."""
+    has = lambda w: F.contains(text.folded(F.col("text")), F.lit(w)) | F.contains(text.folded(F.col("normalized")), F.lit(w))
+    return lines.where(reduce(lambda x, y: x | y, (reduce(lambda x, y: x & y, map(has, p.tokens)) for p in phrases)))
+
+
 def search(index: DataFrame, sizes: DataFrame, query: str, exact: bool, cap: int) -> DataFrame | None:
-    """line_id, bm25, raw, rank (from 0) of the ``cap`` best lines; None for a query without tokens."""
-    from pyspark.sql import Window
+    """line_id, bm25, raw, rank (from 0) of the ``cap`` best lines by a postings table; None for a query without tokens."""
+    phrases = parse(query, exact)
+    return _best(bm25(index, sizes, phrases), cap) if phrases else None
 
+
+def search_lines(lines: DataFrame, query: str, exact: bool, cap: int) -> DataFrame | None:
+    """The same without an index: only lines that may match are cut into postings."""
     phrases = parse(query, exact)
     if not phrases:
         return None
-    top = bm25(index, sizes, phrases).orderBy("bm25", "line_id").limit(cap)
+    some = may_hold(lines, phrases)
+    return _best(bm25(postings(some), lengths(lines), phrases, lengths(some)), cap)
+
+
+def _best(scored: DataFrame, cap: int) -> DataFrame:
+    top = scored.orderBy("bm25", "line_id").limit(cap)
     rank = F.row_number().over(Window.orderBy("bm25", "line_id")) - 1  # over cap rows
     return top.select("line_id", "bm25", (1 / (1 + F.abs("bm25"))).alias("raw"), rank.alias("rank"))
 

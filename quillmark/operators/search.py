@@ -40,7 +40,7 @@ class Query:
 class Archive:
     """Tables of an archive. ``lines`` carries line_id, document_id, page_index, bbox, text, normalized,
     confidence and maybe alternatives; ``documents`` document_id, title, year; ``index`` and ``sizes``
-    are its postings and lengths, derived when not stored."""
+    are its postings and lengths, where they are stored."""
 
     lines: DataFrame
     documents: DataFrame
@@ -49,11 +49,11 @@ class Archive:
     aliases: DataFrame | None = None
     vectors: DataFrame | None = None
 
-    def postings(self) -> DataFrame:
-        return self.index if self.index is not None else lexical.postings(self.lines)
-
-    def lengths(self) -> DataFrame:
-        return self.sizes if self.sizes is not None else lexical.lengths(self.lines)
+    def lexical(self, query: str, exact: bool, cap: int) -> DataFrame | None:
+        """By the stored postings, or over the lines themselves, where none are stored."""
+        if self.index is None:
+            return lexical.search_lines(self.lines, query, exact, cap)
+        return lexical.search(self.index, self.sizes if self.sizes is not None else lexical.lengths(self.lines), query, exact, cap)
 
 
 #: Rank offset, and each channel's weights for rank and raw score.
@@ -81,7 +81,7 @@ def _channel(hits: DataFrame, weights: tuple[float, float], order: int, priority
 
 def lexical_channel(archive: Archive, query: Query) -> DataFrame | None:
     exact = query.mode == Mode.EXACT
-    found = lexical.search(archive.postings(), archive.lengths(), query.text, exact, max(200, 4 * query.limit))
+    found = archive.lexical(query.text, exact, max(200, 4 * query.limit))
     return found and _channel(found, LEXICAL, 0, F.lit(2), F.lit("exakter Texttreffer" if exact else "Volltexttreffer"), F.lit(query.text))
 
 

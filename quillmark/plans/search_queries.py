@@ -125,8 +125,7 @@ def lexical_sql(q: str, exact: bool, cap: int) -> str:
 
 
 def _lexical(spark, sf_dir, q: str, exact: bool, cap: int) -> DataFrame:
-    lines = corpus.indexed_lines(spark, sf_dir)
-    found = lexical.search(lexical.postings(lines), lexical.lengths(lines), q, exact, cap)
+    found = lexical.search_lines(corpus.indexed_lines(spark, sf_dir), q, exact, cap)
     return found.select("line_id", F.round("bm25", 6).alias("bm25"), F.round("raw", 6).alias("raw"), "rank")
 
 
@@ -135,6 +134,14 @@ def lexical_topk(spark, sf_dir) -> DataFrame:
     return _lexical(spark, sf_dir, "heed", False, 200)
 
 
+@query(lexical_sql(PREFIXES, False, 200))
+def lexical_by_postings(spark, sf_dir) -> DataFrame:
+    """The same search by a postings table."""
+    lines = corpus.indexed_lines(spark, sf_dir)
+    found = lexical.search(lexical.postings(lines), lexical.lengths(lines), PREFIXES, False, 200)
+    return found.select("line_id", F.round("bm25", 6).alias("bm25"), F.round("raw", 6).alias("raw"), "rank")
+
+
 @query(lexical_sql(PREFIXES, False, 200))
 def lexical_prefix_or(spark, sf_dir) -> DataFrame:
     return _lexical(spark, sf_dir, PREFIXES, False, 200)
