@@ -97,6 +97,17 @@ def reading(x: Column) -> Column:
 # ------------------------------------------------------------ the same in DuckDB's SQL, for the oracles
 
 
+def elapsed(seconds: Column) -> Column:
+    """A duration in words: seconds, or minutes and seconds; below zero is zero."""
+    whole = F.greatest(F.lit(0), F.bround(seconds, 0).cast("long"))
+    return F.when(whole < 60, F.concat(whole.cast("string"), F.lit(" s"))).otherwise(F.format_string("%d:%02d min", F.floor(whole / 60), whole % 60))
+
+
+def progress(value: Column) -> Column:
+    """A share as whole percents from 0 to 100."""
+    return F.greatest(F.lit(0), F.least(F.lit(100), F.bround(value * 100, 0).cast("int")))
+
+
 def normalize_sql(x: str) -> str:
     x = f"nfc_normalize({x})"
     for a, b in LIGATURES:

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from quillmark.functions import text
 
+#: What stands between pages, and the name space of PAGE XML.
 PAGE_BREAK = "\n\n--- Seite ---\n\n"
 NAMESPACE = "http://schema.primaresearch.org/PAGE/gts/pagecontent/2019-07-15"
 
@@ -76,6 +77,74 @@ def json_result(documents: DataFrame, pages: DataFrame, lines: DataFrame) -> Dat
     return whole.select("document_id", F.to_json(F.struct(*whole.columns)).alias("json"))
 
 
+#: The headings of a word-processor file, and the parts of such a file beside its text.
+TRANSCRIPT, READING, APPENDIX = "Originalgetreue Transkription", "Lesefassung", "Technischer Anhang"
+_WORD = "http://schemas.openxmlformats.org/wordprocessingml/2006/main"
+_PACKAGE = "http://schemas.openxmlformats.org/package/2006"
+_TYPE = "application/vnd.openxmlformats-officedocument.wordprocessingml.document.main+xml"
+DOCX_PARTS = {
+    "[Content_Types].xml": f'<Types xmlns="{_PACKAGE}/content-types"><Default Extension="rels" ContentType="application/vnd.openxmlformats-package.relationships+xml"/><Override PartName="/word/document.xml" ContentType="{_TYPE}"/></Types>',
+    "_rels/.rels": f'<Relationships xmlns="{_PACKAGE}/relationships"><Relationship Id="r1" Type="http://schemas.openxmlformats.org/officeDocument/2006/relationships/officeDocument" Target="word/document.xml"/></Relationships>',
+}
+
+
+def _run(x: Column, style: str = "") -> Column:
+    legal = F.regexp_replace(x, r"[\x00-\x08\x0b\x0c\x0e-\x1f]", " ")  # signs that XML cannot hold
+    return F.concat(F.lit(f'<w:r><w:rPr>{style}</w:rPr><w:t xml:space="preserve">'), _xml(legal), F.lit("</w:t></w:r>"))
+
+
+def _paragraph(*runs: Column) -> Column:
+    return F.concat(F.lit("<w:p>"), *runs, F.lit("</w:p>"))
+
+
+def _heading(x: Column, size: int) -> Column:
+    return _paragraph(_run(x, f'<w:b/><w:sz w:val="{size}"/>'))
+
+
+def docx(documents: DataFrame, pages: DataFrame, lines: DataFrame) -> DataFrame:
+    """document_id, content: a word-processor file of each document.
+
+    ``documents`` has document_id, title, year, script_hint; ``pages`` document_id, page_index, model, variant,
+    mean_confidence, expected_cer; ``lines`` document_id, page_index, line_order, text, confidence. Lines
+    below 0.9 carry their confidence; then the reading version and a page list follow. Documents
+    without pages have the headings alone.
+    """
+    unsure = _run(F.concat(F.lit("  [Sicherheit "), text.percent(F.col("confidence")), F.lit("]")), "<w:i/>")
+    written = lines.withColumn("p", _paragraph(_run(F.col("text")), F.when(F.col("confidence") < 0.9, unsure).otherwise("")))
+    number = (F.col("page_index") + 1).cast("string")
+    by_page = written.groupBy("document_id", "page_index").agg(_ordered("line_order", "p", "").alias("body"))
+    note = F.concat(F.lit("Seite "), number, F.lit(": "), F.col("model"), F.lit(", Variante "), F.col("variant"), F.lit(", mittlere Sicherheit "), text.percent(F.col("mean_confidence"), 1), F.lit(", erwartete CER "), text.percent(F.col("expected_cer"), 1))
+    full = pages.join(by_page, ["document_id", "page_index"], "left").withColumn("part", F.concat(_heading(F.concat(F.lit("Seite "), number), 26), F.coalesce("body", F.lit("")))).withColumn("note", _paragraph(_run(note)))
+    by_document = full.groupBy("document_id").agg(_ordered("page_index", "part", "").alias("parts"), _ordered("page_index", "note", "").alias("notes"))
+    prose = F.array_join(F.transform(F.split("reading", "\n\n"), lambda x: _paragraph(_run(x))), "")
+    whole = documents.join(by_document, "document_id", "left").join(reading_text(lines).select("document_id", prose.alias("prose")), "document_id", "left")
+    or_none = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("nicht angegeben"))
+    held = lambda c: F.coalesce(c, F.lit(""))
+    body = F.concat(
+        F.lit(f'<?xml version="1.0" encoding="UTF-8"?><w:document xmlns:w="{_WORD}"><w:body>'), _heading(F.col("title"), 40),
+        _paragraph(_run(F.concat(F.lit("Jahr: "), or_none("year")))), _paragraph(_run(F.concat(F.lit("Schrifthinweis: "), or_none("script_hint")))),
+        _heading(F.lit(TRANSCRIPT), 32), held("parts"), F.lit('<w:p><w:r><w:br w:type="page"/></w:r></w:p>'),
+        _heading(F.lit(READING), 32), held("prose"), _heading(F.lit(APPENDIX), 32), held("notes"), F.lit("</w:body></w:document>"),
+    )
+
+    @F.pandas_udf("binary")
+    def packed(xml: pd.Series) -> pd.Series:
+        return xml.map(lambda x: _zipped([*DOCX_PARTS.items(), ("word/document.xml", x)]))
+
+    return whole.select("document_id", packed(body).alias("content"))
+
+
+def _zipped(files: list[tuple]) -> bytes:
+    import io
+    import zipfile
+
+    target = io.BytesIO()
+    with zipfile.ZipFile(target, "w", zipfile.ZIP_DEFLATED) as z:
+        for name, content in files:
+            z.writestr(zipfile.ZipInfo(name, (1980, 1, 1, 0, 0, 0)), content)
+    return target.getvalue()
+
+
 def bundle(documents: DataFrame, lines: DataFrame, pages_xml: DataFrame, results: DataFrame) -> DataFrame:
     """document_id, name, content: each document's files, and a zip of them all, as rows that any sink can store."""
     texts = original_text(lines).withColumn("reading", text.reading(F.col("original")))
@@ -86,15 +155,9 @@ def bundle(documents: DataFrame, lines: DataFrame, pages_xml: DataFrame, results
     titles = documents.select("document_id", F.concat(text.slug(F.col("title")), F.lit("-"), F.substring("document_id", 1, 8)).alias("folder"))
 
     def pack(rows: pd.DataFrame) -> pd.DataFrame:
-        import io
-        import zipfile
-
-        target = io.BytesIO()
-        with zipfile.ZipFile(target, "w", zipfile.ZIP_DEFLATED) as z:
-            for r in rows.sort_values("name").itertuples():
-                z.writestr(zipfile.ZipInfo(r.name, (1980, 1, 1, 0, 0, 0)), r.content)
+        packed = _zipped([(r.name, r.content) for r in rows.sort_values("name").itertuples()])
         first = rows.iloc[0]
-        return pd.DataFrame({"document_id": [first.document_id], "folder": [first.folder], "name": [f"{first.folder}.zip"], "content": [target.getvalue()]})
+        return pd.DataFrame({"document_id": [first.document_id], "folder": [first.folder], "name": [f"{first.folder}.zip"], "content": [packed]})
 
     named = files.join(titles, "document_id").select("document_id", "folder", "name", "content")
     return named.unionByName(named.groupBy("document_id").applyInPandas(pack, named.schema))

@@ -1,8 +1,12 @@
 """Recognizers, page counts, listings and settings."""
 
+import hashlib
+import io
 import struct
 import sys
+import zipfile
 import zlib
+from xml.etree import ElementTree
 
 import duckdb
 import pandas as pd
@@ -10,8 +14,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from quillmark.functions import text
+from quillmark.models import Model, Registry
+from quillmark.operators import export, store
 from quillmark.operators import recognizers as R
-from quillmark.operators import store
 from quillmark.plans import catalog
 from quillmark.settings import Settings
 from quillmark.sources import discovery
@@ -103,3 +108,42 @@ def test_settings(tmp_path):
     Settings(review_budget=2.5, output_dir="ö").save(place)
     place.write_text(place.read_text().replace("{", '{"unknown": 1,', 1))
     assert Settings.load(place) == Settings(review_budget=2.5, output_dir="ö")
+
+
+def test_word_processor_files(spark):
+    documents = spark.createDataFrame([("d", "Kirchenbuch <1872>", 1872, "handschrift"), ("e", "leer", None, None)], "document_id string, title string, year int, script_hint string")
+    pages = spark.createDataFrame([("d", 1, "m", "original", 0.815, 0.08), ("d", 0, "m", "kontrast", 0.86, 0.125)], "document_id string, page_index int, model string, variant string, mean_confidence double, expected_cer double")
+    lines = spark.createDataFrame([("d", 0, 1, "derung & mehr", 0.825), ("d", 0, 0, "Auswan-", 0.95), ("d", 1, 0, "Ende \x01", 0.5)], "document_id string, page_index int, line_order int, text string, confidence double")
+    found = {r.document_id: bytes(r.content) for r in export.docx(documents, pages, lines).collect()}
+    said = {}
+    for key, content in found.items():
+        with zipfile.ZipFile(io.BytesIO(content)) as z:
+            assert set(z.namelist()) == {"[Content_Types].xml", "_rels/.rels", "word/document.xml"}
+            for name in z.namelist():
+                ElementTree.fromstring(z.read(name))
+            root = ElementTree.fromstring(z.read("word/document.xml"))
+        said[key] = [p for p in ("".join(t.text or "" for t in p.iter() if t.tag.endswith("}t")) for p in root.iter() if p.tag.endswith("}p")) if p]
+    assert said["d"][:8] == ["Kirchenbuch <1872>", "Jahr: 1872", "Schrifthinweis: handschrift", export.TRANSCRIPT, "Seite 1", "Auswan-", "derung & mehr  [Sicherheit 82%]", "Seite 2"]
+    assert said["d"][-3:] == [export.APPENDIX, "Seite 1: m, Variante kontrast, mittlere Sicherheit 86.0%, erwartete CER 12.5%", "Seite 2: m, Variante original, mittlere Sicherheit 81.5%, erwartete CER 8.0%"]
+    assert "Auswanderung & mehr" in " ".join(said["d"]) and said["e"][1] == "Jahr: nicht angegeben"
+
+
+def test_progress_words(spark):
+    df = spark.createDataFrame([(-3.0, -0.2), (59.4, 0.125), (61.0, 0.995), (600.2, 2.0)], "s double, v double")
+    assert [tuple(r) for r in df.select(text.elapsed(F.col("s")), text.progress(F.col("v"))).collect()] == [("0 s", 0), ("59 s", 12), ("1:01 min", 100), ("10:00 min", 100)]
+
+
+def test_models_are_fetched_checked_and_removed(tmp_path):
+    content = b"weights"
+    good = Model("a", ("w.bin", "p/x.json"), "sha256:" + hashlib.sha256(content).hexdigest())
+    kept = Registry(tmp_path / "m", [good, Model("b", ("w.bin",), "md5:00"), Model("../c", ("w",))])
+    kept.install("a", lambda model, name: content)
+    assert kept.is_installed("a") and [m["installed"] for m in Registry(tmp_path / "m", [good]).status()] == [True]
+    with pytest.raises(RuntimeError):
+        kept.install("b", lambda model, name: content)
+    assert not kept.folder("b").exists()
+    for act in (kept.remove, kept.folder):
+        with pytest.raises(ValueError):
+            act("../c")
+    kept.remove("a")
+    assert not kept.is_installed("a")
