@@ -371,3 +371,28 @@ def test_tables_go_when_discarded(spark):
     S.discard(table)
     with pytest.raises(Exception, match=r"(?i)not exist|FILE_NOT_EXIST|FAILED_READ_FILE|PATH_NOT_FOUND"):
         spark.read.parquet(path).count()
+
+
+def test_links_of_drifting_groups_connect_as_all_pairs_do():
+    for seed in range(200, 300):
+        rng = np.random.default_rng(seed)
+        size, sets = 100, []
+        for _ in range(int(rng.integers(2, 5))):  # cores of close copies, with chains that drift from one to the next
+            core = rng.integers(0, 1 << 60, size).astype(np.uint64) if not sets else sets[-1].copy()
+            for _ in range(int(rng.integers(5, 20))):
+                core[rng.integers(0, size, int(rng.integers(0, 14)))] = rng.integers(0, 1 << 60, 1).astype(np.uint64)
+                sets.append(core.copy())
+        sets = [np.sort(sets[k]) for k in rng.permutation(len(sets))]
+        count = [Counter(x.tolist()) for x in sets]
+        near = lambda a, b: sum((a & b).values()) >= 0.8 * sum((a | b).values()) - 1e-9
+        want = [(i, j) for i in range(len(sets)) for j in range(i) if near(count[i], count[j])]
+
+        def classes(edges, n=len(sets)):
+            label = list(range(n))
+            for a, b in edges:
+                old, new = label[a], label[b]
+                label = [new if x == old else x for x in label]
+            return {frozenset(k for k in range(n) if label[k] == c) for c in label}
+
+        found = minhash.links(sets)
+        assert set(map(frozenset, found)) <= set(map(frozenset, want)) and classes(found) == classes(want)
