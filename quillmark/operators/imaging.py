@@ -11,6 +11,9 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from quillmark.operators import recognition
 
 VARIANTS = ("original", "normalisiert", "kontrast", "binarisiert")
 
@@ -149,3 +152,26 @@ def prepared(images: DataFrame) -> DataFrame:
             yield pd.DataFrame(out, columns=["path", "position", "name", "d", "boxes"])
 
     return images.mapInPandas(run, schema)
+
+
+def graymap(gray: np.ndarray) -> bytes:
+    """Grey values as a binary portable graymap file."""
+    return b"P5 %d %d 255\n" % (gray.shape[1], gray.shape[0]) + np.clip(np.rint(gray), 0, 255).astype(np.uint8).tobytes()
+
+
+def chosen(images: DataFrame, limit: int = 2) -> DataFrame:
+    """page, variant, choice (from 0), image (a graymap file) of the original and best variants of ``images``
+    (page, width, height, channels, data). The choice is made within the row, so no image is shuffled."""
+    measures = "struct<brightness:double,contrast:double,sharpness:double,skew_degrees:double,clipped_dark:double,clipped_light:double>"
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for rows in batches:
+            for r in rows.itertuples():
+                found = variants(gray_of(r.data, r.width, r.height, r.channels))
+                made = [{"position": k, "name": name, "d": diagnostics(a), "image": graymap(a)} for k, (name, a) in enumerate(found.items())]
+                yield pd.DataFrame({"page": [r.page], "made": [made]})
+
+    made = images.select("page", "width", "height", "channels", "data").mapInPandas(run, f"page string, made array<struct<position:int,name:string,d:{measures},image:binary>>")
+    rated = F.transform("made", lambda v: F.struct((v["name"] != "original").alias("other"), (-recognition.variant_quality(v["d"])).alias("worse"), v["position"].alias("position"), v["name"].alias("name"), v["image"].alias("image")))
+    best = made.select("page", F.posexplode(F.slice(F.array_sort(rated), 1, limit)).alias("choice", "v"))
+    return best.select("page", F.col("v.name").alias("variant"), "choice", F.col("v.image").alias("image"))
