@@ -1,14 +1,18 @@
-"""Command line: search an archive of Parquet tables, list found documents, follow new lines into the index."""
+"""Command line: transcribe folders, search an archive of Parquet tables, list found documents and models, follow new lines into the index."""
 
 from __future__ import annotations
 
 import argparse
+import json
+from pathlib import Path
 
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
 from quillmark.functions import text
-from quillmark.operators import search
+from quillmark.models import Model, Registry
+from quillmark.operators import batch, recognizers, search, store
+from quillmark.settings import Settings
 from quillmark.sources import discovery
 from quillmark.streaming import index
 
@@ -28,11 +32,26 @@ def parser() -> argparse.ArgumentParser:
     i.add_argument("lines")
     i.add_argument("index")
     i.add_argument("checkpoint")
+    b = sub.add_parser("batch", help="transcribe the scans of a folder into an archive and files")
+    b.add_argument("folder")
+    b.add_argument("archive", help="folder of the archive's tables, as snapshots")
+    b.add_argument("output")
+    b.add_argument("--year", type=int)
+    b.add_argument("--script", choices=["auto", "handschrift", "druck", "schreibmaschine"], default="auto")
+    b.add_argument("--settings", default="", help="file of settings")
+    m = sub.add_parser("models", help="list the models of a folder")
+    m.add_argument("root")
+    m.add_argument("catalogue", help="JSON list of models (key, files, checksum)")
     return p
 
 
 def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> None:
     a = parser().parse_args(argv)
+    if a.command == "models":
+        known = [Model(**{**m, "files": tuple(m["files"])}) for m in json.loads(Path(a.catalogue).read_text(encoding="utf-8"))]
+        for m in Registry(a.root, known).status():
+            print(f"{m['key']}\t{'installiert' if m['installed'] else 'fehlt'}")
+        return
     spark = spark or SparkSession.builder.appName("quillmark").getOrCreate()
     if a.command == "search":
         lines = spark.read.parquet(f"{a.archive}/lines.parquet")
@@ -44,6 +63,12 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> No
     elif a.command == "discover":
         for r in discovery.documents(discovery.files(spark, a.folder)).toLocalIterator():
             print(f"{r.id}\t{r.kind}\t{r.title}\t{len(r.source_paths)}")
+    elif a.command == "batch":
+        program = Settings.load(a.settings).recognizer_command if a.settings else Settings.recognizer_command
+        installed = recognizers.Installed(languages=recognizers.installed_languages(program))
+        readers = recognizers.ready(recognizers.assemble(installed, [], a.script == "schreibmaschine"), program)
+        job = batch.Job(spark, store.Snapshots(spark, a.archive), a.output, readers, progress=lambda said, share: print(f"[{share:>6.1%}] {said}"))
+        print(job.run(batch.Request(a.folder, a.year, a.script)))
     else:
         source = spark.readStream.schema("line_id string, text string").parquet(a.lines)
         index.follow(source, a.index, a.checkpoint).awaitTermination()

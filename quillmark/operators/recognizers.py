@@ -7,10 +7,13 @@ page, segment readers only the original.
 
 from __future__ import annotations
 
+import csv
+import io
+import shutil
 import subprocess
 import tempfile
 from collections.abc import Callable, Iterable, Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 from pathlib import Path
 
 import pandas as pd
@@ -132,10 +135,14 @@ def recognize(images: DataFrame, recognizers: list[Recognizer], original: str =
 def external(command: list[str], parse: Callable[[str], pd.DataFrame], seconds: int = 600) -> Callable[[pd.DataFrame], pd.DataFrame]:
     """A reader that runs a program: ``{image}``, ``{input}`` and ``{output}`` in ``command`` name its files.
 
+    ``parse`` gets the output file, or what the program prints if its command names none.
+
     Image rows carry ``image`` (bytes) and may carry ``segmentation`` (the XML
     of ``export.segmentation_xml``). A failing program is a RuntimeError.
     """
 
+    to_file = any("{output}" in part for part in command)
+
     def read(row: pd.DataFrame) -> pd.DataFrame:
         one = row.iloc[0]
         with tempfile.TemporaryDirectory() as folder:
@@ -143,8 +150,44 @@ def external(command: list[str], parse: Callable[[str], pd.DataFrame], seconds:
             Path(places["image"]).write_bytes(bytes(one["image"]))
             Path(places["input"]).write_text(one.get("segmentation") or "", encoding="utf-8")
             done = subprocess.run([part.format(**places) for part in command], capture_output=True, text=True, timeout=seconds, check=False)
-            if done.returncode or not Path(places["output"]).exists():
+            if done.returncode or (to_file and not Path(places["output"]).exists()):
                 raise RuntimeError(done.stderr.strip() or "the recognizer failed")
-            return parse(Path(places["output"]).read_text(encoding="utf-8")).assign(page=one["page"], variant=one["variant"])
+            said = Path(places["output"]).read_text(encoding="utf-8") if to_file else done.stdout
+            return parse(said).assign(page=one["page"], variant=one["variant"])
 
     return read
+
+
+# ------------------------------------------------------------ an installed page reader
+
+
+def printed_lines(out: str) -> pd.DataFrame:
+    """Lines in reading order of a page reader's tab-separated words, by the rules of ``recognition.lines_of_words``."""
+    words = pd.read_csv(io.StringIO(out), sep="\t", quoting=csv.QUOTE_NONE, keep_default_na=False, dtype={"text": str})
+    words = words.assign(text=words["text"].str.strip(), sure=words["conf"].where(words["conf"] >= 0), right=words["left"] + words["width"], bottom=words["top"] + words["height"])
+    found = words[words["text"] != ""].groupby(["block_num", "par_num", "line_num"], sort=False)
+    lines = found.agg(text=("text", " ".join), confidence=("sure", "mean"), x1=("left", "min"), y1=("top", "min"), x2=("right", "max"), y2=("bottom", "max"))
+    lines["confidence"] = (lines["confidence"].fillna(0.0) / 100).clip(0.0, 1.0)
+    lines = lines.sort_values(["y1", "x1"], kind="stable").reset_index(drop=True)
+    return lines.assign(line_order=range(len(lines)))
+
+
+def page_reader(language: str, program: str = "tesseract") -> Callable[[pd.DataFrame], pd.DataFrame]:
+    """A reader by the program of that name, which every executor must have."""
+    options = ["-l", language, "--oem", "1", "--psm", "3", "-c", "preserve_interword_spaces=1", "tsv"]
+    return external([program, "{image}", "stdout", *options], printed_lines)
+
+
+def installed_languages(program: str = "tesseract") -> tuple[str, ...]:
+    """Languages that the program says it has; none without it."""
+    if shutil.which(program) is None:
+        return ()
+    done = subprocess.run([program, "--list-langs"], capture_output=True, text=True, timeout=15, check=False)
+    said = [] if done.returncode else [x.strip() for x in done.stdout.splitlines()]
+    return tuple(x for x in said if x and not x.startswith("List of available languages"))
+
+
+def ready(found: list[Recognizer], program: str = "tesseract") -> list[Recognizer]:
+    """Assembled recognizers with the installed page reader behind those of its kind; others without a reader go."""
+    known = [replace(r, read=page_reader(r.name.split(":", 1)[1], program)) if r.read is None and r.kind == PAGE else r for r in found]
+    return [r for r in known if r.read]

@@ -6,6 +6,7 @@ import numpy as np
 import pandas as pd
 import pytest
 
+from quillmark import cli
 from quillmark.operators import batch, export, review, store
 from quillmark.operators import recognizers as R
 from tests.test_archive import png, scan
@@ -106,3 +107,32 @@ def test_calls_end_with_the_budget(spark):
     found = review.ask(spark.createDataFrame([(p,) for p in "edcba"], "page string"), fetch, 1.0)
     assert [(r.page, r.content, r.cost) for r in found.collect()] == [("a", "{}", 0.3), ("b", None, 0.0), ("c", None, 0.0), ("d", "{}", 0.7), ("e", None, 0.0)]
     assert asked == ["a", "b", "c", "d"]
+
+
+PROGRAM = """#!/usr/bin/env python
+import sys
+if sys.argv[1] == "--list-langs":
+    print("List of available languages (2):\\ndeu\\neng")
+    sys.exit()
+assert open(sys.argv[1], "rb").read(2) == b"P5" and sys.argv[2:5] == ["stdout", "-l", "deu"]
+print("level\tpage_num\tblock_num\tpar_num\tline_num\tword_num\tleft\ttop\twidth\theight\tconf\ttext")
+print("1\t1\t0\t0\t0\t0\t0\t0\t300\t200\t-1\t")
+for k, (line, left, top, conf, word) in enumerate([(2, 20, 90, 90, "Schmidt"), (1, 80, 20, 80, 'am "See'), (1, 20, 22, 60, " Haus"), (2, 99, 90, -1, "NA"), (3, 5, 150, -1, "x")]):
+    print(f"5\t1\t1\t1\t{line}\t{k}\t{left}\t{top}\t40\t14\t{conf}\t{word}")
+"""
+
+
+def test_batch_and_models_on_the_command_line(spark, tmp_path, capsys):
+    png(tmp_path / "in" / "x.png", scan())
+    program = tmp_path / "reader"
+    program.write_text(PROGRAM)
+    program.chmod(0o755)
+    (tmp_path / "settings.json").write_text(json.dumps({"recognizer_command": str(program)}))
+    assert R.installed_languages(str(program)) == ("deu", "eng") and R.installed_languages(str(tmp_path / "absent")) == ()
+    cli.main(["batch", str(tmp_path / "in"), str(tmp_path / "archive"), str(tmp_path / "out"), "--settings", str(tmp_path / "settings.json")], spark)
+    assert "[100.0%]" in capsys.readouterr().out
+    lines = store.Snapshots(spark, str(tmp_path / "archive")).read("lines").orderBy("line_order").collect()
+    assert [(r.text, round(r.confidence, 3), tuple(r.bbox)) for r in lines] == [('am "See Haus', 0.7, (20, 20, 120, 36)), ("Schmidt NA", 0.9, (20, 90, 139, 104)), ("x", 0.0, (5, 150, 45, 164))]
+    (tmp_path / "known.json").write_text(json.dumps([{"key": "a", "files": ["w.bin"]}]))
+    cli.main(["models", str(tmp_path / "models"), str(tmp_path / "known.json")], spark)
+    assert capsys.readouterr().out == "a\tfehlt\n"
