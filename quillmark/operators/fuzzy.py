@@ -16,67 +16,82 @@ LEAST, PHONETIC, PARTIAL, PER_WORD = 45.0, 86.0, 68.0, 12.0
 SOUNDS, SPELT = "phonetische Namensvariante", "ähnliche Schreibweise"
 
 
-def _lcs(a: str, b: str) -> int:
-    places: dict[str, int] = {}
-    for k, c in enumerate(a):
-        places[c] = places.get(c, 0) | 1 << k
-    full = (1 << len(a)) - 1
-    s = full
-    for c in b:
-        u = s & places.get(c, 0)
-        s = ((s + u) | (s - u)) & full
-    return len(a) - s.bit_count()
-
-
-def _one(a: str, b: str) -> float:
-    """Best 200 * LCS / (m + w) of the shorter text over windows of the longer, cut ones at its ends included."""
-    if not a or not b:
-        return 0.0
-    pairs = [(a, b)] if len(a) < len(b) else [(b, a)] if len(b) < len(a) else [(a, b), (b, a)]
-    best = 0.0
-    for short, long in pairs:
-        m = len(short)
-        for start in range(1 - m, len(long)):
-            window = long[max(0, start) : start + m]
-            best = max(best, 200.0 * _lcs(short, window) / (m + len(window)))
-    return best
+#: Bits of a machine word that hold pattern characters; the last one is for the carry.
+BITS = 63
 
 
-def partial_ratios(query: str, texts: list[str]) -> np.ndarray:
-    """Partial ratio of the query with every text, 0 to 100.
+def _common(masks: list[np.ndarray], m: int, windows: int) -> np.ndarray:
+    """LCS of a pattern of m characters with every window of m places along the last axis.
 
-    Windows of all longer texts at once: the LCS state of a window is one
-    64-bit word, advanced for every window together, one query-length of steps.
+    ``masks`` has, for each word of the pattern, the bits of the pattern's characters that equal
+    a place's character. The state of a window is as many words, advanced for all windows together.
     """
+    full = [np.uint64((1 << min(BITS, m - BITS * w)) - 1) for w in range(len(masks))]
+    state = [np.full((*masks[0].shape[:-1], windows), f, np.uint64) for f in full]
+    for j in range(m):
+        carry = np.uint64(0)
+        for w, f in enumerate(full):
+            u = state[w] & masks[w][..., j : j + windows]
+            total = state[w] + u + carry
+            carry = total >> np.uint64(BITS)
+            state[w] = (total | (state[w] - u)) & f
+    return m - sum(np.bitwise_count(s).astype(np.int64) for s in state)
+
+
+def _within_texts(query: str, texts: list[str]) -> np.ndarray:
+    """Best ratio of the query over windows of texts at least as long."""
+    m, sizes = len(query), np.array([len(t) for t in texts])
+    pad = "\0" * (m - 1)
+    points = np.frombuffer((pad + pad.join(texts) + pad).encode("utf-32-le", "surrogatepass"), "<u4")
+    masks = [np.zeros(len(points), np.uint64) for _ in range(0, m, BITS)]
+    for c in set(query):
+        at = points == ord(c)
+        for w, mask in enumerate(masks):
+            mask[at] = sum(1 << k for k, x in enumerate(query[BITS * w : BITS * (w + 1)]) if x == c)
+    count = sizes + m - 1
+    first = np.cumsum(count) - count  # the window one character into each text
+    owner = np.repeat(np.arange(len(texts)), count)
+    offset = np.arange(count.sum()) - np.repeat(first, count)
+    inside = np.minimum(offset + 1, np.minimum(m, sizes[owner] + m - 1 - offset))
+    return np.maximum.reduceat(200.0 * _common(masks, m, len(points) - m + 1)[: count.sum()] / (m + inside), first)
+
+
+def _within_query(query: str, texts: list[str]) -> np.ndarray:
+    """Best ratio of texts of one length, at most the query's, over windows of the query."""
+    k, pad = len(texts[0]), "\0" * (len(texts[0]) - 1)
+    place = np.frombuffer((pad + query + pad).encode("utf-32-le", "surrogatepass"), "<u4")
+    said = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), "<u4").reshape(-1, k)
+    masks = [np.zeros((len(texts), len(place)), np.uint64) for _ in range(0, k, BITS)]
+    for j in range(k):
+        masks[j // BITS] |= (said[:, j : j + 1] == place).astype(np.uint64) << np.uint64(j % BITS)
+    n = len(query) + k - 1
+    inside = np.minimum(np.arange(n) + 1, np.minimum(k, n - np.arange(n)))
+    return (200.0 * _common(masks, k, n) / (k + inside)).max(axis=1)
+
+
+#: Places handled at once; bounds memory.
+PLACES = 400_000
+
+
+def partial_ratios(query: str, texts: list[str]) -> np.ndarray:
+    """Partial ratio of the query with every text, 0 to 100: the shorter over windows of the longer, either way if equally long."""
     m, out = len(query), np.zeros(len(texts))
-    if not 0 < m <= 64:
-        return np.array([_one(query, t) for t in texts])
-    longer = [k for k, t in enumerate(texts) if len(t) > m]
+    if not m:
+        return out
+    longer = [k for k, t in enumerate(texts) if len(t) >= m]
+    ends = np.cumsum([len(texts[k]) + m for k in longer], dtype=np.int64)
+    for part in np.split(np.array(longer, np.int64), np.flatnonzero(np.diff(ends // PLACES)) + 1):
+        if len(part):
+            out[part] = _within_texts(query, [texts[k] for k in part])
+    by_size: dict[int, list[int]] = {}
     for k, t in enumerate(texts):
-        if len(t) <= m:
-            out[k] = _one(query, t)
-    for at in range(0, len(longer), 2000):
-        some = longer[at : at + 2000]
-        sizes = np.array([len(texts[k]) for k in some])
-        pad = "\0" * (m - 1)
-        points = np.frombuffer((pad + pad.join(texts[k] for k in some) + pad).encode("utf-32-le", "surrogatepass"), "<u4")
-        masks = np.zeros(len(points), np.uint64)
-        for c in set(query):
-            masks[points == ord(c)] = sum(1 << k for k, x in enumerate(query) if x == c)
-        n = len(points) - m + 1
-        full = np.uint64((1 << m) - 1)
-        state = np.full(n, full, np.uint64)
-        for j in range(m):
-            u = state & masks[j : j + n]
-            state = ((state + u) | (state - u)) & full
-        common = m - np.bitwise_count(state).astype(np.int64)
-        first = np.cumsum(sizes + m - 1) - (sizes + m - 1)  # the window one character into each text
-        count = sizes + m - 1
-        owner = np.repeat(np.arange(len(some)), count)
-        offset = np.arange(count.sum()) - np.repeat(first, count)
-        inside = np.minimum(offset + 1, np.minimum(m, sizes[owner] + m - 1 - offset))
-        ratio = 200.0 * common[: count.sum()] / (m + inside)
-        out[some] = np.maximum.reduceat(ratio, first)
+        if 0 < len(t) <= m:
+            by_size.setdefault(len(t), []).append(k)
+    for size, some in by_size.items():
+        step = max(1, PLACES // (m + 2 * size))
+        for at in range(0, len(some), step):
+            part = some[at : at + step]
+            out[part] = np.maximum(out[part], _within_query(query, [texts[k] for k in part]))
     return out
 
 

@@ -92,32 +92,49 @@ def test_bm25_equals_sqlite(spark):
         assert found.keys() == want.keys() and all(math.isclose(found[k], want[k], rel_tol=1e-9) for k in want)
 
 
-def test_partial_ratio_equals_its_definition():
-    def lcs(a, b):
-        row = [0] * (len(b) + 1)
-        for x in a:
-            new = [0]
-            for j, y in enumerate(b):
-                new.append(row[j] + 1 if x == y else max(new[-1], row[j + 1]))
-            row = new
-        return row[-1]
-
-    def plain(a, b):
-        if not a or not b:
-            return 0.0
-        best = 0.0
-        for s, t in ((a, b), (b, a)) if len(a) == len(b) else ((min(a, b, key=len), max(a, b, key=len)),):
-            m = len(s)
-            for k in range(1 - m, len(t)):
-                w = t[max(0, k) : k + m]
-                best = max(best, 200.0 * lcs(s, w) / (m + len(w)))
-        return best
-
+def lcs(a, b):
+    row = [0] * (len(b) + 1)
+    for x in a:
+        new = [0]
+        for j, y in enumerate(b):
+            new.append(row[j] + 1 if x == y else max(new[-1], row[j + 1]))
+        row = new
+    return row[-1]
+
+
+def plain(a, b):
+    if not a or not b:
+        return 0.0
+    best = 0.0
+    for s, t in ((a, b), (b, a)) if len(a) == len(b) else ((min(a, b, key=len), max(a, b, key=len)),):
+        m = len(s)
+        for k in range(1 - m, len(t)):
+            w = t[max(0, k) : k + m]
+            best = max(best, 200.0 * lcs(s, w) / (m + len(w)))
+    return best
+
+
+def test_partial_ratio_equals_its_definition(monkeypatch):
     rng = random.Random(2)
-    for _ in range(60):
+    for n in range(60):
+        monkeypatch.setattr(fuzzy, "PLACES", 40 if n % 2 else 400_000)
         query = "".join(rng.choices("abc d", k=rng.randint(1, 9)))
         texts = ["".join(rng.choices("abc d", k=rng.randint(0, 25))) for _ in range(8)]
         assert fuzzy.partial_ratios(query, texts).tolist() == pytest.approx([plain(query, t) for t in texts])
+    monkeypatch.setattr(fuzzy, "BITS", 5)  # patterns of many words
+    for _ in range(60):
+        query = "".join(rng.choices("abc d", k=rng.randint(4, 22)))
+        texts = ["".join(rng.choices("abc d", k=k)) for k in (0, 1, 4, 5, 6, 10, 21, len(query), 30)]
+        assert fuzzy.partial_ratios(query, texts).tolist() == pytest.approx([plain(query, t) for t in texts])
+
+
+def test_partial_ratio_of_long_queries():
+    rng = random.Random(3)
+    for m in (62, 63, 64, 65, 126, 130):
+        query = "".join(rng.choices("abcd ", k=m))
+        texts = ["".join(rng.choices("abcd ", k=k)) for k in (3, 63, 64, m, m + 5)] + [query[1:] + "x", "zz" + query + "z", query[:40] + "ä" + query[40:]]
+        assert fuzzy.partial_ratios(query, texts).tolist() == pytest.approx([plain(query, t) for t in texts])
+    assert fuzzy.partial_ratios("", ["a"]).tolist() == [0.0] and fuzzy.partial_ratios("a" * 70, []).tolist() == []
 
 
 def test_fuzzy_scores_lines_beyond_the_former_cap(spark):
@@ -125,7 +142,7 @@ def test_fuzzy_scores_lines_beyond_the_former_cap(spark):
     said = ["".join(rng.choices("abcdefgh ", k=20)) for _ in range(40)]
     rows = [(f"l{i:05d}", rng.choice(said), 0.9) for i in range(20_500)] + [("x1", "thonerly heed", 0.1), ("x2", "a thonerly hede", 0.2)]
     lines = spark.createDataFrame(rows, "line_id string, normalized string, confidence double")
-    score = {t: fuzzy._one("thonerly heed", t) for _, t, _ in rows}
+    score = {t: plain("thonerly heed", t) for t in {r[1] for r in rows}}
     want = sorted(((-score[t] / 100, i) for i, t, _ in rows if score[t] >= 45))[:200]
     found = fuzzy.search(lines, "thonerly heed", 0.4, False, 200).orderBy("rank").collect()
     assert [(r.line_id, r.raw) for r in found] == [(i, pytest.approx(-s)) for s, i in want] and found[0].line_id == "x1"
