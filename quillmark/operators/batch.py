@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, Row, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quillmark.functions import text
-from quillmark.operators import export, imaging, merge, recognition, recognizers, review, rules, store
+from quillmark.operators import export, imaging, merge, pdf, recognition, recognizers, review, rules, store
 from quillmark.sources import discovery
 
 #: States of a job and what is said with them.
@@ -165,8 +165,8 @@ class Job:
         shown = lines.join(pages.select("document_id", "page_index", "source_path", "width", "height"), ["document_id", "page_index"])
         export.write_files(export.bundle(documents, lines, export.page_xml(shown), export.json_result(documents, pages, lines)), self.output)
         folders = export.batch_index(documents, pages).select("document_id", F.col("output_dir").alias("folder"))
-        word = export.docx(documents, pages, lines).join(folders, "document_id").select("document_id", "folder", F.lit("transkription.docx").alias("name"), "content")
-        export.write_files(word, self.output)
+        printed = export.docx(documents, pages, lines).withColumn("name", F.lit("transkription.docx")).unionByName(pdf.pdf(documents, pages, lines).withColumn("name", F.lit("transkription.pdf")))
+        export.write_files(printed.join(folders, "document_id").select("document_id", "folder", "name", "content"), self.output)
         export.batch_index(documents, pages).write.mode("overwrite").json(f"{self.output}/auftrag-{self.id[:8]}/stapelindex")
 
     # ---------------------------------------------------------- bookkeeping

@@ -1,14 +1,17 @@
 """The batch job and second readings, with recognizers and a service that are made up."""
 
 import json
+import re
+import zlib
 
 import numpy as np
 import pandas as pd
 import pytest
 
 from quillmark import cli
-from quillmark.operators import batch, export, review, store
+from quillmark.operators import batch, export, pdf, review, store
 from quillmark.operators import recognizers as R
+from quillmark.sources import discovery
 from tests.test_archive import png, scan
 
 
@@ -63,7 +66,7 @@ def test_job_from_folder_to_files(spark, tmp_path):
     assert {(r.variant, r.model, r.width) for r in pages} == {("original", "tesseract:deu", 300)}
     names = {str(p.relative_to(tmp_path / "out")) for p in (tmp_path / "out").rglob("*") if p.is_file()}
     folder = next(n for n in names if n.startswith("Über-alles-1-")).split("/")[0]
-    for name in ("transkription_original.txt", "lesefassung.txt", "result.json", "transkription.docx", "pagexml/seite_0002.xml", f"{folder}.zip"):
+    for name in ("transkription_original.txt", "lesefassung.txt", "result.json", "transkription.docx", "transkription.pdf", "pagexml/seite_0002.xml", f"{folder}.zip"):
         assert f"{folder}/{name}" in names
     assert (tmp_path / "out" / folder / "transkription_original.txt").read_text() == "den 3. Mai 1872\nJohann Schmidt" + export.PAGE_BREAK + "den 3. Mai 1872\nJohann Schmidt\n"
     assert not list((tmp_path / "archive" / "_jobs").iterdir())
@@ -136,3 +139,30 @@ def test_batch_and_models_on_the_command_line(spark, tmp_path, capsys):
     (tmp_path / "known.json").write_text(json.dumps([{"key": "a", "files": ["w.bin"]}]))
     cli.main(["models", str(tmp_path / "models"), str(tmp_path / "known.json")], spark)
     assert capsys.readouterr().out == "a\tfehlt\n"
+
+
+def drawn(content):
+    """The text of each page's lines, after a look at the table of places."""
+    start = int(re.search(rb"startxref\n(\d+)", content)[1])
+    places = [int(x) for x in re.findall(rb"(\d{10}) 00000 n", content[start:])]
+    assert content[start:].startswith(b"xref\n0 ") and all(content[p:].startswith(b"%d 0 obj" % k) for k, p in enumerate(places, 1))
+    pages = [zlib.decompress(x).decode() for x in re.findall(rb"stream\n(.*?)\nendstream", content, re.S)]
+    return [[bytes.fromhex(x).decode("cp1252") for x in re.findall(r"<([0-9a-f]*)> Tj", page)] for page in pages], pages
+
+
+def test_portable_documents(spark):
+    documents = spark.createDataFrame([("d", "Kirchenbuch (1)", 1872, "auto"), ("e", "leer", None, None)], "document_id string, title string, year int, script_hint string")
+    pages = spark.createDataFrame([("d", k, "m", "original", 0.935, 0.05) for k in (0, 1)], "document_id string, page_index int, model string, variant string, mean_confidence double, expected_cer double")
+    said = [("d", 0, k, f"Zeile {k}", 0.9) for k in range(90)] + [("d", 1, 0, "Waſſer ⟦?⟧ über " + "wort " * 40, 0.9), ("d", 1, 1, "", 0.9)]
+    lines = spark.createDataFrame(said, "document_id string, page_index int, line_order int, text string, confidence double")
+    found = {r.document_id: bytes(r.content) for r in pdf.pdf(documents, pages, lines).collect()}
+    sheets, raw = drawn(found["d"])
+    assert discovery.pdf_pages(found["d"]) == len(sheets) and discovery.pdf_pages(found["e"]) == 4
+    assert sheets[0] == ["Kirchenbuch (1)", "Jahr: 1872 · Schrift: auto"] and drawn(found["e"])[0][0] == ["leer", "Jahr: nicht angegeben · Schrift: nicht angegeben"]
+    flat = [x for sheet in sheets[1:] for x in sheet]
+    assert flat[:3] == [export.TRANSCRIPT, "Seite 1", "Zeile 0"] and flat[flat.index("Seite 2") - 1] == "m · original · Sicherheit 94%"
+    assert flat.index("Zeile 89") - flat.index("Zeile 0") == 89 and all(len(x) <= 80 for x in flat)
+    at = flat.index("Seite 2")
+    assert flat[at + 1].startswith("Wasser ??? über wort") and " ".join(flat[at + 1 : at + 5]).count("wort") == 40
+    assert "Waſſer ⟦?⟧".encode("utf-16-be").hex() in "".join(raw)
+    assert sheets[-1] == [export.APPENDIX, "Seite · Modell · Variante · Sicherheit · erw. CER", "1 · m · original · 93.5% · 5.0%", "2 · m · original · 93.5% · 5.0%"]
