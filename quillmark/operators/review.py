@@ -66,7 +66,7 @@ def readings(answers: DataFrame) -> DataFrame:
     sure = F.try_variant_get(held, "$.confidence", "double")
     said = F.try_variant_get(held, "$.text", "string")
     return answers.select(
-        "*", whole.alias("available"), F.when(whole, F.trim(F.coalesce(said, F.lit("")))).alias("text"),
+        "*", whole.alias("available"), F.when(whole, F.regexp_replace(F.coalesce(said, F.lit("")), r"^[\s\x1c-\x1f]+|[\s\x1c-\x1f]+$", "")).alias("text"),
         F.when(whole, recognition.clamp(F.coalesce(sure, F.lit(UNSAID)), 0.0, 1.0)).alias("confidence"),
         F.when(whole, F.coalesce(F.try_variant_get(held, "$.notes", "string"), F.lit(""))).alias("notes"),
     )

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillmark.functions import text
-from quillmark.operators import export, lexical, merge, recognition, recognizers, rules, store
+from quillmark.operators import export, lexical, merge, recognition, recognizers, review, rules, store
 from quillmark.plans.search_queries import LINES, ORACLES, query
 from quillmark.sources import corpus, pagexml
 
@@ -259,6 +259,17 @@ def budgeted_review(spark, sf_dir) -> DataFrame:
     return found.select("user_id", "event_id", "cost", "accepted", F.round("spent", 6).alias("spent"))
 
 
+@query(r"""SELECT doc_id::VARCHAR AS page, doc_id % 4 IN (0, 3) AS available,
+    CASE doc_id % 4 WHEN 0 THEN regexp_replace(coalesce(substr(text, 1, 10), ''), '^\s+|\s+$', '', 'g') WHEN 3 THEN '' END AS text,
+    CASE doc_id % 4 WHEN 0 THEN least(1.0, doc_id % 17 / 10.0)::DOUBLE WHEN 3 THEN 0.5::DOUBLE END AS confidence FROM documents""")
+def second_readings(spark, sf_dir) -> DataFrame:
+    """Answers made up from the documents: objects, texts that are no JSON, lists, empty objects."""
+    said = F.to_json(F.struct(F.substring("text", 1, 10).alias("text"), (F.col("doc_id") % 17 / 10).alias("confidence")))
+    content = F.when(F.col("doc_id") % 4 == 0, said).when(F.col("doc_id") % 4 == 1, "no json").when(F.col("doc_id") % 4 == 2, "[1]").otherwise("{}")
+    answers = corpus.table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("page"), content.alias("content"), F.lit(0.0).alias("cost"))
+    return review.readings(answers).select("page", "available", "text", "confidence")
+
+
 # ------------------------------------------------------------ texts and exports
 
 
