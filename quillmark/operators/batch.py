@@ -1,8 +1,10 @@
 """A batch job: from a folder of scans to transcribed, stored and exported documents.
 
 Each step is one plan over all pages of the job, written to the job's own folder
-before the next, so that a lost executor costs tasks and a lost driver leaves the
-archive as it was: tables of the archive change only after everything is computed.
+before the next, so that a lost executor costs tasks only. Files are written and
+tables of the archive change after everything is computed: each table at once, but
+one after the other, documents last. A job that ends in between leaves lines and
+pages of documents that are not listed yet; running it again replaces them.
 """
 
 from __future__ import annotations
@@ -57,7 +59,7 @@ class Job:
         self.work = f"{archive.root}/_jobs/{self.id}"
 
     def cancel(self) -> None:
-        """Ends the job, also amid a step; the archive stays as it was."""
+        """Ends the job, also amid a step; what it has stored by then stays."""
         self._stopped = True
         self.spark.sparkContext.cancelJobsWithTag(self.id)
 
