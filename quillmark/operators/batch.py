@@ -43,15 +43,15 @@ class Cancelled(Exception):
 class Job:
     """One run over the documents of a folder.
 
-    ``load(spark, folder)`` gives path, width, height, channels and data of the images; with
-    another loader than Spark's, files of other kinds can be read. ``fetch`` asks for second
+    ``load(spark, folder)`` gives path, width, height, channels and data of the images, and ``frame``
+    where a file has several; with another loader, files of other kinds can be read. ``fetch`` asks for second
     readings (see ``review.ask``), ``second`` names their model. ``archive`` gets the tables
     documents, pages, lines and jobs, ``output`` the files.
     """
 
     def __init__(
         self, spark: SparkSession, archive: store.Snapshots, output: str, readers: list[recognizers.Recognizer], fetch: Callable[[Row], tuple[str, float]] | None = None,
-        second: str = "", load: Callable[[SparkSession, str], DataFrame] = discovery.load_images, progress: Callable[[str, float], None] = lambda message, share: None,
+        second: str = "", load: Callable[[SparkSession, str], DataFrame] = discovery.load_scans, progress: Callable[[str, float], None] = lambda message, share: None,
     ):
         self.spark, self.archive, self.output, self.readers = spark, archive, output.rstrip("/"), readers
         self.fetch, self.second, self.load, self.progress = fetch, second, load, progress
@@ -117,9 +117,10 @@ class Job:
         """Images with their page key, and the pages: page, document_id, page_index, source_path, width, height."""
         plain = lambda path: F.regexp_replace(path, "^file:/+", "/")
         paged = discovery.image_pages(found).withColumn("file", plain(F.col("source_path")))
-        paged = paged.withColumn("page", F.format_string("%s-%04d", "document_id", "page_index"))
-        shown = plain(F.url_decode(F.replace("path", F.lit("+"), F.lit("%2B"))))
-        images = self.load(self.spark, request.folder).withColumn("file", shown).drop("path").join(paged, "file")
+        images = self.load(self.spark, request.folder).withColumn("file", plain(F.col("path"))).drop("path").join(paged, "file")
+        if "frame" in images.columns:
+            images = images.withColumn("page_index", F.col("page_index") + F.col("frame"))
+        images = images.withColumn("page", F.format_string("%s-%04d", "document_id", "page_index"))
         scans = self._keep("scans", images.select("page", "document_id", "page_index", "source_path", "width", "height"))
         if scans.isEmpty():
             raise ValueError(NO_FILES)

@@ -7,11 +7,13 @@ import struct
 import zlib
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillmark.functions import text
+from quillmark.sources import tiff
 
 #: File suffixes of each kind.
 IMAGES = ("png", "jpg", "jpeg", "heic", "heif", "webp", "bmp")
@@ -58,17 +60,70 @@ def documents(listing: DataFrame) -> DataFrame:
 
 
 def image_pages(found: DataFrame) -> DataFrame:
-    """document_id, page_index, source_path of the documents made of images."""
-    return found.where("kind = 'images'").select(F.col("id").alias("document_id"), F.posexplode("source_paths").alias("page_index", "source_path"))
+    """document_id, page_index, source_path of the documents made of images; of a TIFF its first frame."""
+    return found.where("kind in ('images', 'tiff')").select(F.col("id").alias("document_id"), F.posexplode("source_paths").alias("page_index", "source_path"))
 
 
 def load_images(spark: SparkSession, folder: str) -> DataFrame:
-    """path, width, height and interleaved RGB bytes of PNG, JPEG and BMP files, by Spark's image source.
+    """path, width, height, channels and interleaved bytes (blue, green, red) of PNG, JPEG and BMP files.
 
-    Multi-page TIFF, PDF and HEIC need decoders that are not bundled.
+    Spark's image source decodes them; pictures that a camera marked as turned are turned upright.
+    PDF and HEIC need decoders that are not bundled.
     """
     rows = spark.read.format("image").option("recursiveFileLookup", "true").option("dropInvalid", "true").load(folder).select("image.*")
-    return rows.select(F.col("origin").alias("path"), "width", "height", F.col("nChannels").alias("channels"), "data")
+    plain = F.url_decode(F.replace("origin", F.lit("+"), F.lit("%2B")))
+    return rows.select(plain.alias("path"), "width", "height", F.col("nChannels").alias("channels"), "data").mapInPandas(_upright, "path string, width int, height int, channels int, data binary")
+
+
+def load_scans(spark: SparkSession, folder: str) -> DataFrame:
+    """``load_images`` and all frames of TIFF files, with ``frame`` (0 for images)."""
+    spark.dataSource.register(tiff.TiffSource)
+    frames = spark.read.format("tiff").load(folder).select("path", "frame", "width", "height", "channels", "data")
+    return load_images(spark, folder).select("path", F.lit(0).alias("frame"), "width", "height", "channels", "data").unionByName(frames)
+
+
+def exif_orientation(head: bytes) -> int:
+    """How a JPEG or PNG file says its picture is turned, from 1 (upright) to 8; 1 where it does not say."""
+    exif = b""
+    try:
+        if head[:2] == b"\xff\xd8":
+            at = 2
+            while head[at] == 0xFF and head[at + 1] not in (0xDA, 0xD9):
+                size = int.from_bytes(head[at + 2 : at + 4], "big")
+                if head[at + 1] == 0xE1 and head[at + 4 : at + 10] == b"Exif\0\0":
+                    exif = head[at + 10 : at + 2 + size]
+                    break
+                at += 2 + size
+        elif head[:8] == b"\x89PNG\r\n\x1a\n":
+            at = 8
+            while not exif:
+                size = int.from_bytes(head[at : at + 4], "big")
+                if head[at + 4 : at + 8] == b"eXIf":
+                    exif = head[at + 8 : at + 8 + size]
+                if head[at + 4] == 0 or head[at + 4 : at + 8] == b"IEND":
+                    break
+                at += 12 + size
+        said = next(tiff.directories(lambda place, size: exif[place : place + size])).get(tiff.ORIENTATION, (1,))[0]
+    except (ValueError, IndexError, struct.error):
+        return 1
+    return said if 1 <= said <= 8 else 1
+
+
+#: Bytes at the beginning of a file in which its orientation is looked for.
+HEAD = 1 << 17
+
+
+def _upright(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for batch in batches:
+        for k, path in zip(batch.index, batch["path"], strict=True):
+            if path.lower().endswith((".jpg", ".jpeg", ".png")):
+                with tiff.opened(path) as file:
+                    said = exif_orientation(file.read(HEAD))
+                if said > 1:
+                    size = (batch.at[k, "height"], batch.at[k, "width"], batch.at[k, "channels"])
+                    a = np.ascontiguousarray(tiff.oriented(np.frombuffer(batch.at[k, "data"], np.uint8).reshape(size), said))
+                    batch.at[k, "height"], batch.at[k, "width"], batch.at[k, "data"] = a.shape[0], a.shape[1], a.tobytes()
+        yield batch
 
 
 def load_page(pages: DataFrame, document_id: str, index: int) -> DataFrame:
@@ -81,17 +136,7 @@ def load_page(pages: DataFrame, document_id: str, index: int) -> DataFrame:
 
 def tiff_pages(content: bytes) -> int:
     """Frames of a TIFF file (classic or big): the length of its chain of directories, without decoding any."""
-    order = {b"II": "<", b"MM": ">"}.get(bytes(content[:2]))
-    if order is None:
-        raise ValueError("not a TIFF file")
-    big = struct.unpack_from(order + "H", content, 2)[0] == 43
-    number, entry, place, first = ("Q", 20, "Q", 8) if big else ("H", 12, "I", 4)
-    at, seen = struct.unpack_from(order + place, content, first)[0], set()
-    while at and at not in seen:
-        seen.add(at)
-        entries = struct.unpack_from(order + number, content, at)[0]
-        at = struct.unpack_from(order + place, content, at + struct.calcsize(number) + entry * entries)[0]
-    return len(seen)
+    return sum(1 for _ in tiff.directories(lambda place, size: content[place : place + size]))
 
 
 _PDF_PAGE, _PDF_STREAM = re.compile(rb"/Type\s*/Page(?![A-Za-z])"), re.compile(rb"/ObjStm\b.{0,400}?stream\r?\n", re.S)
