@@ -71,6 +71,7 @@ def load_images(spark: SparkSession, folder: str) -> DataFrame:
     PDF and HEIC need decoders that are not bundled.
     """
     rows = spark.read.format("image").option("recursiveFileLookup", "true").option("dropInvalid", "true").load(folder).select("image.*")
+    rows = rows.where(~suffix(F.col("origin")).isin(*TIFFS))  # of which the JVM gives the first frame
     plain = F.url_decode(F.replace("origin", F.lit("+"), F.lit("%2B")))
     return rows.select(plain.alias("path"), "width", "height", F.col("nChannels").alias("channels"), "data").mapInPandas(_upright, "path string, width int, height int, channels int, data binary")
 
