@@ -14,7 +14,7 @@ from __future__ import annotations
 
 import hashlib
 import re
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from itertools import chain, islice
 from typing import NamedTuple
 
@@ -29,8 +29,10 @@ from quillmark.llm.tokens import ranks
 
 #: Pairs that are broadcast at most, atoms remembered in a worker, pairs counted before they are handed on.
 TABLE = 500_000
-CACHE = 150_000
+CACHE = 300_000
 COUNTED = 2_000_000
+#: Atoms encoded as one text.
+GROUP = 64
 _CUT = re.compile(r"(?<=\S)(?= )")
 
 U64 = S.U64
@@ -77,12 +79,32 @@ class Tokenizers:
             raise ValueError("pieces of this model reach over a space")
         self.b_bytes = [bytes([int(p[3:5], 16)]) if self.b.is_byte(k) else p.replace("▁", " ").encode() for k, p in enumerate(pieces)]
         self.b_sizes = np.array([len(x) for x in self.b_bytes], np.int64)
+        self.digits = [str(k) for k in range(max(len(self.a_sizes), len(pieces)))]
         one = self.b.encode("x")
         self.b_space = self.b.encode("x ")[len(one) :]
 
-    def b_ids(self, atoms: list[str]) -> list[list[int]]:
-        """Ids of atoms, whose first space the model itself puts before a text."""
-        return [x if atom != " " else self.b_space for atom, x in zip(atoms, self.b.encode([atom[1:] for atom in atoms], num_threads=1), strict=True)]
+    def one_by_one(self, atoms: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Which atoms both render as they stand, their ids of A and numbers of them, their ids of B and numbers of them.
+
+        The model itself puts a space before a text, so an atom's own is left out.
+        """
+        of_b = [x if atom != " " else self.b_space for atom, x in zip(atoms, self.b.encode([atom[1:] for atom in atoms], num_threads=1), strict=True)]
+        fine = [b"".join([self.b_bytes[k] for k in ids]) == atom.encode() for ids, atom in zip(of_b, atoms, strict=True)]
+        of_a = [self.a.encode_ordinary(w) if ok else [] for w, ok in zip(atoms, fine, strict=True)]
+        of_b = [x if ok else [] for x, ok in zip(of_b, fine, strict=True)]
+        flat = lambda lists: np.fromiter(chain.from_iterable(lists), np.int64)
+        return np.array(fine, bool), flat(of_a), np.array([len(x) for x in of_a], np.int64), flat(of_b), np.array([len(x) for x in of_b], np.int64)
+
+    def together(self, atoms: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """The same for atoms that end with a visible character: read in groups, which both tokenizers cut between the atoms."""
+        groups = ["".join(atoms[k : k + GROUP]) for k in range(0, len(atoms), GROUP)]
+        a = np.fromiter(chain.from_iterable(map(self.a.encode_ordinary, groups)), np.int64)
+        of_b = list(chain.from_iterable(self.b.encode([g[1:] for g in groups], num_threads=1)))
+        if b"".join(map(self.b_bytes.__getitem__, of_b)) != "".join(atoms).encode():
+            return self.one_by_one(atoms)
+        b, ends = np.array(of_b, np.int64), np.cumsum([len(w.encode()) for w in atoms])
+        count = lambda sizes: np.diff(np.searchsorted(np.cumsum(sizes), ends, side="right"), prepend=0)
+        return np.ones(len(atoms), bool), a, count(self.a_sizes[a]), b, count(self.b_sizes[b])
 
 
 def atoms(text: str) -> list[str]:
@@ -99,44 +121,50 @@ class Aligner:
     _latest: tuple = (None, None)
 
     @classmethod
-    def of(cls, key: tuple, table: tuple | None = None) -> Aligner:
-        """The worker's aligner for two paths and a table of counts; only the latest is kept."""
+    def of(cls, a_path: str, b_path: str, wants: str, table: tuple = ()) -> Aligner:
+        """The worker's aligner for two paths and what is wanted: ``pairs``, ``ids`` or a version of ``table``; only the latest is kept."""
+        key = a_path, b_path, wants
         if cls._latest[0] != key:
-            cls._latest = key, cls(key[0], key[1], table)
+            cls._latest = key, cls(*key, table)
         return cls._latest[1]
 
-    def __init__(self, a_path: str, b_path: str, table: tuple | None = None):
-        self.tools, self.table = Tokenizers(a_path, b_path), table
+    def __init__(self, a_path: str, b_path: str, wants: str, table: tuple = ()):
+        self.tools, self.wants, self.table = Tokenizers(a_path, b_path), wants, table
+        #: Called before what is known is given up.
+        self.on_forget: Callable[[], None] | None = None
         self.forget()
 
     def forget(self) -> None:
         self.known: dict[str, int] = {}
         self.numbers = np.zeros((CACHE, 8), np.int64)
         self.pairs: list[np.ndarray] = []
+        self.unknown: dict[int, np.ndarray] = {}
         self.groups: list[str] = []
         self.ids: list[tuple] = []
 
-    def codes(self, words: list[str], keep: bool = False) -> np.ndarray:
-        """A number for each atom; unknown ones are aligned first. ``keep``: with their ids and the ends of groups."""
-        new = [w for w in dict.fromkeys(words) if w not in self.known]
-        if new and len(self.known) + len(new) > CACHE:
+    def codes(self, words: list[str]) -> np.ndarray:
+        """A number for each atom; unknown ones are aligned first."""
+        known = self.known
+        new = [w for w in dict.fromkeys(words) if w not in known]
+        if new and len(known) + len(new) > CACHE:
+            if self.on_forget:
+                self.on_forget()
             self.forget()
-            new = list(dict.fromkeys(words))
+            known, new = self.known, list(dict.fromkeys(words))
         if new:
-            self._learn(new, keep)
-        return np.array([self.known[w] for w in words], np.int64)
+            self._learn(new)
+        return np.fromiter(map(known.__getitem__, words), np.int64, len(words))
 
-    def _learn(self, new: list[str], keep: bool) -> None:
+    def _learn(self, new: list[str]) -> None:
         tools, base = self.tools, len(self.known)
         if base + len(new) > len(self.numbers):
             self.numbers = np.concatenate((self.numbers, np.zeros((base + len(new) - len(self.numbers), 8), np.int64)))
-        raw = [w.encode() for w in new]
-        of_b = tools.b_ids(new)
-        fine = [b"".join([tools.b_bytes[k] for k in ids]) == r for ids, r in zip(of_b, raw, strict=True)]
-        of_a = [tools.a.encode_ordinary(w) if ok else [] for w, ok in zip(new, fine, strict=True)]
-        of_b = [x if ok else [] for x, ok in zip(of_b, fine, strict=True)]
-        n_a, n_b = np.array([len(x) for x in of_a], np.int64), np.array([len(x) for x in of_b], np.int64)
-        a, b = np.fromiter(chain.from_iterable(of_a), np.int64, n_a.sum()), np.fromiter(chain.from_iterable(of_b), np.int64, n_b.sum())
+        alone = [w for w in new if w[-1].isspace() or "▁" in w]
+        if alone:
+            apart = set(alone)
+            new = alone + [w for w in new if w not in apart]
+        parts = [f(x) for f, x in ((tools.one_by_one, alone), (tools.together, new[len(alone) :])) if x]
+        fine, a, n_a, b, n_b = (np.concatenate(p) for p in zip(*parts, strict=True))
         links = align(np.cumsum(tools.a_sizes[a]), np.cumsum(tools.b_sizes[b]))
         size = links.last - links.first
         ends = np.cumsum(size)
@@ -148,9 +176,12 @@ class Aligner:
         out = self.numbers[base : base + len(new)]
         out[:, VALID], out[:, N_A], out[:, N_B] = fine, n_a, n_b
         out[:, N_GROUPS], out[:, N_LINKS] = np.diff(group_end, prepend=0), np.diff(pair_end, prepend=0)
-        bounds = list(zip([0, *pair_end[:-1].tolist()], pair_end.tolist(), strict=True))
-        if self.table is None:
-            self.pairs += [pair[x:y] for x, y in bounds]
+        if self.wants == "pairs":
+            self.pairs.append(pair)
+        elif self.wants == "ids":
+            ga, gb = np.diff(links.a_end, prepend=0), np.diff(links.b_end, prepend=0)
+            at = lambda x: zip([0, *x.tolist()], x.tolist(), strict=False)
+            self.ids += [(a[i:j], b[k:m], ga[x:y], gb[x:y]) for (i, j), (k, m), (x, y) in zip(at(to_a), at(to_b), at(group_end), strict=True)]
         else:
             keys, counts, best = self.table
             at = np.minimum(np.searchsorted(keys, pair), max(len(keys) - 1, 0))
@@ -158,17 +189,24 @@ class Aligner:
             for column, value in ((COUNT, counts), (N_BEST, best), (REST, None)):
                 each = ~hit if value is None else np.where(hit, value[at], 0) if len(keys) else np.zeros(len(pair), np.int64)
                 out[:, column] = np.diff(np.concatenate(([0], np.cumsum(each)))[pair_end], prepend=0)
-            self.pairs += [pair[x:y][~hit[x:y]] for x, y in bounds]
-        if keep:
-            ga, gb = np.diff(links.a_end, prepend=0), np.diff(links.b_end, prepend=0)
-            self.ids += [(of_a[k], of_b[k], ga[x:y], gb[x:y]) for k, (x, y) in enumerate(zip([0, *group_end[:-1].tolist()], group_end.tolist(), strict=True))]
-        else:
-            text_a, text_b = [str(k) for k in a.tolist()], [str(k) for k in b.tolist()]
-            ga, gb = links.a_end.tolist(), links.b_end.tolist()
-            groups = [",".join(text_a[i:j]) + "|" + ",".join(text_b[k:m]) for i, j, k, m in zip([0, *ga], ga, [0, *gb], gb, strict=False)]
-            self.groups += [";".join(groups[x:y]) for x, y in zip([0, *group_end[:-1].tolist()], group_end.tolist(), strict=True)]
+            begin = np.concatenate(([0], pair_end))
+            for k in np.flatnonzero(out[:, REST]).tolist():
+                self.unknown[base + k] = pair[begin[k] : pair_end[k]][~hit[begin[k] : pair_end[k]]]
+            self._write(a, b, links, group_end)
         self.known.update(zip(new, range(base, base + len(new)), strict=True))
 
+    def _write(self, a: np.ndarray, b: np.ndarray, links: Links, group_end: np.ndarray) -> None:
+        """Adds each atom's groups as text."""
+        digits = self.tools.digits
+        text_a, text_b = [digits[k] for k in a.tolist()], [digits[k] for k in b.tolist()]
+        ga, gb = links.a_end.tolist(), links.b_end.tolist()
+        groups = [
+            f"{text_a[i]}|{text_b[k]}" if j - i == 1 == m - k else ",".join(text_a[i:j]) + "|" + ",".join(text_b[k:m])
+            for i, j, k, m in zip([0, *ga], ga, [0, *gb], gb, strict=False)
+        ]
+        ends = group_end.tolist()
+        self.groups += [groups[x] if y - x == 1 else ";".join(groups[x:y]) for x, y in zip([0, *ends], ends, strict=False)]
+
 
 def windows(texts: list[str | None]) -> Iterator[list[tuple[int, list[str]]]]:
     """Lists of (number of the text, atoms) of about ``CHUNK_CHARS`` characters; a longer text is cut between atoms."""
@@ -190,10 +228,10 @@ def windows(texts: list[str | None]) -> Iterator[list[tuple[int, list[str]]]]:
         yield held
 
 
-def _numbered(aligner: Aligner, window: list[tuple[int, list[str]]], keep: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _numbered(aligner: Aligner, window: list[tuple[int, list[str]]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Codes of all atoms of a window, where each text's begin, and the texts' numbers."""
     sizes = np.array([len(words) for _, words in window], np.int64)
-    return aligner.codes([w for _, words in window for w in words], keep), np.cumsum(sizes) - sizes, np.array([k for k, _ in window], np.int64)
+    return aligner.codes([w for _, words in window for w in words]), np.cumsum(sizes) - sizes, np.array([k for k, _ in window], np.int64)
 
 
 def _valid(aligner: Aligner, texts: list[str | None]) -> tuple[Iterable, np.ndarray]:
@@ -206,43 +244,55 @@ def _valid(aligner: Aligner, texts: list[str | None]) -> tuple[Iterable, np.ndar
     return first if len(first) < 2 else windows(texts), ok
 
 
-def _summed(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    distinct, where = np.unique(np.concatenate(keys), return_inverse=True)
-    return distinct, np.bincount(where, np.concatenate(counts), len(distinct)).astype(np.int64)
+class Counted:
+    """Links of pairs of ids: texts add how often atoms occur, and atoms become pairs when they are given up."""
+
+    def __init__(self, aligner: Aligner):
+        self.aligner, self.keys, self.counts = aligner, np.zeros(0, U64), np.zeros(0, np.int64)
+        self.times = np.zeros(CACHE, np.int64)
+        aligner.on_forget = self.settle
 
+    def add(self, codes: np.ndarray) -> None:
+        if len(codes):
+            times = np.bincount(codes)
+            if len(times) > len(self.times):
+                self.times = np.concatenate((self.times, np.zeros(len(times) - len(self.times), np.int64)))
+            self.times[: len(times)] += times
 
-def _pair_batch(keys: np.ndarray, counts: np.ndarray) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array((keys >> U64(32)).astype(np.int64)), pa.array((keys & U64(0xFFFFFFFF)).astype(np.int64)), pa.array(counts)], ["a", "b", "n"])
+    def settle(self) -> None:
+        n = len(self.aligner.known)
+        if n:
+            keys = np.concatenate((self.keys, *self.aligner.pairs))
+            counts = np.concatenate((self.counts, np.repeat(self.times[:n], self.aligner.numbers[:n, N_LINKS])))
+            used = counts > 0
+            self.keys, where = np.unique(keys[used], return_inverse=True)
+            self.counts = np.bincount(where, counts[used], len(self.keys)).astype(np.int64)
+            self.times = np.zeros(CACHE, np.int64)
+
+    def taken(self) -> pa.RecordBatch:
+        keys, counts = self.keys, self.counts
+        self.keys, self.counts = keys[:0], counts[:0]
+        return pa.RecordBatch.from_arrays([pa.array((keys >> U64(32)).astype(np.int64)), pa.array((keys & U64(0xFFFFFFFF)).astype(np.int64)), pa.array(counts)], ["a", "b", "n"])
 
 
 def translation(docs: DataFrame, a_path: str, b_path: str) -> DataFrame:
     """``a, b, n, best``: how many links of all ``text``s join two ids, and whether no A id is linked to that B id more often."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        aligner = Aligner.of((a_path, b_path, None))
-        keys, counts, held = [], [], 0
+        aligner = Aligner.of(a_path, b_path, "pairs")
+        counted = Counted(aligner)
         for batch in batches:
             for part in S.slices(batch, "text"):
                 texts = part.column("text").to_pylist()
                 whole, ok = _valid(aligner, texts)
                 for window in whole:
                     codes, at, of = _numbered(aligner, window)
-                    sizes = np.diff(at, append=len(codes))
-                    times = np.bincount(codes[np.repeat(ok[of], sizes)], minlength=0)
-                    used = np.flatnonzero(times)
-                    found = [aligner.pairs[k] for k in used.tolist()]
-                    if found:
-                        keys.append(np.concatenate(found))
-                        counts.append(np.repeat(times[used], [len(f) for f in found]))
-                        held += len(keys[-1])
-                    if held > COUNTED:
-                        key, count = _summed(keys, counts)
-                        keys, counts, held = [key], [count], len(key)
-                        if held > COUNTED // 2:
-                            yield _pair_batch(key, count)
-                            keys, counts, held = [], [], 0
-        if held:
-            yield _pair_batch(*_summed(keys, counts))
+                    counted.add(codes if ok[of].all() else codes[np.repeat(ok[of], np.diff(at, append=len(codes)))])
+                if len(counted.keys) > COUNTED:
+                    yield counted.taken()
+        counted.settle()
+        aligner.on_forget = None
+        yield counted.taken()
 
     found = docs.select("text").mapInArrow(run, "a long, b long, n long")
     pairs = S.materialize(found.groupBy("a", "b").agg(F.sum("n").alias("n")), "pairs")
@@ -290,7 +340,7 @@ def digests(docs: DataFrame, a_path: str, b_path: str) -> DataFrame:
     version = hashlib.sha256(b"".join(x.tobytes() for x in (keys, top.column("n").to_numpy()))).hexdigest()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        aligner = Aligner.of((a_path, b_path, version), table.value)
+        aligner = Aligner.of(a_path, b_path, version, table.value)
         row = TaskContext.get().partitionId() << 36
         for batch in batches:
             for part in S.slices(batch, "text"):
@@ -303,7 +353,7 @@ def digests(docs: DataFrame, a_path: str, b_path: str) -> DataFrame:
                     found = aligner.numbers[codes]
                     sums[of, 1:] += np.add.reduceat(found, at)[:, 1:]
                     sums[of, VALID] &= np.minimum.reduceat(found[:, VALID], at)
-                    open_, listed, groups, pairs_ = found[:, REST] > 0, codes.tolist(), aligner.groups, aligner.pairs
+                    open_, listed, groups, unknown = found[:, REST] > 0, codes.tolist(), aligner.groups, aligner.unknown
                     for k, a, b in zip(of.tolist(), at.tolist(), [*at[1:].tolist(), len(codes)], strict=True):
                         if not sums[k, VALID]:
                             continue
@@ -312,7 +362,7 @@ def digests(docs: DataFrame, a_path: str, b_path: str) -> DataFrame:
                             hashes[k] = hashlib.sha256(text.encode())
                         else:
                             hashes[k].update(b";" + text.encode())
-                        rest[k] += [pairs_[c] for c in codes[a:b][open_[a:b]].tolist()]
+                        rest[k] += [unknown[c] for c in codes[a:b][open_[a:b]].tolist()]
                 ok = sums[:, VALID] > 0
                 sums[~ok] = 0
                 left = [np.unique(np.concatenate(r), return_counts=True) if r and fine else ((), ()) for r, fine in zip(rest, ok.tolist(), strict=True)]
@@ -340,18 +390,18 @@ def groups(docs: DataFrame, a_path: str, b_path: str) -> DataFrame:
     """``doc_id``, the ids of both tokenizers, and of each group how many of either it takes, in order; cases as in ``digests``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        aligner = Aligner.of((a_path, b_path, "groups"))
+        aligner = Aligner.of(a_path, b_path, "ids")
         for batch in batches:
             for part in S.slices(batch, "text"):
                 texts = part.column("text").to_pylist()
                 parts, ok = [([], [], [], []) for _ in texts], [bool(t) for t in texts]
                 for window in windows(texts):
-                    codes, at, of = _numbered(aligner, window, keep=True)
+                    codes, at, of = _numbered(aligner, window)
                     for k, a, b in zip(of.tolist(), at.tolist(), [*at[1:].tolist(), len(codes)], strict=True):
                         ok[k] = ok[k] and bool(aligner.numbers[codes[a:b], VALID].all())
                         for c in codes[a:b].tolist():
                             for held, more in zip(parts[k], aligner.ids[c], strict=True):
-                                held += list(more)
+                                held += more.tolist()
                 columns = [pa.array([p[c] if fine else [] for p, fine in zip(parts, ok, strict=True)], pa.list_(pa.int32())) for c in range(4)]
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), *columns], [c.split()[0] for c in GROUPS.split(", ")])
 
