@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from quillmark.functions import text
 from quillmark.models import Model, Registry
-from quillmark.operators import batch, recognizers, search, store
+from quillmark.operators import batch, commits, recognizers, search
 from quillmark.settings import Settings
 from quillmark.sources import discovery
 from quillmark.streaming import index
@@ -67,7 +67,7 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> No
         program = Settings.load(a.settings).recognizer_command if a.settings else Settings.recognizer_command
         installed = recognizers.Installed(languages=recognizers.installed_languages(program))
         readers = recognizers.ready(recognizers.assemble(installed, [], a.script == "schreibmaschine"), program)
-        job = batch.Job(spark, store.Snapshots(spark, a.archive), a.output, readers, progress=lambda said, share: print(f"[{share:>6.1%}] {said}"))
+        job = batch.Job(spark, commits.Snapshots(spark, a.archive), a.output, readers, progress=lambda said, share: print(f"[{share:>6.1%}] {said}"))
         print(job.run(batch.Request(a.folder, a.year, a.script)))
     else:
         source = spark.readStream.schema("line_id string, text string").parquet(a.lines)

@@ -2,9 +2,8 @@
 
 Each step is one plan over all pages of the job, written to the job's own folder
 before the next, so that a lost executor costs tasks only. Files are written and
-tables of the archive change after everything is computed: each table at once, but
-one after the other, documents last. A job that ends in between leaves lines and
-pages of documents that are not listed yet; running it again replaces them.
+tables of the archive change after everything is computed, all tables in one
+commit: a job that ends before leaves the archive as it was.
 """
 
 from __future__ import annotations
@@ -18,7 +17,7 @@ from pyspark.sql import DataFrame, Row, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quillmark.functions import text
-from quillmark.operators import export, imaging, merge, pdf, recognition, recognizers, review, rules, store
+from quillmark.operators import commits, export, imaging, merge, pdf, recognition, recognizers, review, rules
 from quillmark.sources import discovery
 
 #: States of a job and what is said with them.
@@ -50,7 +49,7 @@ class Job:
     """
 
     def __init__(
-        self, spark: SparkSession, archive: store.Snapshots, output: str, readers: list[recognizers.Recognizer], fetch: Callable[[Row], tuple[str, float]] | None = None,
+        self, spark: SparkSession, archive: commits.Snapshots, output: str, readers: list[recognizers.Recognizer], fetch: Callable[[Row], tuple[str, float]] | None = None,
         second: str = "", load: Callable[[SparkSession, str], DataFrame] = discovery.load_scans, progress: Callable[[str, float], None] = lambda message, share: None,
     ):
         self.spark, self.archive, self.output, self.readers = spark, archive, output.rstrip("/"), readers
@@ -108,9 +107,12 @@ class Job:
         self._step("Ausgabedateien werden formatiert", 0.97)
         self._export(documents, pages, lines)
         self._step("Suchindex wird aktualisiert", 0.98)
-        for name, table in (("lines", lines), ("pages", pages), ("documents", documents)):
-            old = self.archive.read(name) if self.archive.version(name) else None
-            self.archive.write(name, table if old is None else store.replace_by_key(old, table.select(*old.columns), ["document_id"]))
+
+        def save(transaction: commits.Transaction) -> None:
+            for name, table in (("lines", lines), ("pages", pages), ("documents", documents)):
+                transaction.replace(name, table, ["document_id"])
+
+        self.archive.update(save)
         return documents.count()
 
     def _scans(self, found: DataFrame, request: Request) -> tuple[DataFrame, DataFrame]:

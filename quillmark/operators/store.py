@@ -78,33 +78,3 @@ def list_documents(documents: DataFrame) -> DataFrame:
 def rows(spark, sql: str, parameters: dict | list | None = None) -> DataFrame:
     """Any query over registered tables, with parameters marked ``:name`` or ``?``."""
     return spark.sql(sql, args=parameters)
-
-
-class Snapshots:
-    """Tables kept as numbered snapshot folders; a pointer file, written last, names the current one.
-
-    Readers see a whole snapshot or the one before, whenever a writer is lost.
-    All files go through Spark's writers, so any shared store serves.
-    """
-
-    def __init__(self, spark, root: str):
-        self.spark, self.root = spark, root.rstrip("/")
-
-    def _pointer(self, name: str) -> str:
-        return f"{self.root}/{name}/_current"
-
-    def version(self, name: str) -> int:
-        path = self.spark._jvm.org.apache.hadoop.fs.Path(self._pointer(name))
-        if not path.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(path):
-            return 0
-        return self.spark.read.schema("version int").json(self._pointer(name)).agg(F.max("version")).collect()[0][0]
-
-    def read(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.root}/{name}/{self.version(name)}")
-
-    def write(self, name: str, df: DataFrame, partition_by: list[str] | None = None) -> int:
-        version = self.version(name) + 1
-        writer = df.write.mode("overwrite")
-        (writer.partitionBy(*partition_by) if partition_by else writer).parquet(f"{self.root}/{name}/{version}")
-        self.spark.createDataFrame([(version,)], "version int").coalesce(1).write.mode("append").json(self._pointer(name))
-        return version

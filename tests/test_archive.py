@@ -11,7 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quillmark import cli
-from quillmark.operators import export, imaging, merge, recognition, rules, store
+from quillmark.operators import commits, export, imaging, merge, recognition, rules, store
 from quillmark.sources import authority, discovery, pagexml
 from quillmark.streaming import index
 
@@ -95,7 +95,7 @@ def test_storage(spark, tmp_path):
     assert sorted(map(tuple, store.replace_by_key(old, new, ["k"]).collect())) == [("a", 9), ("b", 1)]
     assert [r.k for r in store.remove(old, new, ["k"]).collect()] == ["b"]
     assert {r.k: r.v for r in store.latest(old.withColumn("t", F.col("v")), "k", ["t"], ["v"]).collect()} == {"a": 2, "b": 1}
-    tables = store.Snapshots(spark, str(tmp_path))
+    tables = commits.Snapshots(spark, str(tmp_path))
     assert tables.version("x") == 0
     tables.write("x", old)
     tables.write("x", new)

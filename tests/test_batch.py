@@ -9,7 +9,7 @@ import pandas as pd
 import pytest
 
 from quillmark import cli
-from quillmark.operators import batch, export, pdf, review, store
+from quillmark.operators import batch, commits, export, pdf, review, store
 from quillmark.operators import recognizers as R
 from quillmark.sources import discovery
 from tests.test_archive import png, scan
@@ -36,7 +36,7 @@ def states(spark, root):
 def test_job_from_folder_to_files(spark, tmp_path):
     for name in ("Über alles +1/seite2.png", "Über alles +1/seite1.png", "B/x.png"):
         png(tmp_path / "in" / name, scan())
-    archive, said = store.Snapshots(spark, str(tmp_path / "archive")), []
+    archive, said = commits.Snapshots(spark, str(tmp_path / "archive")), []
     readers = [R.Recognizer("tesseract:deu", R.PAGE, reader(["den 3. Mai 1871", "Johann Schmidt"])), R.Recognizer("trocr-x", R.SEGMENTS, reader(["den 3. Mai 1871", "Johann Schmitt"], 0.3)), R.Recognizer("z", R.PAGE, fails)]
     asked = []
 
@@ -75,7 +75,7 @@ def test_job_from_folder_to_files(spark, tmp_path):
 def test_job_without_files_or_text_fails_and_a_cancelled_one_ends(spark, tmp_path):
     (tmp_path / "in").mkdir()
     (tmp_path / "in" / "note.txt").write_text("x")
-    archive = store.Snapshots(spark, str(tmp_path / "archive"))
+    archive = commits.Snapshots(spark, str(tmp_path / "archive"))
     make = lambda *readers, **more: batch.Job(spark, archive, str(tmp_path / "out"), list(readers), **more)
     none = make()
     with pytest.raises(ValueError, match=batch.NO_FILES):
@@ -134,7 +134,7 @@ def test_batch_and_models_on_the_command_line(spark, tmp_path, capsys):
     assert R.installed_languages(str(program)) == ("deu", "eng") and R.installed_languages(str(tmp_path / "absent")) == ()
     cli.main(["batch", str(tmp_path / "in"), str(tmp_path / "archive"), str(tmp_path / "out"), "--settings", str(tmp_path / "settings.json")], spark)
     assert "[100.0%]" in capsys.readouterr().out
-    lines = store.Snapshots(spark, str(tmp_path / "archive")).read("lines").orderBy("line_order").collect()
+    lines = commits.Snapshots(spark, str(tmp_path / "archive")).read("lines").orderBy("line_order").collect()
     assert [(r.text, round(r.confidence, 3), tuple(r.bbox)) for r in lines] == [('am "See Haus', 0.7, (20, 20, 120, 36)), ("Schmidt NA", 0.9, (20, 90, 139, 104)), ("x", 0.0, (5, 150, 45, 164))]
     (tmp_path / "known.json").write_text(json.dumps([{"key": "a", "files": ["w.bin"]}]))
     cli.main(["models", str(tmp_path / "models"), str(tmp_path / "known.json")], spark)

@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quillmark.functions import text
-from quillmark.operators import batch, store
+from quillmark.operators import batch, commits
 from quillmark.operators import recognizers as R
 from quillmark.sources import discovery, tiff
 from tests.test_archive import png, scan
@@ -219,7 +219,7 @@ def test_job_over_a_folder_of_frames_and_images(spark, tmp_path):
     png(tmp_path / "in" / "B" / "x.png", scan())
     page = scan().astype(np.uint8)[:, :, None]
     (tmp_path / "in" / "Akte.tif").write_bytes(written([(page, {259: 5}), (np.rot90(page), {274: 6})]))
-    archive = store.Snapshots(spark, str(tmp_path / "archive"))
+    archive = commits.Snapshots(spark, str(tmp_path / "archive"))
     job = batch.Job(spark, archive, str(tmp_path / "out"), [R.Recognizer("tesseract:deu", R.PAGE, reader(["den 3. Mai 1871"]))])
     job.run(batch.Request(str(tmp_path / "in")))
     pages = {(r.title, r.page_index): (r.width, r.height) for r in archive.read("pages").join(archive.read("documents").select("document_id", "title"), "document_id").collect()}
