@@ -29,11 +29,11 @@ from quillmark.llm.tokens import ranks
 
 #: Pairs that are broadcast at most, atoms remembered in a worker, pairs counted before they are handed on.
 TABLE = 500_000
-CACHE = 300_000
+CACHE = 200_000
 COUNTED = 2_000_000
 #: Atoms encoded as one text.
 GROUP = 64
-_CUT = re.compile(r"(?<=\S)(?= )")
+_CUT, _JOINED = re.compile(r"(?<=\S)(?= )"), re.compile(r"\s ")
 
 U64 = S.U64
 
@@ -83,38 +83,56 @@ class Tokenizers:
         one = self.b.encode("x")
         self.b_space = self.b.encode("x ")[len(one) :]
 
-    def one_by_one(self, atoms: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """Which atoms both render as they stand, their ids of A and numbers of them, their ids of B and numbers of them.
-
-        The model itself puts a space before a text, so an atom's own is left out.
-        """
-        of_b = [x if atom != " " else self.b_space for atom, x in zip(atoms, self.b.encode([atom[1:] for atom in atoms], num_threads=1), strict=True)]
-        fine = [b"".join([self.b_bytes[k] for k in ids]) == atom.encode() for ids, atom in zip(of_b, atoms, strict=True)]
-        of_a = [self.a.encode_ordinary(w) if ok else [] for w, ok in zip(atoms, fine, strict=True)]
+    def one_by_one(self, atoms: list[str]) -> tuple[np.ndarray, ...]:
+        """Which atoms both render as they stand, their ids of A and numbers of them, their ids of B and numbers of them."""
+        of_b = [x if atom else self.b_space for atom, x in zip(atoms, self.b.encode(atoms, num_threads=1), strict=True)]
+        fine = [b"".join([self.b_bytes[k] for k in ids]) == b" " + atom.encode() for ids, atom in zip(of_b, atoms, strict=True)]
+        of_a = [self.a.encode_ordinary(" " + w) if ok else [] for w, ok in zip(atoms, fine, strict=True)]
         of_b = [x if ok else [] for x, ok in zip(of_b, fine, strict=True)]
         flat = lambda lists: np.fromiter(chain.from_iterable(lists), np.int64)
         return np.array(fine, bool), flat(of_a), np.array([len(x) for x in of_a], np.int64), flat(of_b), np.array([len(x) for x in of_b], np.int64)
 
-    def together(self, atoms: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """The same for atoms that end with a visible character: read in groups, which both tokenizers cut between the atoms."""
-        groups = ["".join(atoms[k : k + GROUP]) for k in range(0, len(atoms), GROUP)]
-        a = np.fromiter(chain.from_iterable(map(self.a.encode_ordinary, groups)), np.int64)
-        of_b = list(chain.from_iterable(self.b.encode([g[1:] for g in groups], num_threads=1)))
-        if b"".join(map(self.b_bytes.__getitem__, of_b)) != "".join(atoms).encode():
+    def together(self, atoms: list[str]) -> tuple[np.ndarray, ...]:
+        """The same, read in groups, which both tokenizers cut between the atoms; one that ends with white space ends a group."""
+        groups, at = [], 0
+        ends = [k + 1 for k, w in enumerate(atoms) if not w or w[-1].isspace()] + [len(atoms)]
+        for end in ends:
+            groups += [" ".join(atoms[k : min(k + GROUP, end)]) for k in range(at, end, GROUP)]
+            at = end
+        of_b = [x if g else self.b_space for g, x in zip(groups, self.b.encode(groups, num_threads=1), strict=True)]
+        ids = list(chain.from_iterable(of_b))
+        raw = [w.encode() for w in atoms]
+        if b"".join(map(self.b_bytes.__getitem__, ids)) != b" " + b" ".join(raw):
             return self.one_by_one(atoms)
-        b, ends = np.array(of_b, np.int64), np.cumsum([len(w.encode()) for w in atoms])
+        a = np.fromiter(chain.from_iterable([self.a.encode_ordinary(" " + g) for g in groups]), np.int64)
+        b, ends = np.array(ids, np.int64), np.cumsum([len(w) + 1 for w in raw])
         count = lambda sizes: np.diff(np.searchsorted(np.cumsum(sizes), ends, side="right"), prepend=0)
         return np.ones(len(atoms), bool), a, count(self.a_sizes[a]), b, count(self.b_sizes[b])
 
 
 def atoms(text: str) -> list[str]:
-    return _CUT.split(text)
+    """The parts that begin at a space after a visible character, without that space; ``text`` begins with a space."""
+    if not _JOINED.search(text):
+        return text.split(" ")[1:]
+    return [a[1:] for a in _CUT.split(text)]
 
 
 #: Columns of an atom's numbers.
 VALID, N_A, N_B, N_GROUPS, N_LINKS, N_BEST, COUNT, REST = range(8)
 
 
+class Numbers(dict):
+    """Atoms and their numbers; a new one gets the next and is noted."""
+
+    def __init__(self):
+        self.new: list[str] = []
+
+    def __missing__(self, atom: str) -> int:
+        n = self[atom] = len(self)
+        self.new.append(atom)
+        return n
+
+
 class Aligner:
     """What is known of each distinct atom; one instance in each worker process."""
 
@@ -135,7 +153,7 @@ class Aligner:
         self.forget()
 
     def forget(self) -> None:
-        self.known: dict[str, int] = {}
+        self.known = Numbers()
         self.numbers = np.zeros((CACHE, 8), np.int64)
         self.pairs: list[np.ndarray] = []
         self.unknown: dict[int, np.ndarray] = {}
@@ -143,28 +161,23 @@ class Aligner:
         self.ids: list[tuple] = []
 
     def codes(self, words: list[str]) -> np.ndarray:
-        """A number for each atom; unknown ones are aligned first."""
-        known = self.known
-        new = [w for w in dict.fromkeys(words) if w not in known]
-        if new and len(known) + len(new) > CACHE:
+        """A number for each atom; unknown ones are aligned."""
+        if len(self.known) > CACHE:
             if self.on_forget:
                 self.on_forget()
             self.forget()
-            known, new = self.known, list(dict.fromkeys(words))
-        if new:
-            self._learn(new)
-        return np.fromiter(map(known.__getitem__, words), np.int64, len(words))
-
-    def _learn(self, new: list[str]) -> None:
-        tools, base = self.tools, len(self.known)
+        base = len(self.known)
+        codes = np.fromiter(map(self.known.__getitem__, words), np.int64, len(words))
+        if self.known.new:
+            self._learn(self.known.new, base)
+            self.known.new = []
+        return codes
+
+    def _learn(self, new: list[str], base: int) -> None:
+        tools = self.tools
         if base + len(new) > len(self.numbers):
             self.numbers = np.concatenate((self.numbers, np.zeros((base + len(new) - len(self.numbers), 8), np.int64)))
-        alone = [w for w in new if w[-1].isspace() or "▁" in w]
-        if alone:
-            apart = set(alone)
-            new = alone + [w for w in new if w not in apart]
-        parts = [f(x) for f, x in ((tools.one_by_one, alone), (tools.together, new[len(alone) :])) if x]
-        fine, a, n_a, b, n_b = (np.concatenate(p) for p in zip(*parts, strict=True))
+        fine, a, n_a, b, n_b = tools.together(new)
         links = align(np.cumsum(tools.a_sizes[a]), np.cumsum(tools.b_sizes[b]))
         size = links.last - links.first
         ends = np.cumsum(size)
@@ -193,7 +206,6 @@ class Aligner:
             for k in np.flatnonzero(out[:, REST]).tolist():
                 self.unknown[base + k] = pair[begin[k] : pair_end[k]][~hit[begin[k] : pair_end[k]]]
             self._write(a, b, links, group_end)
-        self.known.update(zip(new, range(base, base + len(new)), strict=True))
 
     def _write(self, a: np.ndarray, b: np.ndarray, links: Links, group_end: np.ndarray) -> None:
         """Adds each atom's groups as text."""
