@@ -44,16 +44,16 @@ class Job:
 
     ``load(spark, folder)`` gives path, width, height, channels and data of the images, and ``frame``
     where a file has several; with another loader, files of other kinds can be read. ``fetch`` asks for second
-    readings (see ``review.ask``), ``second`` names their model. ``archive`` gets the tables
+    readings (see ``review.ask``), ``second`` names their model, ``most`` is a call's greatest cost. ``archive`` gets the tables
     documents, pages, lines and jobs, ``output`` the files.
     """
 
     def __init__(
         self, spark: SparkSession, archive: commits.Snapshots, output: str, readers: list[recognizers.Recognizer], fetch: Callable[[Row], tuple[str, float]] | None = None,
-        second: str = "", load: Callable[[SparkSession, str], DataFrame] = discovery.load_scans, progress: Callable[[str, float], None] = lambda message, share: None,
+        second: str = "", most: float | None = None, load: Callable[[SparkSession, str], DataFrame] = discovery.load_scans, progress: Callable[[str, float], None] = lambda message, share: None,
     ):
         self.spark, self.archive, self.output, self.readers = spark, archive, output.rstrip("/"), readers
-        self.fetch, self.second, self.load, self.progress = fetch, second, load, progress
+        self.fetch, self.second, self.most, self.load, self.progress = fetch, second, most, load, progress
         self.id, self._stopped = uuid.uuid4().hex, False
         self.work = f"{archive.root}/_jobs/{self.id}"
 
@@ -162,7 +162,7 @@ class Job:
         last = views.groupBy("page").agg(F.max("choice").alias("choice")).join(views, ["page", "choice"]).select("page", F.col("image").alias("optimized"))
         calls = review.wanted(pages).select("page").join(local, "page").join(first, "page").join(last, "page")
         calls = calls.select("*", F.lit(request.year).cast("int").alias("year"), review.task(F.lit(request.hint)).alias("task"))
-        answers = self._keep("answers", review.ask(calls, self.fetch, request.budget))
+        answers = self._keep("answers", review.ask(self._keep("calls", calls), self.fetch, request.budget, f"{self.work}/said", self.most))
         found = review.news(review.readings(answers).withColumn("model", F.lit(self.second)), local)
         return review.annotated(lines, found), review.warned(pages, found)
 

@@ -1,7 +1,9 @@
 """The batch job and second readings, with recognizers and a service that are made up."""
 
 import json
+import random
 import re
+import uuid
 import zlib
 
 import numpy as np
@@ -38,10 +40,11 @@ def test_job_from_folder_to_files(spark, tmp_path):
         png(tmp_path / "in" / name, scan())
     archive, said = commits.Snapshots(spark, str(tmp_path / "archive")), []
     readers = [R.Recognizer("tesseract:deu", R.PAGE, reader(["den 3. Mai 1871", "Johann Schmidt"])), R.Recognizer("trocr-x", R.SEGMENTS, reader(["den 3. Mai 1871", "Johann Schmitt"], 0.3)), R.Recognizer("z", R.PAGE, fails)]
-    asked = []
+    calls = tmp_path / "calls"  # calls run in other processes
+    calls.mkdir()
 
     def fetch(row):
-        asked.append((row.page, bytes(row.original[:2]), row.task, row.year))
+        (calls / uuid.uuid4().hex).write_text(repr((bytes(row.original[:2]), row.task, row.year)))
         return json.dumps({"text": " Johann Schmid ", "confidence": 7}), 0.4
 
     job = batch.Job(spark, archive, str(tmp_path / "out"), readers, fetch, "reader-2", progress=lambda m, s: said.append(s))
@@ -58,7 +61,7 @@ def test_job_from_folder_to_files(spark, tmp_path):
     second = next(r for r in lines if r.line_order == 1)
     assert [a.text for a in second.alternatives] == ["Johann Schmitt"]
     # two calls of 0.4 fit into 1.0 dollars, the third page's is discarded
-    assert len(asked) == 6 and asked[0][1:] == (b"P5", "handwriting", 1872)
+    assert [p.read_text() for p in calls.iterdir()] == [repr((b"P5", "handwriting", 1872))] * 6
     again = [r for r in lines if r.line_order == 0 and r.alternatives[-1].text == "Johann Schmid"]
     assert len(again) == 2 and again[0].alternatives[-1].confidence == 1.0 and again[0].alternatives[-1].model == "reader-2"
     warned = [r.warnings[-1] for r in sorted(pages, key=lambda r: (r.document_id, r.page_index))]
@@ -98,18 +101,51 @@ def test_answers_are_read_or_unavailable(spark):
     assert found == {"a": (True, "x", 0.25, "n"), "b": gone, "c": gone, "d": gone, "e": (True, "", 0.5, ""), "f": (True, "x", 0.0, "")}
 
 
-def test_calls_end_with_the_budget(spark):
-    asked = []
-
+def test_calls_end_with_the_budget(spark, tmp_path):
     def fetch(row):
-        asked.append(row.page)
+        (tmp_path / f"called {row.page}").touch()
         if row.page == "b":
             raise OSError("offline")
         return "{}", {"a": 0.3, "c": 0.9, "d": 0.7}.get(row.page, 0.5)
 
-    found = review.ask(spark.createDataFrame([(p,) for p in "edcba"], "page string"), fetch, 1.0)
-    assert [(r.page, r.content, r.cost) for r in found.collect()] == [("a", "{}", 0.3), ("b", None, 0.0), ("c", None, 0.0), ("d", "{}", 0.7), ("e", None, 0.0)]
-    assert asked == ["a", "b", "c", "d"]
+    pages = spark.createDataFrame([(p,) for p in "edcba"], "page string")
+    for most in (None, 0.9):
+        found = review.ask(pages, fetch, 1.0, str(tmp_path / f"answers {most}"), most).collect()
+        assert sorted((r.page, r.content, r.cost) for r in found) == [("a", "{}", 0.3), ("b", None, 0.0), ("c", None, 0.0), ("d", "{}", 0.7), ("e", None, 0.0)]
+        assert sorted(p.name[-1] for p in tmp_path.glob("called *")) == ["a", "b", "c", "d"]
+        for p in tmp_path.glob("called *"):
+            p.unlink()
+    assert {r.content for r in review.ask(pages, fetch, 0.0, str(tmp_path / "none")).collect()} == {None} and not list(tmp_path.glob("called *"))
+    assert review.ask(pages.limit(0), fetch, 1.0, str(tmp_path / "empty"), 0.5).collect() == []
+
+    def broken(row):
+        raise KeyError("a fault of the caller's own")
+
+    with pytest.raises(Exception, match="fault of the caller"):
+        review.ask(pages, broken, 1.0, str(tmp_path / "broken")).collect()
+
+
+@pytest.mark.parametrize(("most", "budget"), [(None, 3.0), (0.08, 30.0), (0.5, 40.0), (0.02, 12.0), (0.0, 25.0)])
+def test_answers_within_a_budget_are_those_of_calls_one_after_the_other(spark, tmp_path, most, budget):
+    rng = random.Random(str(most))
+    costs = {f"p{k:04d}": rng.choice((0.0, 0.01, 0.05, rng.random() * 0.08)) for k in range(1000)}
+    failing = set(rng.sample(sorted(costs), 50))
+
+    def fetch(row):
+        if row.page in failing:
+            raise ValueError("no answer")
+        return row.page.upper(), costs[row.page]
+
+    spent, want = 0.0, {}
+    for page in sorted(costs):
+        called = spent < budget and page not in failing
+        kept = called and spent + costs[page] <= budget
+        want[page] = (page.upper(), costs[page]) if kept else (None, 0.0)
+        spent += costs[page] if kept else 0.0
+    order = sorted(costs)
+    rng.shuffle(order)
+    pages = spark.createDataFrame([(p, b"image") for p in order], "page string, image binary")
+    assert {r.page: (r.content, r.cost) for r in review.ask(pages, fetch, budget, str(tmp_path / "answers"), most).collect()} == want
 
 
 PROGRAM = """#!/usr/bin/env python
