@@ -267,13 +267,17 @@ class Counted:
     def add(self, codes: np.ndarray) -> None:
         if len(codes):
             times = np.bincount(codes)
-            if len(times) > len(self.times):
-                self.times = np.concatenate((self.times, np.zeros(len(times) - len(self.times), np.int64)))
+            self._room(len(times))
             self.times[: len(times)] += times
 
+    def _room(self, n: int) -> None:
+        if n > len(self.times):
+            self.times = np.concatenate((self.times, np.zeros(n - len(self.times), np.int64)))
+
     def settle(self) -> None:
         n = len(self.aligner.known)
         if n:
+            self._room(n)
             keys = np.concatenate((self.keys, *self.aligner.pairs))
             counts = np.concatenate((self.counts, np.repeat(self.times[:n], self.aligner.numbers[:n, N_LINKS])))
             used = counts > 0

@@ -110,6 +110,22 @@ def test_windows_hold_all_atoms(monkeypatch):
         assert found == {k: alignment.atoms(" " + t) for k, t in enumerate(texts) if t}
 
 
+def test_counts_of_atoms_outlive_the_cache(tools, monkeypatch):
+    monkeypatch.setattr(alignment, "CACHE", 30)
+    rng = random.Random(2)
+    words = [" ".join(rng.choices(["archive", "of", "the", "city", "ü", "page", *map(str, range(200))], k=40)) for _ in range(40)]
+    aligner = alignment.Aligner(A, B, "pairs")
+    counted, totals = alignment.Counted(aligner), Counter()
+    for k, text in enumerate(words):
+        codes = aligner.codes(alignment.atoms(" " + text))
+        if k % 3:  # atoms that are learned, but not counted
+            counted.add(codes)
+            totals.update(plain(text, tools)[3])
+    counted.settle()
+    found = counted.taken().to_pydict()
+    assert {(a, b): n for a, b, n in zip(found["a"], found["b"], found["n"], strict=True)} == dict(totals)
+
+
 def test_empty_table(spark):
     assert alignment.digests(spark.createDataFrame([], SCHEMA), A, B).collect() == []
 
