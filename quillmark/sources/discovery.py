@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillmark.functions import text
-from quillmark.sources import tiff
+from quillmark.sources import pdftree, tiff
 
 #: File suffixes of each kind.
 IMAGES = ("png", "jpg", "jpeg", "heic", "heif", "webp", "bmp")
@@ -144,14 +144,21 @@ _PDF_PAGE, _PDF_STREAM = re.compile(rb"/Type\s*/Page(?![A-Za-z])"), re.compile(r
 
 
 def pdf_pages(content: bytes) -> int:
-    """Page objects of a PDF file, those in compressed object streams included; encrypted files are not read."""
-    count = len(_PDF_PAGE.findall(content))
-    for found in _PDF_STREAM.finditer(content):
-        try:
-            count += len(_PDF_PAGE.findall(zlib.decompressobj().decompress(content[found.end() :])))
-        except zlib.error:
-            continue
-    return count
+    """Pages of a PDF file by its tree of pages, see ``pdftree``; of a file without one its page objects. Encrypted files are an error."""
+    try:
+        return pdftree.page_count(content)
+    except pdftree.Encrypted:
+        raise
+    except (ValueError, IndexError, KeyError, TypeError, AttributeError, zlib.error, RecursionError) as error:
+        count = len(_PDF_PAGE.findall(content))
+        for found in _PDF_STREAM.finditer(content):
+            try:
+                count += len(_PDF_PAGE.findall(zlib.decompressobj().decompress(content[found.end() :])))
+            except zlib.error:
+                continue
+        if not count:
+            raise ValueError("PDF file without pages") from error
+        return count
 
 
 def page_counts(spark: SparkSession, folder: str) -> DataFrame:
