@@ -363,24 +363,68 @@ def reindex_after_edits(spark, sf_dir) -> DataFrame:
     return index.groupBy("token").agg(F.count("*").alias("n"))
 
 
-@query(ORACLES["token_doc_freq"])
-def stream_incremental_index(spark, sf_dir) -> DataFrame:
-    """The postings that a stream of lines leaves equal those of one pass."""
+def _stream_root(spark) -> str:
+    """A new folder that all executors share, for a stream's input, state and output."""
     import uuid
 
-    from quillmark.streaming import index
-
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not base and not spark.sparkContext.master.startswith("local"):
         raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-    base = base or "/tmp/quillmark-streams"
-    root = f"{base}/stream-{uuid.uuid4().hex}"
+    return f"{base or '/tmp/quillmark-streams'}/stream-{uuid.uuid4().hex}"
+
+
+@query(ORACLES["token_doc_freq"])
+def stream_incremental_index(spark, sf_dir) -> DataFrame:
+    """The postings that a stream of lines leaves equal those of one pass."""
+    from quillmark.streaming import index
+
+    root = _stream_root(spark)
     corpus.archive_lines(spark, sf_dir).select("line_id", "text").write.parquet(f"{root}/in")
     source = spark.readStream.schema("line_id string, text string").parquet(f"{root}/in")
     index.follow(source, f"{root}/index", f"{root}/state").awaitTermination()
     return spark.read.parquet(f"{root}/index").groupBy("token").agg(F.countDistinct("line_id").alias("lines"), F.count("*").alias("n"))
 
 
+@query(ORACLES["reindex_after_edits"])
+def stream_edited_index(spark, sf_dir) -> DataFrame:
+    """The postings that a stream of lines and their edits leaves, the edits overtaking the lines, equal those rebuilt."""
+    from quillmark.operators import commits
+    from quillmark.streaming import edits
+
+    root, schema = _stream_root(spark), "line_id string, seq long, text string"
+    lines = corpus.archive_lines(spark, sf_dir)
+    bad = corpus.table(spark, sf_dir, "labels").where("quality = 0").select("doc_id").distinct()
+    new = lines.join(bad, "doc_id", "left_semi").select("line_id", F.lit(1).cast("long").alias("seq"), F.lit("Berichtigt").alias("text"))
+    archive = commits.Snapshots(spark, f"{root}/archive")
+    for n, part in enumerate((new, lines.select("line_id", F.lit(0).cast("long").alias("seq"), "text"), new.limit(0))):
+        part.write.parquet(f"{root}/in/{n}")
+        edits.follow(spark.readStream.schema(schema).parquet(f"{root}/in/*"), archive, f"{root}/state").awaitTermination()
+    return edits.current(archive).groupBy("token").agg(F.count("*").alias("n"))
+
+
+#: How long a job may be silent, and how late its events may come.
+IDLE_HOURS, LATE_MINUTES = 6, 10
+
+
+@query(f"""WITH e AS (SELECT user_id AS job_id, event_id AS seq, epoch_us(ts) AS at_us, {_STATE_SQL} AS status FROM events WHERE user_id IS NOT NULL AND ts IS NOT NULL),
+  w AS (SELECT max(at_us) // 1000 - {LATE_MINUTES} * 60000 AS mark FROM e),
+  n AS (SELECT *, lead(at_us) OVER (PARTITION BY job_id ORDER BY at_us, seq) AS after, at_us + {IDLE_HOURS} * 3600000000 AS until FROM e, w),
+  d AS (SELECT * FROM n WHERE at_us // 1000 <= mark)
+SELECT job_id, at_us, seq, status FROM d
+UNION ALL SELECT job_id, until, NULL, 'fehlgeschlagen' FROM d WHERE status = 'läuft' AND until // 1000 <= mark AND (after IS NULL OR after > until)""")
+def job_lives(spark, sf_dir) -> DataFrame:
+    """Events of jobs in their order, up to the watermark, and the failures of those that fell silent."""
+    from quillmark.streaming import jobs
+
+    root = _stream_root(spark)
+    names = F.create_map(*(F.lit(x) for kv in STATES.items() for x in kv))
+    events = corpus.table(spark, sf_dir, "events").select(F.col("user_id").cast("string").alias("job_id"), F.col("ts").cast("timestamp").alias("at"), F.col("event_id").alias("seq"), F.element_at(names, F.col("event_type")).alias("status"), F.lit("").alias("message"))
+    events.write.parquet(f"{root}/in")
+    told = jobs.lives(spark.readStream.schema(events.schema).parquet(f"{root}/in"), f"{IDLE_HOURS} hours", f"{LATE_MINUTES} minutes")
+    told.writeStream.format("parquet").option("checkpointLocation", f"{root}/state").trigger(availableNow=True).start(f"{root}/out").awaitTermination()
+    since = F.expr("timestampdiff(MICROSECOND, timestamp_ntz'1970-01-01 00:00:00', cast(at as timestamp_ntz))")
+    return spark.read.schema(jobs.TOLD).parquet(f"{root}/out").select(F.col("job_id").cast("long").alias("job_id"), since.alias("at_us"), "seq", "status")
+
 
 # ------------------------------------------------------------ recognizers and listings
 
