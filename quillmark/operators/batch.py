@@ -92,7 +92,7 @@ class Job:
         self._step("Helligkeit, Kontrast und Schieflage angepasst", 0.22)
         views = self._keep("views", imaging.chosen(images))
         self._step("lokale OCR-/HTR-Modelle arbeiten", 0.30)
-        read = self._keep("read", recognizers.recognize(views, self.readers))
+        read = self._keep("read", self._led_back(recognizers.recognize(views, self.readers), views))
         lines, pages = self._transcribed(read, scans, views, request)
         if self.fetch:
             self._step("optionale Zweitlesung wird geprüft", 0.86)
@@ -128,6 +128,12 @@ class Job:
             raise ValueError(NO_FILES)
         return images, scans
 
+    def _led_back(self, read: DataFrame, views: DataFrame) -> DataFrame:
+        """Lines with their boxes on the page as it was scanned; recognizers saw it straightened."""
+        box = imaging.box_back(F.struct("x1", "y1", "x2", "y2"), F.col("transform"))
+        found = read.join(views.select("page", "variant", "transform"), ["page", "variant"]).withColumn("__box", box)
+        return found.select(*(F.col(f"__box.{c}").alias(c) if c in ("x1", "y1", "x2", "y2") else F.col(c) for c in read.columns))
+
     def _transcribed(self, read: DataFrame, scans: DataFrame, views: DataFrame, request: Request) -> tuple[DataFrame, DataFrame]:
         """Lines and pages by the best candidate of each page, merged with the others and put right by rules."""
         names = F.array(*(F.lit(r.name) for r in self.readers))
