@@ -1,7 +1,7 @@
 """Edits of indexed lines as a stream: the postings follow, and never hold two states of one line.
 
-State for each line is its latest edit, so repeated and overtaken edits change
-nothing. What changes is committed batch by batch: the new state's postings and a
+State holds the number of each line's latest edit, so repeated and overtaken edits
+change nothing. What changes is committed batch by batch: the new state's postings and a
 mark on the state that they replace, in one commit, and once only.
 """
 
@@ -25,34 +25,47 @@ POSTINGS, REPLACED, APPLIED = "postings", "replaced", "applied"
 CHANGE = "line_id string, seq long, text string, before long"
 
 
-class Line(StatefulProcessor):
-    """The latest state of one line; says what replaces what."""
+class Lines(StatefulProcessor):
+    """The latest ``seq`` of each line of a bucket; says what replaces what."""
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.state = handle.getValueState("line", "seq long, text string")
+        self.state = handle.getValueState("lines", "line_ids array<string>, seqs array<long>")
 
     def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        new = max((r for part in rows for r in part[["seq", "text"]].itertuples(index=False, name=None)), key=lambda r: (r[0], r[1] or ""))
-        old = self.state.get() if self.state.exists() else None
-        if old is not None and new[0] <= old[0]:
-            return
-        self.state.update((int(new[0]), new[1]))
-        yield pd.DataFrame({"line_id": [key[0]], "seq": [new[0]], "text": [new[1]], "before": pd.array([None if old is None else old[0]], "Int64")})
+        new: dict[str, tuple[int, str | None]] = {}
+        for part in rows:  # of many states of one line in a batch only the last is kept
+            for line, seq, said in zip(part["line_id"].tolist(), part["seq"].tolist(), part["text"].tolist(), strict=True):
+                if line not in new or (seq, said or "") > (new[line][0], new[line][1] or ""):
+                    new[line] = seq, said
+        old = self.state.get()
+        held = dict(zip(old[0], old[1], strict=True)) if old is not None else {}
+        changed = [(line, seq, said, held.get(line)) for line, (seq, said) in new.items() if line not in held or seq > held[line]]
+        if changed:
+            held.update((line, seq) for line, seq, _, _ in changed)
+            self.state.update((list(held), list(held.values())))
+            told = pd.DataFrame(changed, columns=["line_id", "seq", "text", "before"])
+            yield told.assign(before=told["before"].astype("Int64"))
 
     def close(self) -> None:
         pass
 
 
-def follow(edits: DataFrame, archive: commits.Snapshots, checkpoint: str, name: str = "edits") -> StreamingQuery:
+#: Keys of the state. A key holds a line's number and id for each of its lines, so some thousand lines a key are enough.
+BUCKETS = 4096
+
+
+def follow(edits: DataFrame, archive: commits.Snapshots, checkpoint: str, name: str = "edits", buckets: int = BUCKETS) -> StreamingQuery:
     """Keeps the postings in ``archive`` to the latest of each line's streamed states (line_id, seq, text).
 
     The greatest ``seq`` holds, whenever it comes; of several equal ones the first
     batch's. A null text has no tokens, so it takes a line out of the index. States
-    without a line_id or seq are left out. ``name`` tells streams into one archive apart.
+    without a line_id or seq are left out. ``name`` tells streams into one archive
+    apart; ``buckets``, the number of the state's keys, stays as the first run had it.
     """
     needs(edits.sparkSession)
     rows = edits.where("line_id is not null and seq is not null").select("line_id", F.col("seq").cast("long").alias("seq"), "text")
-    changes = rows.groupBy("line_id").transformWithStateInPandas(Line(), CHANGE, "Append", "None")
+    keyed = rows.withColumn("bucket", F.pmod(F.xxhash64("line_id"), F.lit(buckets)).cast("int"))
+    changes = keyed.groupBy("bucket").transformWithStateInPandas(Lines(), CHANGE, "Append", "None")
 
     def apply(batch: DataFrame, number: int) -> None:
         kept = batch.persist()
