@@ -27,6 +27,10 @@ from quillmark.llm import _shared as S
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 UNSEEN = frozenset("script style template noscript svg math iframe object canvas title head select textarea button".split())
 INLINE = frozenset("a abbr b bdi bdo big cite code data del dfn em font i ins kbd label mark q s samp small span strike strong sub sup time tt u var".split())
+#: What may stand in a head without ending it, and what cannot stand in a button or a list of choices.
+IN_HEAD = frozenset("base basefont bgsound link meta title noscript noframes style script template head html".split())
+NO_CONTROL = frozenset("p h1 h2 h3 h4 h5 h6 article section main header footer nav aside ul ol dl table form blockquote pre body".split())
+CONTROLS = ("button", "select")
 HEADINGS = frozenset(f"h{n}" for n in range(1, 7))
 _RAW = frozenset("script style template noscript iframe textarea svg title".split())
 
@@ -55,6 +59,7 @@ class _Reader:
     blocks: list[Block] = field(default_factory=list)
     stack: list[tuple[str, str]] = field(default_factory=list)  # name, name with class and id words
     names: Counter = field(default_factory=Counter)  # how often each name is on the stack
+    depths: list[int] = field(default_factory=list)  # where on the stack block-level elements are
     parts: list[str] = field(default_factory=list)
     blank: bool = True  # no part has anything but white space
     path: tuple[str, ...] = ()
@@ -63,8 +68,12 @@ class _Reader:
     anchors: int = 0
 
     def text(self, raw: str) -> None:
-        if self.unseen or not raw:
+        if not raw:
             return
+        if self.unseen:
+            if self.stack[-1][0] != "head" or not raw.strip():
+                return
+            self.cut(len(self.stack) - 1)  # text begins the body
         found = entities.unescape(raw)
         if not found.strip():
             self.parts.append(found)
@@ -83,28 +92,39 @@ class _Reader:
                 self.blocks.append(Block(found, self.path, self.links))
         self.parts, self.links, self.blank = [], 0, True
 
-    def open(self, name: str, words: list[str]) -> None:
+    def open(self, name: str, words: list[str], ends: bool = True) -> None:
+        """``ends``: whether the page has a closing tag for it further on; unseen elements without one are passed over."""
+        if self.unseen:
+            if self.stack[-1][0] == "head" and name not in IN_HEAD:
+                self.cut(len(self.stack) - 1)
+            elif name in NO_CONTROL or name in CONTROLS:
+                self.end_control()
         if name == "br":
             self.text(" ")
             self.parts.append(" ")
             return
         if name not in INLINE:
             self.flush()
-        if name in VOID:
+        if name in VOID or name in UNSEEN and not ends:
             return
         if name not in INLINE:  # a new block ends an open paragraph, a list item or cell its like
             like = ("p",) if name not in ("li", "td", "th", "tr", "dt", "dd", "option") else ("p", name)
-            for depth in range(len(self.stack) - 1, -1, -1):
-                if self.stack[depth][0] in like:
-                    self.cut(depth)
-                    break
-                if self.stack[depth][0] not in INLINE:
-                    break
+            if self.depths and self.stack[self.depths[-1]][0] in like:
+                self.cut(self.depths[-1])
+            self.depths.append(len(self.stack))
         self.names[name] += 1
         self.stack.append((name, name + "".join(f".{w}" for w in words)))
         self.unseen += name in UNSEEN
         self.anchors += name == "a"
 
+    def end_control(self) -> None:
+        """Ends an open button or list of choices, in which what comes next cannot stand."""
+        if any(self.names[c] for c in CONTROLS):
+            depth = len(self.stack) - 1
+            while self.stack[depth][0] not in CONTROLS:
+                depth -= 1
+            self.cut(depth)
+
     def close(self, name: str) -> None:
         if name not in INLINE:
             self.flush()
@@ -120,6 +140,8 @@ class _Reader:
             self.unseen -= name in UNSEEN
             self.anchors -= name == "a"
         del self.stack[depth:]
+        while self.depths and self.depths[-1] >= depth:
+            self.depths.pop()
 
 
 def _markup(page: str, at: int) -> tuple[int, str, bool, list[str]] | None:
@@ -175,8 +197,20 @@ def _after(page: str, mark: str, at: int) -> int:
 
 
 def blocks(page: str) -> list[Block]:
-    """The leaf blocks of a page in order; entities decoded, white space collapsed. Time is linear in the page."""
+    """The leaf blocks of a page in order; entities decoded, white space collapsed. Time is linear in the page.
+
+    End tags that a page may leave out are implied: of a head by whatever cannot
+    stand in it, of a button or list of choices by blocks that cannot. Elements of
+    which nothing is seen, but that never end, hide nothing.
+    """
     reader, at, text = _Reader(), 0, 0
+    last: dict[str, int] = {}
+
+    def ends(name: str) -> bool:
+        if name not in last:
+            last[name] = max((m.start() for m in re.finditer(rf"</{name}(?=[\s/>])", page, re.I)), default=-1)
+        return last[name] >= at
+
     while (at := page.find("<", at)) >= 0:
         found = _markup(page, at)
         if found is None:
@@ -188,11 +222,11 @@ def blocks(page: str) -> list[Block]:
         at, name, closes, words = found
         if closes:
             reader.close(name)
-        elif name in _RAW and page[at - 2] != "/":
+        elif name in _RAW and page[at - 2] != "/" and (name not in ("svg", "noscript", "iframe", "template") or ends(name)):
             end = _END_OF[name].search(page, at)
             at = _after(page, ">", end.end()) if end else len(page)
         elif name:
-            reader.open(name, words)
+            reader.open(name, words, name not in UNSEEN or name == "head" or ends(name))
         text = at
     reader.text(page[text:])
     reader.flush()

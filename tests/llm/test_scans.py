@@ -144,12 +144,40 @@ def test_malformed_tags_lose_no_text():
 
 
 def test_time_is_linear_in_malformed_pages():
-    for page in ("<a" * 500_000, "<" * 1_000_000, "<a " + "x=' " * 250_000, "<p class=" * 100_000, "</title" * 140_000, "<title>" + "</title" * 140_000, "<!--" * 250_000, "<div>" * 100_000 + "</span>" * 50_000, "<b> " * 200_000, "&" * 500_000):
+    for page in ("<a" * 500_000, "<" * 1_000_000, "<a " + "x=' " * 250_000, "<p class=" * 100_000, "</title" * 140_000, "<title>" + "</title" * 140_000, "<!--" * 250_000, "<div>" * 100_000 + "</span>" * 50_000, "<b> " * 200_000, "&" * 500_000, "<b>" * 90_000 + "<p>x</p>" * 90_000, "<button>" * 120_000 + "<p>x</p>" * 1000, "<select><b>" * 90_000 + "</select>", "<svg>" * 200_000, "<head>x" * 140_000):
         began = time.perf_counter()
         html.blocks(page)
         assert time.perf_counter() - began < 4, page[:20]
 
 
+BODY = "<h1>Rain over the valley</h1><p>It has rained since Tuesday, and the river has risen by a metre.</p><p>Farmers wait for the sun &amp; a dry week.</p>"
+SHOWN = ["Rain over the valley", "It has rained since Tuesday, and the river has risen by a metre.", "Farmers wait for the sun & a dry week."]
+
+
+def test_end_tags_that_pages_leave_out():
+    """Pages written by hand, with the blocks that a browser shows of them."""
+    pages = {
+        "no </head>": f"<!DOCTYPE html><html><head><title>t</title><meta charset=utf-8><body>{BODY}</body></html>",
+        "no <body>": f"<html><head><title>t</title><style>p {{}}</style></head>{BODY}</html>",
+        "no </head>, no <body>": f"<html><head><title>t</title><link rel=x><script>var p = '<p>no</p>';</script>{BODY}",
+        "no head at all": f"<title>t</title>{BODY}",
+        "text ends the head": f"<head><title>t</title>\n {SHOWN[0]}<p>{SHOWN[1]}<p>Farmers wait for the sun &amp; a dry week.",
+        "paragraphs that never end": f"<body><h1>{SHOWN[0]}</h1><p>{SHOWN[1]}<p>Farmers wait for the sun &amp; a dry week.",
+        "an open button": f"<body><div><button>Menu{BODY}</div>",
+        "an open button, a closed one": f"<body><button>Menu{BODY}<button><div>Send</div></button>",
+        "an open list of choices": f"<body><select><option>a<option>b{BODY}",
+        "an object that never ends": f"<body><object data=x>{BODY}",
+        "a drawing that never ends": f"<body><svg><path d='M0'/>{BODY}",
+        "hidden parts that end": f"<body><svg><text>no</text></svg><canvas><p>no</p></canvas><select><option>no</select><button><div>no</div></button><template><p>no</p></template>{BODY}",
+        "capital letters": f"<HTML><HEAD><TITLE>t</TITLE><BODY>{BODY}<BUTTON>no</BUTTON></BODY></HTML>",
+    }
+    before = {"an open button": ["Menu"], "an open list of choices": ["a", "b"]}  # nothing is hidden that never ends
+    for name, page in pages.items():
+        assert [b.text for b in html.blocks(page)] == before.get(name, []) + SHOWN, name
+    whole = "<html><head><title>t</title><body><nav><ul><li><a href=/>Home</a><li><a href=/a>About</a></ul></nav><article>" + BODY + "</article><footer><p>Copyright 2024</p></footer>"
+    assert html.trained() and [b.text for b in html.blocks(whole)][2:-1] == SHOWN
+
+
 def test_search_stops_early_where_bounds_decide():
     rng = np.random.default_rng(6)
     vectors = rng.integers(-2, 3, (2000, 8)).astype(float)
