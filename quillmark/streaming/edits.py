@@ -82,7 +82,8 @@ def _commit(transaction: commits.Transaction, batch: DataFrame, name: str, numbe
     if transaction.has(APPLIED) and not transaction.read(APPLIED).where((F.col("stream") == name) & (F.col("batch") == number)).isEmpty():
         return  # a lost attempt of this batch got as far as its commit
     lines = text.compose(batch.select("line_id", "seq", F.coalesce("text", F.lit("")).alias("text")), "text").withColumn("normalized", text.normalize(F.col("text")))
-    transaction.append(POSTINGS, lexical.postings(lines).join(lines.select("line_id", "seq"), "line_id").select("token", "line_id", "col", "pos", "seq"))
+    states = lexical.postings(lines.withColumn("line_id", F.struct("line_id", "seq")))
+    transaction.append(POSTINGS, states.select("token", "line_id.line_id", "col", "pos", "line_id.seq"))
     transaction.append(REPLACED, batch.where("before is not null").select("line_id", F.col("before").alias("seq")))
     transaction.append(APPLIED, spark.createDataFrame([(name, number)], "stream string, batch long").coalesce(1))
 
