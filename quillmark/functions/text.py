@@ -22,15 +22,27 @@ def _replaced(x: Column, pairs: tuple[tuple[str, str], ...]) -> Column:
     return x
 
 
-def compose(df: DataFrame, column: str) -> DataFrame:
-    """NFC of a column. Only rows with combining marks leave the JVM; the others pass as they are."""
+def compose(df: DataFrame, *columns: str) -> DataFrame:
+    """NFC of string columns. Only rows with combining marks leave the JVM; the others pass as they are."""
 
     @F.pandas_udf("string")
     def nfc(s: pd.Series) -> pd.Series:
         return s.map(lambda t: None if t is None else unicodedata.normalize("NFC", t))
 
-    marked = F.coalesce(F.col(column).rlike(r"\p{M}"), F.lit(False))
-    return df.where(~marked).unionByName(df.where(marked).withColumn(column, nfc(column)))
+    marked = F.coalesce(F.concat_ws("", *columns).rlike(r"\p{M}"), F.lit(False))
+    return df.where(~marked).unionByName(df.where(marked).withColumns({c: nfc(c) for c in columns}))
+
+
+def compose_field(df: DataFrame, column: str, field: str) -> DataFrame:
+    """NFC of a field of the structs in an array column, likewise."""
+
+    @F.pandas_udf("array<string>")
+    def nfc(s: pd.Series) -> pd.Series:
+        return s.map(lambda found: None if found is None else [None if t is None else unicodedata.normalize("NFC", t) for t in found])
+
+    said = F.transform(column, lambda x: x[field])
+    marked = F.coalesce(F.exists(said, lambda t: F.coalesce(t.rlike(r"\p{M}"), F.lit(False))), F.lit(False))
+    return df.where(~marked).unionByName(df.where(marked).withColumn(column, F.zip_with(column, nfc(said), lambda x, t: x.withField(field, t))))
 
 
 def normalize(x: Column) -> Column:

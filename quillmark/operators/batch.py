@@ -97,7 +97,7 @@ class Job:
         if self.fetch:
             self._step("optionale Zweitlesung wird geprüft", 0.86)
             lines, pages = self._reviewed(lines, pages, views, request)
-        lines = text.compose(lines, "text").withColumn("normalized", text.normalize(F.col("text")))
+        lines = text.compose_field(text.compose(lines, "text"), "alternatives", "text").withColumn("normalized", text.normalize(F.col("text")))
         lines, pages = self._keep("lines", lines.drop("page")), self._keep("pages", pages.drop("page"))
         documents = found.select(
             F.col("id").alias("document_id"), "title", "kind", "source_paths", F.lit(request.year).cast("int").alias("year"),
@@ -174,10 +174,9 @@ class Job:
 
     def _export(self, documents: DataFrame, pages: DataFrame, lines: DataFrame) -> None:
         shown = lines.join(pages.select("document_id", "page_index", "source_path", "width", "height"), ["document_id", "page_index"])
-        export.write_files(export.bundle(documents, lines, export.page_xml(shown), export.json_result(documents, pages, lines)), self.output)
-        folders = export.batch_index(documents, pages).select("document_id", F.col("output_dir").alias("folder"))
         printed = export.docx(documents, pages, lines).withColumn("name", F.lit("transkription.docx")).unionByName(pdf.pdf(documents, pages, lines).withColumn("name", F.lit("transkription.pdf")))
-        export.write_files(printed.join(folders, "document_id").select("document_id", "folder", "name", "content"), self.output)
+        files = export.bundle(documents, lines, export.page_xml(shown), export.json_result(documents, pages, lines), printed)
+        export.write_files(files, self.output)
         export.batch_index(documents, pages).write.mode("overwrite").json(f"{self.output}/auftrag-{self.id[:8]}/stapelindex")
 
     # ---------------------------------------------------------- bookkeeping

@@ -145,13 +145,19 @@ def _zipped(files: list[tuple]) -> bytes:
     return target.getvalue()
 
 
-def bundle(documents: DataFrame, lines: DataFrame, pages_xml: DataFrame, results: DataFrame) -> DataFrame:
-    """document_id, name, content: each document's files, and a zip of them all, as rows that any sink can store."""
+def bundle(documents: DataFrame, lines: DataFrame, pages_xml: DataFrame, results: DataFrame, printed: DataFrame | None = None) -> DataFrame:
+    """document_id, folder, name, content: each document's files, and a zip of them all, as rows that any sink can store.
+
+    ``printed`` (document_id, name, content) are more files, word-processor files and the like. A document's
+    files meet in one task, which packs them: a book's, of some hundred pages, not a library's.
+    """
     texts = original_text(lines).withColumn("reading", text.reading(F.col("original")))
     files = texts.select("document_id", F.explode(F.create_map(F.lit("transkription_original.txt"), F.col("original"), F.lit("lesefassung.txt"), F.col("reading"))).alias("name", "content"))
     files = files.unionByName(results.select("document_id", F.lit("result.json").alias("name"), F.col("json").alias("content")))
     files = files.unionByName(pages_xml.select("document_id", F.format_string("pagexml/seite_%04d.xml", F.col("page_index") + 1).alias("name"), F.col("xml").alias("content")))
     files = files.select("document_id", "name", F.encode("content", "utf-8").alias("content"))
+    if printed is not None:
+        files = files.unionByName(printed.select("document_id", "name", "content"))
     titles = documents.select("document_id", F.concat(text.slug(F.col("title")), F.lit("-"), F.substring("document_id", 1, 8)).alias("folder"))
 
     def pack(rows: pd.DataFrame) -> pd.DataFrame:
@@ -190,6 +196,12 @@ def job_summary(pages: DataFrame) -> DataFrame:
     return pages.groupBy("document_id").agg(F.count("*").alias("pages"), F.count_if(F.col("expected_cer") > 0.10).alias("to_review"), F.count_if(incomplete).alias("incomplete"))
 
 
+def write_search_results(hits: DataFrame, path: str) -> None:
+    """Stores ``search_results`` as one CSV file with its headings, in the hits' order of score; hits are few."""
+    shown = search_results(hits.orderBy(F.desc("score"), "document_title", "page_index"))
+    shown.coalesce(1).write.mode("overwrite").option("header", True).option("escape", '"').csv(path)
+
+
 def search_results(hits: DataFrame) -> DataFrame:
     """The table that a list of hits prints: Dokument, Jahr, Seite, Text, Trefferart, Bewertung."""
     return hits.select(

@@ -24,9 +24,21 @@ def latest(events: DataFrame, key: str, order: list[str], values: list[str]) ->
     return events.groupBy(key).agg(last).select(key, *(F.col(f"e.{c}").alias(c) for c in [*order, *values]))
 
 
-def corrected(lines: DataFrame, edits: DataFrame) -> DataFrame:
-    """Lines (line_id, text, normalized) under their latest edit (line_id, seq, new_text); alternatives stay."""
-    last = edits.groupBy("line_id").agg(F.max_by("new_text", "seq").alias("__new"))
+def unknown_edits(lines: DataFrame, edits: DataFrame) -> DataFrame:
+    """Edits of lines that are not there."""
+    return edits.join(lines.select("line_id"), "line_id", "left_anti")
+
+
+def corrected(lines: DataFrame, edits: DataFrame, known: bool = False) -> DataFrame:
+    """Lines (line_id, text, normalized) under their latest edit (line_id, seq, new_text); alternatives stay.
+
+    An edit of an unknown line is a KeyError; ``known`` says that there are none, and nothing is looked up.
+    """
+    if not known:
+        lost = [r["line_id"] for r in unknown_edits(lines, edits).select("line_id").limit(5).collect()]
+        if lost:
+            raise KeyError(f"unknown lines: {lost}")
+    last = text.compose(edits.groupBy("line_id").agg(F.max_by("new_text", "seq").alias("__new")), "__new")
     joined = lines.join(last, "line_id", "left")
     new = F.trim("__new")
     out = joined.withColumn("manually_corrected", F.col("__new").isNotNull())
@@ -55,6 +67,7 @@ def entities(mentions: DataFrame) -> DataFrame:
 
 def aliases(pairs: DataFrame) -> DataFrame:
     """Normalised (canonical, alias) pairs, each once."""
+    pairs = text.compose(pairs, "canonical", "alias")
     return pairs.select(text.normalize(F.col("canonical")).alias("canonical"), text.normalize(F.col("alias")).alias("alias")).where("canonical <> '' and alias <> ''").distinct()
 
 

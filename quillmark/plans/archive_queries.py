@@ -336,7 +336,7 @@ def edits_overlay(spark, sf_dir) -> DataFrame:
     lines = corpus.indexed_lines(spark, sf_dir)
     bad = corpus.table(spark, sf_dir, "labels").where("quality = 0").select("doc_id").distinct()
     edits = lines.join(bad, "doc_id", "left_semi").select("line_id", F.lit(1).alias("seq"), F.concat(F.lit("Neu: "), "text").alias("new_text"))
-    return store.corrected(lines, edits).select("line_id", "text", "manually_corrected", "normalized")
+    return store.corrected(lines, edits, known=True).select("line_id", "text", "manually_corrected", "normalized")
 
 
 @query(f"""SELECT line_id, text FROM ({LINES}) WHERE doc_id % 10 <> 0 UNION ALL SELECT line_id, 'Neu: ' || text FROM ({LINES}) WHERE doc_id % 10 = 0 AND line_order < 3""")
@@ -359,7 +359,7 @@ def reindex_after_edits(spark, sf_dir) -> DataFrame:
     lines = corpus.indexed_lines(spark, sf_dir)
     bad = corpus.table(spark, sf_dir, "labels").where("quality = 0").select("doc_id").distinct()
     edits = lines.join(bad, "doc_id", "left_semi").select("line_id", F.lit(1).alias("seq"), F.lit("Berichtigt").alias("new_text"))
-    index = store.reindexed(lexical.postings(lines), store.corrected(lines, edits), edits)
+    index = store.reindexed(lexical.postings(lines), store.corrected(lines, edits, known=True), edits)
     return index.groupBy("token").agg(F.count("*").alias("n"))
 
 

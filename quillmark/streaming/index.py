@@ -18,7 +18,7 @@ def follow(lines: DataFrame, index: str, checkpoint: str) -> StreamingQuery:
     """
 
     def add(batch: DataFrame, number: int) -> None:
-        rows = batch.withColumn("normalized", text.normalize(F.col("text")))
+        rows = text.compose(batch, "text").withColumn("normalized", text.normalize(F.col("text")))
         lexical.postings(rows).write.mode("overwrite").parquet(f"{index}/batch={number}")
 
     return lines.writeStream.foreachBatch(add).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

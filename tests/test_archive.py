@@ -1,5 +1,6 @@
 """Recognition, rules, merge, storage, exports, discovery, imaging and streaming."""
 
+import csv
 import io
 import json
 import struct
@@ -11,6 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quillmark import cli
+from quillmark.functions import text
 from quillmark.operators import commits, export, imaging, merge, recognition, rules, store
 from quillmark.sources import authority, discovery, pagexml
 from quillmark.streaming import index
@@ -104,6 +106,32 @@ def test_storage(spark, tmp_path):
     assert [tuple(r) for r in store.aliases(pairs).collect()] == [("mueller", "moeller")]
 
 
+def test_composed_everywhere_text_is_normalised(spark, tmp_path):
+    """Typed with combining marks, as some systems do: stored, corrected, streamed and named as with composed letters."""
+    apart = "Mu\u0308ller Stra\u00dfe"
+    lines = spark.createDataFrame([("a", "x", "x"), ("b", "y", "y")], "line_id string, text string, normalized string")
+    edits = spark.createDataFrame([("a", 1, f" {apart} "), ("a", 0, "old")], "line_id string, seq int, new_text string")
+    found = {r.line_id: (r.text, r.normalized, r.manually_corrected) for r in store.corrected(lines, edits).collect()}
+    assert found == {"a": ("Müller Straße", "mueller strasse", True), "b": ("y", "y", False)}
+    with pytest.raises(KeyError, match="c"):
+        store.corrected(lines, edits.unionByName(spark.createDataFrame([("c", 1, "x")], edits.schema)))
+    assert [r.line_id for r in store.unknown_edits(lines, spark.createDataFrame([("c", 1, "x"), ("a", 1, "x")], edits.schema)).collect()] == ["c"]
+    pairs = spark.createDataFrame([(apart, "Mo\u0308ller"), (None, "x")], "canonical string, alias string")
+    assert [tuple(r) for r in store.aliases(pairs).collect()] == [("mueller strasse", "moeller")]
+    spark.createDataFrame([("a", apart)], "line_id string, text string").write.parquet(f"{tmp_path}/in")
+    index.follow(spark.readStream.schema("line_id string, text string").parquet(f"{tmp_path}/in"), f"{tmp_path}/index", f"{tmp_path}/state").awaitTermination()
+    assert {r.token for r in spark.read.parquet(f"{tmp_path}/index").collect()} == {"müller", "straße", "mueller", "strasse"}
+    held = spark.createDataFrame([("a", [(apart, 1), (None, 2)]), ("b", [("x", 3)]), ("c", None), ("d", [])], "line_id string, alternatives array<struct<text:string,n:int>>")
+    assert {r.line_id: r.alternatives and [tuple(x) for x in r.alternatives] for r in text.compose_field(held, "alternatives", "text").collect()} == {"a": [("Müller Straße", 1), (None, 2)], "b": [("x", 3)], "c": None, "d": []}
+
+
+def test_search_results_are_stored(spark, tmp_path):
+    hits = spark.createDataFrame([("Buch \"A\"", 1872, 0, "Haus, am See", "Wort", 0.5), ("B", None, 4, "x", "Wort", 0.75)], "document_title string, year int, page_index int, text string, reason string, score double")
+    export.write_search_results(hits, f"{tmp_path}/out")
+    (stored,) = (tmp_path / "out").glob("*.csv")
+    assert list(csv.reader(stored.open(encoding="utf-8"))) == [["Dokument", "Jahr", "Seite", "Text", "Trefferart", "Bewertung"], ["B", "", "5", "x", "Wort", "75%"], ["Buch \"A\"", "1872", "1", "Haus, am See", "Wort", "50%"]]
+
+
 def png(path, gray):
     h, w = gray.shape
     raw = b"".join(b"\0" + row.astype(np.uint8).tobytes() for row in gray)

@@ -4,6 +4,7 @@ import json
 import random
 import re
 import uuid
+import zipfile
 import zlib
 
 import numpy as np
@@ -72,6 +73,9 @@ def test_job_from_folder_to_files(spark, tmp_path):
     for name in ("transkription_original.txt", "lesefassung.txt", "result.json", "transkription.docx", "transkription.pdf", "pagexml/seite_0002.xml", f"{folder}.zip"):
         assert f"{folder}/{name}" in names
     assert (tmp_path / "out" / folder / "transkription_original.txt").read_text() == "den 3. Mai 1872\nJohann Schmidt" + export.PAGE_BREAK + "den 3. Mai 1872\nJohann Schmidt\n"
+    with zipfile.ZipFile(tmp_path / "out" / folder / f"{folder}.zip") as packed:
+        held = {f"{folder}/{n}" for n in packed.namelist()}
+    assert held == {n for n in names if n.startswith(folder + "/")} - {f"{folder}/{folder}.zip"} and f"{folder}/transkription.docx" in held
     assert not list((tmp_path / "archive" / "_jobs").iterdir())
 
 
