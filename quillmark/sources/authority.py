@@ -5,11 +5,15 @@ Requests go out through a fetcher that the caller brings; nothing here opens a c
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import uuid
+from collections.abc import Callable, Iterator
 
-from pyspark.sql import DataFrame
+import pandas as pd
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quillmark.operators import commits
+
 #: Seconds for which a stored response counts.
 LIFETIME = 86_400
 RESPONSE = (
@@ -41,3 +45,49 @@ def lookup(cache: DataFrame, name: str, now: float, fetch: Callable[[dict[str, s
     if fetch is not None and not fresh.limit(1).count():
         fresh = cache.sparkSession.createDataFrame([(key, fetch(expression(name, limit)), now)], cache.schema)
     return persons(fresh)
+
+
+#: The cache's table in its archive, and its columns.
+CACHE, CACHED = "authority", "name_key string, body string, fetched_at double"
+
+
+def name_key(name: Column) -> Column:
+    """A name as the cache keys it: trimmed and case-folded."""
+    x = F.lower(F.trim(name))
+    for a, b in (("ß", "ss"), ("ς", "σ"), ("ſ", "s")):
+        x = F.replace(x, F.lit(a), F.lit(b))
+    return x
+
+
+def resolve(names: DataFrame, archive: commits.Snapshots, now: float, fetch: Callable[[dict[str, str]], str], limit: int = 10, calls: int = 4) -> DataFrame:
+    """``asked`` and the persons of every distinct ``name``, from the archive's cache; what is not fresh there is fetched first.
+
+    Each stale key is asked for once, on the executors in ``calls`` tasks, and what
+    comes back replaces the key's old response in one commit. A name whose request
+    ends with a RuntimeError, ValueError or OSError keeps its old response, if it
+    has one, and is asked for again the next time. Null and blank names have no
+    persons. A lost task asks again for the keys that it had not handed on.
+    """
+    spark = names.sparkSession
+    wanted = names.select("name", name_key(F.col("name")).alias("name_key")).where("name_key <> ''").distinct()
+    snapshot = archive.snapshot()
+    stale = wanted.groupBy("name_key").agg(F.min("name").alias("name"))
+    if CACHE in snapshot.tables:
+        stale = stale.join(snapshot.read(CACHE).where(F.col("fetched_at") > now - LIFETIME), "name_key", "left_anti")
+
+    def ask(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for key, name in zip(batch["name_key"], batch["name"], strict=True):
+                try:
+                    body = fetch(expression(name, limit))
+                except (RuntimeError, ValueError, OSError):
+                    continue
+                yield pd.DataFrame({"name_key": [key], "body": [body], "fetched_at": [now]})
+
+    place = f"{archive.root}/_fetched/{uuid.uuid4().hex}"
+    stale.repartition(calls, "name_key").mapInPandas(ask, CACHED).write.parquet(place)  # asked once, whatever happens to the commit
+    fetched = spark.read.schema(CACHED).parquet(place)
+    archive.update(lambda t: t.replace(CACHE, fetched, ["name_key"]))
+    folder = spark._jvm.org.apache.hadoop.fs.Path(place)
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+    return wanted.withColumnRenamed("name", "asked").join(persons(archive.read(CACHE)), "name_key").drop("name_key")

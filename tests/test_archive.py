@@ -179,6 +179,35 @@ def test_authority_cache(spark):
     assert authority.lookup(cache, "Schmidt", 1e9, lambda q: body if "preferredName" in q["q"] else "").count() == 1
 
 
+def test_authority_of_a_table_of_names(spark, tmp_path):
+    archive, asked = commits.Snapshots(spark, str(tmp_path / "archive")), tmp_path / "asked"
+    asked.mkdir()
+
+    def fetch(parameters):
+        name = parameters["q"].split('"')[1]
+        (asked / f"{name} {len(list(asked.iterdir()))}").touch()  # calls run in other processes
+        if name == "Offline":
+            raise OSError("no connection")
+        return json.dumps({"member": [{"id": f"https://d-nb.info/gnd/{name}-{n}", "preferredName": name} for n in range(1 if name == "None" else 2)]})
+
+    def calls():
+        found = sorted(p.name.split()[0] for p in asked.iterdir())
+        for p in asked.iterdir():
+            p.unlink()
+        return found
+
+    names = spark.createDataFrame([(n,) for n in ["Groß", " gross ", "GROSS", "Maier", "Offline", "", " ", None, "Maier"]], "name string")
+    found = {(r.asked, r.gnd_id) for r in authority.resolve(names, archive, 1000.0, fetch).collect()}
+    (first,) = {n for _, n in found if n.endswith("-0") and not n.startswith("Maier")}
+    assert {a for a, _ in found} == {"Groß", " gross ", "GROSS", "Maier"} and len(found) == 8 and len(calls()) == 3
+    more = names.unionByName(spark.createDataFrame([("Neu",)], names.schema))
+    assert authority.resolve(more, archive, 2000.0, fetch).count() == 10 and calls() == ["Neu", "Offline"]
+    assert authority.resolve(names, archive, 1000.0 + authority.LIFETIME, fetch).count() == 8 and len(calls()) == 3
+    assert authority.resolve(names.limit(0), archive, 5000.0, fetch).collect() == [] and calls() == []
+    keys = [r.name_key for r in archive.read(authority.CACHE).collect()]
+    assert sorted(keys) == ["gross", "maier", "neu"] and first
+
+
 def test_incremental_index(spark, tmp_path):
     write = lambda rows: spark.createDataFrame(rows, "line_id string, text string").coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
     for rows in ([("a", "Haus am See")], [("b", "Haus")]):
