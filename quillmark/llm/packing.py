@@ -17,19 +17,20 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quillmark.llm import _shared as S
 from quillmark.llm.tokens import Encoder
 
 CAPACITY = 1024
-#: Column generation goes on until the program's value is within this share of its lower bound, or within
-#: this many sequences of it, or until no pattern prices out.
-GAP, SLACK = 0.001, 4
+#: Column generation goes on until the program's value is within this share of its lower bound, or until no pattern prices out.
+GAP = 0.0003
 #: Weight of the plain lengths in the prices a pattern is first sought by, patterns taken from one
 #: dynamic program, and simplex steps between two fresh inversions of the basis.
-STEADY, TAKEN, FRESH = 0.9, 60, 150
+STEADY, TAKEN, FRESH = 0.9, 60, 200
+#: Patterns held for each length; beyond it the least promising half that the basis does not use is given up.
+HELD = 4
 #: Pieces in a ranking group, about.
 GROUP = 200
 #: Ranking groups whose offsets are summed in one task.
@@ -144,7 +145,7 @@ def solve(lengths: np.ndarray, demand: np.ndarray, capacity: int, start: list[di
                 x, y = inverse @ wanted, basic @ inverse
             continue
         value = float(basic @ np.maximum(x, 0))
-        if value - bound <= max(gap * bound, SLACK * capacity):
+        if value - bound <= gap * bound:
             break
         new: list[dict[int, int]] = []
         for weight in (STEADY, STEADY / 2, 0.0):
@@ -161,6 +162,15 @@ def solve(lengths: np.ndarray, demand: np.ndarray, capacity: int, start: list[di
         if not new:
             finished = True
             break
+        if len(pool) > HELD * m:
+            held = rows @ y - costs
+            held[basis[basis >= 0]] = np.inf
+            kept = np.sort(np.argsort(-held, kind="stable")[: max(m, HELD * m // 2)])
+            place = np.full(len(pool), -1)
+            place[kept] = np.arange(len(kept))
+            pool, rows, costs = [pool[k] for k in kept.tolist()], rows[kept], costs[kept]
+            basis = np.where(basis >= 0, place[np.maximum(basis, 0)], basis)
+            known = {tuple(sorted(p.items())) for p in pool}
         known |= {tuple(sorted(p.items())) for p in new}
         more = dense(new)
         pool, rows, costs = pool + new, np.concatenate((rows, more)), np.concatenate((costs, price_of(more)))
@@ -222,7 +232,7 @@ def plan(histogram: dict[int, int], capacity: int = CAPACITY, gap: float = GAP)
     start = {tuple(sorted((index[n], a) for n, a in zip(p.lengths, p.counts, strict=True))): None for p in greedy}
     program = solve(lengths, demand, capacity, [dict(p) for p in start], gap)
     found = [greedy]
-    for least in (1.0, 0.5):
+    for least in (1.0, 0.9, 0.8, 0.7, 0.6, 0.5, 0.4, 0.3, 0.2):
         left, rounded = demand.copy(), []
         for whole in (True, False):
             for counts, value in sorted(program.patterns, key=lambda p: -(p[1] if whole else p[1] % 1)):
@@ -252,6 +262,24 @@ def slots(patterns: list[Pattern]) -> dict[int, np.ndarray]:
     return {n: np.array(r, np.int64) for n, r in rows.items()}
 
 
+def planned(spark: SparkSession, sizes: dict[int, int], capacity: int, gap: float) -> dict[int, np.ndarray]:
+    """The slots of a plan, made in one task: the histogram has at most ``capacity`` rows, and a lost task is run again.
+
+    Its linear algebra is not for the driver, whose threads have begun before.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = {n: k for batch in batches for n, k in zip(*(c.to_pylist() for c in batch.columns), strict=True)}
+        for n, rows in slots(plan(held, capacity, gap)).items():
+            yield pa.RecordBatch.from_arrays([pa.array([n] * len(rows), pa.int64()), *(pa.array(rows[:, c]) for c in range(4))], names)
+
+    names = ["length", "rank", "pieces", "sequence", "offset"]
+    histogram = spark.createDataFrame(sorted(sizes.items()), "length long, n long").coalesce(1)
+    found = histogram.mapInArrow(run, ", ".join(f"{c} long" for c in names)).toArrow()
+    rows = np.stack([found.column(c).to_numpy() for c in names], 1)
+    return {int(n): rows[rows[:, 0] == n, 1:] for n in np.unique(rows[:, 0])}
+
+
 # ------------------------------------------------------------ pieces
 
 
@@ -308,7 +336,7 @@ def pack(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, gap: float =
     cut = S.materialize(pieces(docs, tokenizer, capacity), "pieces")
     sizes = {r["length"]: r["n"] for r in cut.groupBy("length").agg(F.count("*").alias("n")).collect()}
     total, full = sum(sizes.values()), sizes.pop(capacity, 0)
-    table = slots(plan(sizes, capacity, gap))
+    table = planned(docs.sparkSession, sizes, capacity, gap)
     table[capacity] = np.array([[0, 1, max(total - full, 0), 0]], np.int64)  # full pieces stand alone
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
