@@ -501,14 +501,18 @@ def extract(pages: DataFrame, network: Network, keep: list[str]) -> DataFrame:
 
     Null or empty html gives the empty text. Every row is answered by itself, so
     repeated pages give repeated rows, an empty table none. Pages are read whole,
-    however long or malformed. Other columns may have any names.
+    however long or malformed. Columns may have any names; kept ones called ``text``
+    or ``n_chars`` give way to the results.
     """
-    source = pages.select(*[F.col(f"`{c}`") for c in keep], F.col("html").alias("__html"))
+    keep, whole = [c for c in keep if c not in ("text", "n_chars")], "__html"
+    while whole in keep:
+        whole += "_"
+    source = pages.select(*[F.col(f"`{c}`") for c in keep], F.col("html").alias(whole))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in S.slices(batch, "__html"):
-                texts = main_texts([h or "" for h in part.column("__html").to_pylist()], network)
+            for part in S.slices(batch, whole):
+                texts = main_texts([h or "" for h in part.column(whole).to_pylist()], network)
                 yield pa.RecordBatch.from_arrays([*(part.column(c) for c in keep), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], [*keep, "text", "n_chars"])
 
     schema = source.select(*[F.col(f"`{c}`") for c in keep], F.lit("").alias("text"), F.lit(0).cast("long").alias("n_chars")).schema

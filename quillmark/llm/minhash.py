@@ -229,7 +229,8 @@ def classes(docs: DataFrame) -> DataFrame:
     Jaccard of five-word shingles). Null text counts as empty; texts without
     words are alike only if equal; texts of under five words are one shingle.
     Rows that share a doc_id count as one document. Rows with a null doc_id
-    take no part and get a null class_id.
+    take no part and get a null class_id. Very long texts count with all their
+    shingles; an empty table gives no rows. Other columns are left out.
     """
     sketch = S.materialize(sketches(docs), "sketches")
     copies = S.materialize(sketch.groupBy("d0", "d1").agg(F.min("doc_id").alias("node"), F.any_value("bands").alias("bands")), "copies")

@@ -198,7 +198,13 @@ def fit(docs: DataFrame, labels: DataFrame, per_label: int = SAMPLE_PER_LABEL) -
 
 
 def score(docs: DataFrame, model: Model, keep: list[str]) -> DataFrame:
-    """``keep`` columns with ``score`` of the whole text and ``predicted``; null text counts as empty."""
+    """``keep`` columns with ``score`` of the whole text and ``predicted``.
+
+    Null text counts as empty, and an empty text as one empty passage. Every
+    row is scored by itself, so repeated rows have one score; an empty table gives
+    no rows. Very long texts are scored by all their passages. Other columns than
+    ``text`` may have any names; kept ones called ``score`` or ``predicted`` would clash.
+    """
     source = docs.select(*[F.col(f"`{c}`") for c in dict.fromkeys([*keep, "text"])])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

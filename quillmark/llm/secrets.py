@@ -153,7 +153,9 @@ def scan(docs: DataFrame, rules: tuple[Rule, ...]) -> DataFrame:
     """doc_id and an array column of spans (s, k, kind, e) for each rule's kind, one row per input row.
 
     Null text counts as empty. Positions are code points, the end exclusive.
-    Rows that share a doc_id share their candidates, which verification settles.
+    Rows that share a doc_id share their candidates, which verification settles;
+    repeated rows and rows with a null doc_id have their own. Texts are read whole,
+    however long; an empty table gives no rows. Other columns are left out.
     """
     rows = docs.select(F.col("doc_id").alias("doc_id"), "text")
     found = S.materialize(candidates(rows, rules).withColumnRenamed("doc_id", "id"), "candidates")

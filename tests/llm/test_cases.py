@@ -65,6 +65,9 @@ def test_large_groups_are_compared_in_all_pairs_of_blocks(spark, monkeypatch):
 def test_html_and_quality_of_empty_tables(spark):
     pages = spark.createDataFrame([], "page_id long, url string, html string")
     assert html.extract(pages, html.trained(), ["page_id", "url"]).collect() == []
+    clashing = spark.createDataFrame([(1, "u", "v", "<p>one two</p>")], "page_id long, __html string, text string, html string")
+    found = html.extract(clashing, html.trained(), ["page_id", "__html", "text"])
+    assert found.columns == ["page_id", "__html", "text", "n_chars"] and found.collect()[0][:2] == (1, "u")
     docs = spark.createDataFrame([], "doc_id long, text string")
     model = quality.fit(docs, spark.createDataFrame([], "doc_id long, quality int"))
     assert quality.score(docs, model, ["doc_id"]).collect() == []
