@@ -24,8 +24,9 @@ from quillmark.llm import _shared as S
 from quillmark.llm.tokens import Encoder
 
 CAPACITY = 1024
-#: Column generation goes on until the program's value is within this share of its lower bound, or until no pattern prices out.
-GAP = 0.0003
+#: Column generation goes on for at least so many rounds, and until the program's value is within this share of its
+#: lower bound, or until no pattern prices out.
+ROUNDS, GAP = 20, 0.001
 #: Weight of the plain lengths in the prices a pattern is first sought by, patterns taken from one
 #: dynamic program, and simplex steps between two fresh inversions of the basis.
 STEADY, TAKEN, FRESH = 0.9, 60, 200
@@ -98,7 +99,7 @@ def solve(lengths: np.ndarray, demand: np.ndarray, capacity: int, start: list[di
     perturbation of the demand. Patterns are first sought at prices near the plain
     lengths, which are themselves a feasible dual solution and hence a lower bound,
     and at the program's own prices if that gives none. The loop has no other end
-    than the gap or the lack of columns.
+    than the gap, after ``ROUNDS`` rounds, or the lack of columns.
     """
     m = len(lengths)
     cost = np.array([sequence_cost(c, capacity) for c in range(capacity + 1)], float)
@@ -118,7 +119,7 @@ def solve(lengths: np.ndarray, demand: np.ndarray, capacity: int, start: list[di
     wanted = demand * (1 + 1e-4 * rng.random(m)) + 1e-4 * rng.random(m)
     basis, basic = np.arange(m), costs[:m].copy()  # a negative number: the surplus of row -1 - n
     inverse, x, y = np.eye(m), wanted.copy(), costs[:m].copy()
-    bound, finished, steps = float(demand @ lengths), False, 0
+    bound, finished, steps, rounds = float(demand @ lengths), False, 0, 0
     while True:
         gains = rows @ y - costs
         column, surplus = int(gains.argmax()), int(y.argmin())
@@ -145,8 +146,9 @@ def solve(lengths: np.ndarray, demand: np.ndarray, capacity: int, start: list[di
                 x, y = inverse @ wanted, basic @ inverse
             continue
         value = float(basic @ np.maximum(x, 0))
-        if value - bound <= gap * bound:
+        if rounds >= ROUNDS and value - bound <= gap * bound:
             break
+        rounds += 1
         new: list[dict[int, int]] = []
         for weight in (STEADY, STEADY / 2, 0.0):
             prices = weight * lengths + (1 - weight) * np.maximum(y, 0)
