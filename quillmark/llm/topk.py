@@ -6,13 +6,16 @@ positive, from the bottom where it is negative. What was read gives every
 vector a lower and an upper bound; reading goes deeper until no outsider's
 upper bound reaches the k-th lower bound, and the rest are resolved exactly.
 Lists are read in stages and bounds kept for a block of queries at once, as
-matrix products. Queries and vectors meet block by block; the first queries of
+matrix products. Queries and vectors meet block by block, in cells of a grid
+over which both are dealt, so that none is sent whole to any machine and each
+cell gives only its k best; the first queries of
 a block go through all stages, the others only through those at which one of
 the first could stop, as bounds that never decide would only cost time.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -24,6 +27,8 @@ from quillmark.llm import _shared as S
 
 #: Vectors and queries in a block.
 BLOCK, QUERY_BLOCK = 4096, 512
+#: Most blocks of vectors, and of queries, that meet in one task; bounds its memory.
+SIDE = 16
 #: Shares of the lists read before the bounds are compared.
 STAGES = (1 / 64, 1 / 16, 1 / 4, 1 / 2, 1.0)
 #: Queries of a block that go through every stage.
@@ -112,6 +117,35 @@ def _blocks(rows: DataFrame, count: int) -> DataFrame:
     return rows.repartition(count).mapInArrow(run, "block int, dim int, ids binary, ints binary")
 
 
+def _grid(count: int, asking: int, cores: int) -> tuple[int, int]:
+    """Into how many stripes the blocks of vectors go, and into how many groups those of queries: each stripe meets each
+    group in a cell of at most SIDE x SIDE blocks, and there are cells enough for the cores."""
+    cells = min(count * asking, 3 * cores)
+    stripes = max(-(-count // SIDE), min(count, math.ceil(math.sqrt(cells * count / asking))))
+    return stripes, max(-(-asking // SIDE), min(asking, -(-cells // stripes)))
+
+
+def _arrays(batches: list[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Ids and vectors of one block after the other."""
+    for batch in batches:
+        for k in range(batch.num_rows):
+            ids = np.frombuffer(batch.column("ids")[k].as_py(), np.int64)
+            yield ids, np.frombuffer(batch.column("ints")[k].as_py(), np.int64).reshape(len(ids), -1).astype(float)
+
+
+def _cell(queries: np.ndarray, query_ids: np.ndarray, held: list[pa.RecordBatch], k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """query id, vector id and score of the k best in all blocks of a cell, at most k for each query id after each block."""
+    kept = tuple(np.zeros(0, np.int64) for _ in range(3))
+    for ids, vectors in _arrays(held):
+        more = best(queries, query_ids, vectors, ids, k)
+        asked, found, score = (np.concatenate([x, np.asarray(y, np.int64)]) for x, y in zip(kept, more, strict=True))
+        order = np.lexsort((found, -score, asked))
+        asked, found, score = asked[order], found[order], score[order]
+        place = np.arange(len(asked)) - np.searchsorted(asked, asked)
+        kept = tuple(x[place < k] for x in (asked, found, score))
+    return kept
+
+
 def integers(vectors: DataFrame, scale: int = 64) -> DataFrame:
     """vec_id and floor(scale * x) of every vector without null or non-finite components."""
     fine = F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf"))))
@@ -129,20 +163,20 @@ def top_k(queries: DataFrame, vectors: DataFrame, k: int) -> DataFrame:
     """
     vectors = S.materialize(vectors, "vectors")
     queries = S.materialize(queries.dropDuplicates(["vec_id", "ints"]), "queries")
-    count = max(1, -(-vectors.count() // BLOCK))
+    count, asking = max(1, -(-vectors.count() // BLOCK)), max(1, -(-queries.count() // QUERY_BLOCK))
+    stripes, groups = _grid(count, asking, vectors.sparkSession.sparkContext.defaultParallelism)
     held = S.materialize(_blocks(vectors, count), "blocks")
-    asked = S.materialize(_blocks(queries, max(1, -(-queries.count() // QUERY_BLOCK))), "asked")
-    asked = asked.select(F.col("dim"), F.col("ids").alias("q_ids"), F.col("ints").alias("q_ints"), F.explode(F.sequence(F.lit(0), F.lit(count - 1))).alias("block"))
+    asked = S.materialize(_blocks(queries, asking), "asked")
+    held = held.select("dim", (F.col("block") % stripes).alias("stripe"), F.explode(F.sequence(F.lit(0), F.lit(groups - 1))).alias("group"), "ids", "ints")
+    asked = asked.select("dim", F.explode(F.sequence(F.lit(0), F.lit(stripes - 1))).alias("stripe"), (F.col("block") % groups).alias("group"), "ids", "ints")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for row in batch.to_pylist():
-                d, ids, q_ids = row["dim"], np.frombuffer(row["ids"], np.int64), np.frombuffer(row["q_ids"], np.int64)
-                vectors, queries = (np.frombuffer(row[c], np.int64).reshape(-1, d).astype(float) for c in ("ints", "q_ints"))
-                a, b, c = best(queries, q_ids, vectors, ids, k)
-                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (a, b, c)], ["query_id", "vec_id", "score"])
+    def run(asked: pa.Table, held: pa.Table) -> pa.Table:
+        found = [_cell(queries, ids, held.to_batches(), k) for ids, queries in _arrays(asked.to_batches())]
+        columns = [np.concatenate([np.zeros(0, np.int64), *parts]) for parts in zip(*found, strict=True)] or [np.zeros(0, np.int64)] * 3
+        return pa.table(columns, ["query_id", "vec_id", "score"])
 
-    found = asked.join(held, ["block", "dim"]).mapInArrow(run, "query_id long, vec_id long, score long")
+    cell = ["dim", "stripe", "group"]
+    found = asked.groupBy(*cell).cogroup(held.groupBy(*cell)).applyInArrow(run, "query_id long, vec_id long, score long")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 

@@ -80,6 +80,27 @@ PAGE = """<!DOCTYPE html><html><head><title>T &amp; T</title><style>p{}</style><
 <form><label>Mail</label><input><button>Send</button></form><footer>&copy; 2020 Somebody</footer></body></html>"""
 
 
+def test_vectors_and_queries_meet_in_a_grid_without_broadcast(spark, monkeypatch):
+    monkeypatch.setattr(topk, "BLOCK", 16)
+    monkeypatch.setattr(topk, "QUERY_BLOCK", 4)
+    monkeypatch.setattr(topk, "SIDE", 3)
+    rng = np.random.default_rng(5)
+    values = rng.integers(-3, 4, (400, 6))
+    ids = np.arange(400) // 2 * 2  # each id twice, in blocks of their own
+    df = spark.createDataFrame([(int(i), [x / 64 for x in v.tolist()]) for i, v in zip(ids, values, strict=True)], "vec_id long, embedding array<double>")
+    ints = topk.integers(df)
+    found = topk.top_k(ints.where("vec_id % 20 = 0"), ints, 5)
+    assert "Broadcast" not in found._jdf.queryExecution().executedPlan().toString()
+    want = []
+    for q in range(0, 400, 20):
+        scores = [(-int(values[a] @ values[b]), int(ids[b])) for a in {tuple(values[x]): x for x in np.flatnonzero(ids == q)}.values() for b in range(400) if ids[b] != q]
+        want += [(q, r, v, -s) for r, (s, v) in enumerate(sorted(scores)[:5], 1)]
+    assert sorted(map(tuple, found.collect())) == want
+    for count, asking, cores in ((1, 1, 12), (147, 59, 12), (25, 10, 6), (10_000, 4_000, 48)):
+        stripes, groups = topk._grid(count, asking, cores)
+        assert -(-count // stripes) <= 3 and -(-asking // groups) <= 3 and stripes <= count and groups <= asking
+
+
 def test_blocks_of_a_page():
     found = [b.text for b in html.blocks(PAGE)]
     assert "First bold words here, and some more of them." in found and "Second paragraph goes on ä bit, with a link." in found
