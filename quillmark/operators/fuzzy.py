@@ -125,7 +125,7 @@ def search(lines: DataFrame, query: str, fuzziness: float, names: bool, cap: int
     @F.pandas_udf("double")
     def ratio(series: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for s in series:
-            distinct, where = np.unique(s.fillna("").to_numpy(object), return_inverse=True)
+            where, distinct = pd.factorize(s.fillna("").to_numpy(object))
             yield pd.Series(np.max([partial_ratios(v, distinct.tolist()) for v in variants], axis=0)[where])
 
     scored = rows.withColumn("score", ratio("form")).withColumn("sounds", F.lit(False))
@@ -140,8 +140,9 @@ def search(lines: DataFrame, query: str, fuzziness: float, names: bool, cap: int
         scored = scored.withColumn("sounds", every).withColumn(
             "score", F.when(every, F.greatest("score", F.lit(PHONETIC))).when(some, F.greatest("score", PARTIAL + PER_WORD * F.col("have") / len(wanted))).otherwise(F.col("score"))
         )
-    best = scored.groupBy("line_id").agg(F.max(F.struct("score", (-F.col("k")).alias("k"), "form", "sounds")).alias("b"))
-    kept = best.where(F.col("b.score") >= max(LEAST, 100.0 * fuzziness)).select(
+    least = max(LEAST, 100.0 * fuzziness)
+    best = scored.where(F.col("score") >= least).groupBy("line_id").agg(F.max(F.struct("score", (-F.col("k")).alias("k"), "form", "sounds")).alias("b"))
+    kept = best.select(
         "line_id", (F.col("b.score") / 100).alias("raw"), F.when(F.col("b.sounds"), SOUNDS).otherwise(SPELT).alias("reason"), F.col("b.form").alias("matched_form")
     )
     top = kept.orderBy(F.desc("raw"), "line_id").limit(cap)
