@@ -50,9 +50,8 @@ def normalize(x: Column) -> Column:
 
     Expects composed text (see ``compose``); other accents, ``_`` and ``-`` stay.
     """
-    x = _replaced(F.lower(_replaced(x, LIGATURES)), FOLDED)
-    x = F.regexp_replace(x, r"[^\p{L}\p{N}_\s\p{Z}\x1c-\x1f\x85-]", " ")
-    return F.trim(F.regexp_replace(x, BLANK + "+", " "))
+    spelt = F.when(F.octet_length(x) == F.length(x), F.lower(x)).otherwise(_replaced(F.lower(_replaced(x, LIGATURES)), FOLDED))  # ASCII has nothing to replace
+    return F.trim(F.regexp_replace(spelt, r"[^\p{L}\p{N}_-]+", " "))
 
 
 def words(x: Column) -> Column:

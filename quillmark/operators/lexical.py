@@ -43,42 +43,86 @@ def lengths(lines: DataFrame) -> DataFrame:
     return lines.select("line_id", (F.size(text.index_tokens(F.col("text"))) + F.size(text.index_tokens(F.col("normalized")))).alias("d"))
 
 
-def _matches(index: DataFrame, phrase: Phrase) -> DataFrame:
-    """line_id, col, base: every place where the phrase stands."""
-    parts = []
-    for k, token in enumerate(phrase.tokens):
-        last = phrase.prefix and k == len(phrase.tokens) - 1
-        held = F.col("token").startswith(token) if last else F.col("token") == token
-        parts.append(index.where(held).select("line_id", "col", (F.col("pos") - k).alias("base")))
-    return reduce(lambda a, b: a.join(b, ["line_id", "col", "base"]), parts)
-
-
-def bm25(index: DataFrame, sizes: DataFrame, phrases: list[Phrase], own: DataFrame | None = None) -> DataFrame:
+def _standing(index: DataFrame, phrases: list[Phrase]) -> DataFrame:
+    """line_id, col, phrase of every place where a phrase stands, from one pass over the postings."""
+    single, several = [], []
+    for k, phrase in enumerate(phrases):
+        for at, token in enumerate(phrase.tokens):
+            last = phrase.prefix and at == len(phrase.tokens) - 1
+            held = F.col("token").startswith(token) if last else F.col("token") == token
+            (single if len(phrase.tokens) == 1 else several).append(F.when(held, F.struct(F.lit(k).alias("phrase"), F.lit(at).alias("at"))))
+    found = index.select("line_id", "col", "pos", F.explode(F.filter(F.array(*single, *several), lambda x: x.isNotNull())).alias("x")).select("line_id", "col", "pos", "x.*")
+    if not several:
+        return found
+    size = F.element_at(F.array(*(F.lit(len(p.tokens)) for p in phrases)), F.col("phrase") + 1)
+    return found.groupBy("line_id", "col", "phrase", (F.col("pos") - F.col("at")).alias("base")).agg(F.count_distinct("at").alias("held")).where(F.col("held") == size)
+
+
+def bm25(index: DataFrame, sizes: DataFrame, phrases: list[Phrase]) -> DataFrame:
     """line_id and bm25, the smaller the better, of every line that holds a phrase.
 
     ``index`` is a postings table; stored sorted by token, the filters on token
-    reach its Parquet files. The collection's size and mean length are one row.
-    ``own``, if given, has the sizes of at least the lines that hold a phrase.
+    reach its Parquet files. Both tables are read once. ``sizes`` has line_id and d of all lines; if only
+    line_id, the same pass over all postings counts d, for postings that are not stored.
     """
-    hits = None
-    for k, phrase in enumerate(phrases):
-        one = _matches(index, phrase).withColumn("phrase", F.lit(k))
-        hits = one if hits is None else hits.unionByName(one)
     weight = F.when(F.col("col") == 0, TEXT_WEIGHT).otherwise(NORMALIZED_WEIGHT)
-    tf = hits.groupBy("line_id", "phrase").agg(F.sum(weight).alias("tf"))
-    whole = sizes.agg(F.count("*").alias("lines"), F.avg("d").alias("mean"))
-    per_phrase = tf.groupBy("phrase").agg(F.count("*").alias("holders")).crossJoin(F.broadcast(whole))  # a row for each phrase
-    idf = F.log((F.col("lines") - F.col("holders") + 0.5) / (F.col("holders") + 0.5))
-    per_phrase = per_phrase.select("phrase", "mean", F.when(idf > 0, idf).otherwise(1e-6).alias("idf"))
-    scored = tf.join(F.broadcast(per_phrase), "phrase").join(sizes if own is None else own, "line_id")
-    part = F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("d") / F.col("mean")))
-    return scored.groupBy("line_id").agg((-F.sum(part)).alias("bm25"))
+    none = F.lit(None).cast("int")
+    tfs = lambda found: [F.when(f, weight).alias(f"tf{k}") for k, f in enumerate(found)]
+    known = "d" in sizes.columns
+    rows = sizes.select("line_id", F.col("d").cast("int").alias("d") if known else F.lit(0).alias("d"), *(F.lit(None).cast("double").alias(f"tf{k}") for k in range(len(phrases))))
+    one = all(len(p.tokens) == 1 for p in phrases)
+    if not known:
+        here = [F.col("token").startswith(p.tokens[0]) if p.prefix else F.col("token") == p.tokens[0] for p in phrases] if one else [F.lit(False)] * len(phrases)
+        rows = rows.unionByName(index.select("line_id", F.lit(1).alias("d"), *tfs(here)))
+    if known or not one:
+        rows = rows.unionByName(_standing(index, phrases).select("line_id", none.alias("d"), *tfs([F.col("phrase") == k for k in range(len(phrases))])))
+    return _scored(rows, len(phrases))
+
+
+def _scored(rows: DataFrame, phrases: int) -> DataFrame:
+    """line_id and bm25 from rows of line_id, d and the weights tf0, tf1, … of the phrases, each maybe null.
+
+    The sums of each line serve the collection's figures and the scores alike, so they are exchanged
+    once and the exchange is used twice: all of their columns are asked for on both sides.
+    """
+    tfs = [f"tf{k}" for k in range(phrases)]
+    lines = rows.groupBy("line_id").agg(F.sum("d").alias("d"), *(F.sum(c).alias(c) for c in tfs))
+    whole = lines.agg(F.count("d").alias("lines"), F.avg("d").alias("mean"), *(F.count(c).alias(f"holders{k}") for k, c in enumerate(tfs)))  # one row
+    held = lines.where(F.col("d").isNotNull() & F.coalesce(*tfs).isNotNull()).crossJoin(F.broadcast(whole))
+
+    def part(k: int, c: str) -> Column:
+        idf = F.log((F.col("lines") - F.col(f"holders{k}") + 0.5) / (F.col(f"holders{k}") + 0.5))
+        idf = F.when(idf > 0, idf).otherwise(1e-6)
+        return F.coalesce(idf * F.col(c) * (K1 + 1) / (F.col(c) + K1 * (1 - B + B * F.col("d") / F.col("mean"))), F.lit(0.0))
+
+    return held.select("line_id", (-reduce(lambda x, y: x + y, (part(k, c) for k, c in enumerate(tfs)))).alias("bm25"))
+
+
+def _places(tokens: Column, phrase: Phrase) -> Column:
+    """At how many places of a token array the phrase stands."""
+    n = len(phrase.tokens)
+    same = lambda t, w, last: F.startswith(t, F.lit(w)) if phrase.prefix and last else t == w
+    if n == 1:
+        return F.size(F.filter(tokens, lambda t: same(t, phrase.tokens[0], True)))
+    ways = [F.slice(tokens, k + 1, F.greatest(F.lit(0), F.size(tokens) - n + 1)) for k in range(n)]
+    stands = lambda x: reduce(lambda a, b: a & b, (same(x[str(k)], w, k == n - 1) for k, w in enumerate(phrase.tokens)))
+    return F.size(F.filter(F.arrays_zip(*(w.alias(str(k)) for k, w in enumerate(ways))), stands))
+
+
+def tokens_of(lines: DataFrame, phrases: list[Phrase]) -> DataFrame:
+    """line_id, d and the weights tf0, tf1, … of the phrases in each line, null where it has none.
+
+    Places are counted only in columns that have a phrase's tokens somewhere in their characters.
+    """
+    cut = lines.select("line_id", *(f(F.col(c)).alias(f"{name}{c}") for c in ("text", "normalized") for name, f in (("t_", text.index_tokens), ("f_", text.folded))))
 
+    def count(c: str, phrase: Phrase) -> Column:
+        may = reduce(lambda x, y: x & y, (F.contains(F.col(f"f_{c}"), F.lit(w)) for w in phrase.tokens))
+        return F.when(may, _places(F.col(f"t_{c}"), phrase)).otherwise(0)
 
-def may_hold(lines: DataFrame, phrases: list[Phrase]) -> DataFrame:
-    """The lines that have all tokens of some phrase somewhere in their characters, and maybe as words."""
-    has = lambda w: F.contains(text.folded(F.col("text")), F.lit(w)) | F.contains(text.folded(F.col("normalized")), F.lit(w))
-    return lines.where(reduce(lambda x, y: x | y, (reduce(lambda x, y: x & y, map(has, p.tokens)) for p in phrases)))
+    tf = lambda p: TEXT_WEIGHT * count("text", p) + NORMALIZED_WEIGHT * count("normalized", p)
+    rows = cut.select("line_id", (F.size("t_text") + F.size("t_normalized")).alias("d"), *(tf(p).alias(f"tf{k}") for k, p in enumerate(phrases)))
+    return rows.select("line_id", "d", *(F.when(F.col(f"tf{k}") > 0, F.col(f"tf{k}")).alias(f"tf{k}") for k in range(len(phrases))))
 
 
 def search(index: DataFrame, sizes: DataFrame, query: str, exact: bool, cap: int) -> DataFrame | None:
@@ -88,12 +132,9 @@ def search(index: DataFrame, sizes: DataFrame, query: str, exact: bool, cap: int
 
 
 def search_lines(lines: DataFrame, query: str, exact: bool, cap: int) -> DataFrame | None:
-    """The same without an index: only lines that may match are cut into postings."""
+    """The same without an index: each line is cut into tokens once, and no postings are made."""
     phrases = parse(query, exact)
-    if not phrases:
-        return None
-    some = may_hold(lines, phrases)
-    return _best(bm25(postings(some), lengths(lines), phrases, lengths(some)), cap)
+    return _best(_scored(tokens_of(lines, phrases), len(phrases)), cap) if phrases else None
 
 
 def _best(scored: DataFrame, cap: int) -> DataFrame:

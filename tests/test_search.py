@@ -166,3 +166,36 @@ def test_semantic_search_and_missing(spark):
 
     found = {r.line_id: list(r.embedding) for r in semantic.encode(lines, Length, "r2").collect()}
     assert all(abs(sum(x * x for x in v) - 1) < 1e-6 for v in found.values()) and len(found) == 4
+
+
+def test_searches_read_the_lines_once(spark):
+    """One plan node cuts all lines into tokens; the collection's figures and the scores share its exchange."""
+    words = "the heed of thon erly theme".split()
+    rng = random.Random(4)
+    rows = [(f"l{k:03}", " ".join(rng.choices(words, k=rng.randint(0, 9)))) for k in range(300)] + [("many", "of the " * 4000)]
+    lines = spark.createDataFrame(rows, "line_id string, text string").withColumn("normalized", text.normalize(F.col("text")))
+    index = lexical.postings(lines)
+    for query, exact in (("of the", True), ("heed", False), ("thon erly the", False), ("thon-erly", False)):
+        found = lexical.search_lines(lines, query, exact, 50)
+        same = [tuple(r) for r in found.orderBy("rank").collect()]
+        assert same == [tuple(r) for r in lexical.search(index, lexical.lengths(lines), query, exact, 50).orderBy("rank").collect()]
+        assert same == [tuple(r) for r in lexical.search(index, lines.select("line_id"), query, exact, 50).orderBy("rank").collect()]
+        plan = found._jdf.queryExecution().executedPlan().toString()
+        assert "Generate" not in plan and "SortMergeJoin" not in plan and "BroadcastHashJoin" not in plan
+        phrases = lexical.parse(query, exact)
+        hits = lambda t, p: sum(all(x.startswith(w) if p.prefix and j == len(p.tokens) - 1 else x == w for j, (x, w) in enumerate(zip(t[i:], p.tokens, strict=False))) for i in range(len(t) - len(p.tokens) + 1))  # noqa: B023, E731
+        tf = {k: [1.5 * hits(t.split(), p) for p in phrases] for k, t in rows}
+        sizes = {k: 2 * len(t.split()) for k, t in rows}
+        mean, n = sum(sizes.values()) / len(rows), len(rows)
+        held = [sum(v[k] > 0 for v in tf.values()) for k in range(len(phrases))]
+        idf = [max(math.log((n - h + 0.5) / (h + 0.5)), 0) or 1e-6 for h in held]
+        want = {k: -sum(i * x * 2.2 / (x + 1.2 * (0.25 + 0.75 * sizes[k] / mean)) for i, x in zip(idf, v, strict=True)) for k, v in tf.items() if any(v)}
+        assert [r[0] for r in same] == sorted(want, key=lambda k: (round(want[k], 12), k))[:50] and [r[1] for r in same] == pytest.approx([want[r[0]] for r in same])
+
+
+def test_fuzzy_search_exchanges_only_lines_that_reach_the_score(spark):
+    lines = spark.createDataFrame([("a", "thonerly heed", 0.5), ("b", "nothing alike", 0.5), ("c", None, 0.5)], "line_id string, normalized string, confidence double")
+    found = fuzzy.search(lines, "thonerly heed", 0.6, False, 10)
+    assert [r.line_id for r in found.collect()] == ["a"]
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "60.0" in plan[plan.index("Aggregate"):]  # the filter stands below the grouping
