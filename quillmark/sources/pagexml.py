@@ -4,9 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from quillmark.llm import _shared as S
+
 SCHEMA = "line_index int, text string, confidence double, x1 int, y1 int, x2 int, y2 int"
 
 
@@ -28,13 +31,19 @@ def lines_of(xml: str) -> list[tuple]:
 
 
 def parse(pages: DataFrame, keys: list[str]) -> DataFrame:
-    """``keys`` and the lines of each page of ``pages`` (keys, xml)."""
-    names = [c.split()[0] for c in SCHEMA.split(", ")]
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for rows in batches:
-            found = [(*(getattr(r, k) for k in keys), *line) for r in rows.itertuples() for line in lines_of(r.xml)]
-            yield pd.DataFrame(found, columns=[*keys, *names])
+    """``keys`` and the lines of each page of ``pages`` (keys, xml). Files are read a few at a time, so memory is bounded by the largest."""
+    S.small_batches(pages.sparkSession)
+    kinds = [pa.int32(), pa.string(), pa.float64(), *[pa.int32()] * 4]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in S.slices(batch, "xml"):
+                found = [lines_of(xml) for xml in part.column("xml").to_pylist()]
+                page = pa.array(np.repeat(np.arange(part.num_rows), [len(x) for x in found]))
+                columns = list(zip(*(line for lines in found for line in lines), strict=True)) or [[]] * len(kinds)
+                own = [part.column(k).take(page) for k in keys]
+                yield pa.RecordBatch.from_arrays([*own, *(pa.array(c, t) for c, t in zip(columns, kinds, strict=True))], [*keys, *names])
 
+    names = [c.split()[0] for c in SCHEMA.split(", ")]
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in pages.select(*keys).schema.fields)
-    return pages.select(*keys, "xml").mapInPandas(run, f"{schema}, {SCHEMA}")
+    return pages.select(*keys, "xml").mapInArrow(run, f"{schema}, {SCHEMA}")
