@@ -6,10 +6,16 @@ a page's size is bounded by its paper.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from quillmark.llm import _shared as S
 
 SCHEMA = (
     "page string, text string, model string, confidence double, x1 int, y1 int, x2 int, y2 int, "
@@ -20,6 +26,7 @@ ENGINES, BY_LINE = ("tesseract:", "tesseract-line:"), "tesseract-line:"
 USEFUL = frozenset("äöüÄÖÜß.,;:!?-–—()[]'\"/")
 
 
+@lru_cache(4096)  # the same few texts are weighed again and again
 def language_quality(text: str) -> float:
     if not text.strip():
         return 0.0
@@ -52,8 +59,13 @@ class Line:
 
 
 def _nearest(lines: list[Line], other: Line) -> Line | None:
-    near = [(abs(x.middle - other.middle), k) for k, x in enumerate(lines) if abs(x.middle - other.middle) <= max(x.height, other.height)]
-    return lines[min(near)[1]] if near else None
+    middle, height, found, least = other.middle, other.height, None, 0.0
+    for x in lines:
+        _, top, _, bottom = x.box
+        away = abs((top + bottom) / 2 - middle)
+        if away <= max(bottom - top, height) and (found is None or away < least):
+            found, least = x, away
+    return found
 
 
 def _better(now: Line, other: Line, engine: str) -> bool:
@@ -85,23 +97,53 @@ def merged(best: list[Line], model: str, others: list[tuple[str, list[Line]]]) -
     return best, model if len(used) == 1 else "ensemble:" + "+".join(sorted(used))
 
 
+READING = ("rank", "candidate", "line_order", "text", "model", "confidence", "x1", "y1", "x2", "y2")
+
+
 def merge(lines: DataFrame) -> DataFrame:
     """One merged set of lines for each page.
 
     ``lines`` has page, rank (of the candidate, 0 the best), candidate (its model), line_order, text,
-    model, confidence, x1, y1, x2, y2.
+    model, confidence, x1, y1, x2, y2. Pages that come whole, as rows of page and readings (an array of
+    structs of the others), are not exchanged.
     """
-
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["rank", "line_order"], kind="stable")
-        candidates = []
-        for _, part in rows.groupby("rank", sort=True):
-            found = [Line(r.text, r.model, float(r.confidence), (int(r.x1), int(r.y1), int(r.x2), int(r.y2)), []) for r in part.itertuples()]
-            candidates.append((part["candidate"].iloc[0], found))
-        (model, best), *others = candidates
-        out, name = merged(best, model, others)
-        page = rows["page"].iloc[0]
-        columns = [c.split(" ")[0] for c in SCHEMA.replace("struct<text:string,model:string,confidence:double>", "").split(", ")]
-        return pd.DataFrame([(page, x.text, x.model, x.confidence, *x.box, x.alternatives, name, k) for k, x in enumerate(out)], columns=columns)
-
-    return lines.groupBy("page").applyInPandas(run, SCHEMA)
+    S.small_batches(lines.sparkSession)
+    if "readings" in lines.columns:
+        pages = lines.select("page", "readings")
+    else:
+        pages = lines.groupBy("page").agg(F.collect_list(F.struct(*READING)).alias("readings"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for at in range(0, whole.num_rows, PAGES):
+                yield from _merged_pages(whole.slice(at, PAGES))
+
+    return pages.mapInArrow(run, SCHEMA)
+
+
+#: Pages handled at once; bounds memory.
+PAGES = 100
+
+
+def _merged_pages(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    readings = batch.column("readings")
+    ends = np.cumsum(readings.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)).tolist()
+    flat = readings.flatten()
+    rank, candidate, place, text, model, confidence, *box = (flat.field(c).to_pylist() for c in READING)
+    rows, start = [], 0
+    for page, end in zip(batch.column("page").to_pylist(), ends, strict=True):
+        candidates: dict[int, tuple[str, list[Line]]] = {}
+        for k in sorted(range(start, end), key=lambda k: (rank[k], place[k])):
+            line = Line(text[k], model[k], float(confidence[k]), tuple(int(c[k]) for c in box), [])
+            candidates.setdefault(rank[k], (candidate[k], []))[1].append(line)
+        start = end
+        if candidates:
+            (best_model, best), *others = candidates.values()
+            out, name = merged(best, best_model, others)
+            rows += [(page, x.text, x.model, x.confidence, *x.box, x.alternatives, name, k) for k, x in enumerate(out)]
+    if rows:
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), _TYPES, strict=True)], _NAMES)
+
+
+_NAMES = ["page", "text", "model", "confidence", "x1", "y1", "x2", "y2", "alternatives", "page_model", "line_order"]
+_TYPES = [pa.string(), pa.string(), pa.string(), pa.float64(), *[pa.int32()] * 4, pa.list_(pa.struct([("text", pa.string()), ("model", pa.string()), ("confidence", pa.float64())])), pa.string(), pa.int32()]
