@@ -77,6 +77,21 @@ def language_quality(x: Column) -> Column:
     return F.when(F.trim(F.regexp_replace(x, BLANK, " ")) == "", 0.0).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(1.0), score)))
 
 
+def quality_counts(x: Column) -> list[Column]:
+    """Of one line: useful characters, runs of four equal ones other than line feeds, and whether it is blank."""
+    useful = F.length(F.regexp_replace(x, r"[^\p{L}\p{N}.,;:!?–—()\[\]'\"/-]+", ""))
+    repeated = F.size(F.regexp_extract_all(x, F.lit(r"([^\n])\1{3}"), F.lit(0)))
+    blank = F.trim(F.regexp_replace(x, BLANK + "+", " ")) == ""
+    return [useful.alias("useful"), repeated.alias("repeated"), blank.alias("blank")]
+
+
+def quality_of_lines(joined: Column, useful: Column, repeated: Column, blank: Column) -> Column:
+    """``language_quality`` of lines joined by line feeds, from the sums of their counts. Only runs of line feeds go over a line's end."""
+    feeds = (F.length(joined) - F.length(F.replace(joined, F.lit("\n\n\n\n"), F.lit("")))) / 4
+    score = useful / F.greatest(F.lit(1), F.length(joined)) - F.lit(0.03) * (repeated + feeds)
+    return F.when(blank, 0.0).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(1.0), score)))
+
+
 def slug(x: Column) -> Column:
     """File-name form: other signs than letters, digits, ``_``, ``.``, ``-`` become one ``-``."""
     found = F.regexp_replace(F.regexp_replace(x, r"[^\p{L}\p{N}_.-]+", "-"), r"^[-.]+|[-.]+$", "")

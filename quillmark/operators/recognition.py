@@ -45,18 +45,40 @@ def wide_enough(box: Column, width: Column) -> Column:
     return (box["x2"] - box["x1"] >= F.greatest(F.lit(20), F.floor(width / 100))) & (box["y2"] - box["y1"] >= 8)
 
 
+def said(words: Column) -> Column:
+    """Those of an array of words (structs word, text, …) that are not blank, by their numbers."""
+    return F.sort_array(F.filter(words, lambda w: F.trim(w["text"]) != ""))
+
+
+def sureness(words: Column) -> Column:
+    """Mean confidence of an array of words: of those not negative, of 100, or 0."""
+    sure = F.filter(words, lambda w: w["confidence"] >= 0)
+    total = F.aggregate(sure, F.lit(0.0), lambda s, w: s + w["confidence"])
+    return F.when(F.size(sure) > 0, clamp(total / F.greatest(F.lit(1), F.size(sure)) / 100, 0.0, 1.0)).otherwise(0.0)
+
+
 def lines_of_words(words: DataFrame, keys: list[str]) -> DataFrame:
     """Words (keys, block, par, line, word, text, confidence, x1, y1, x2, y2) as lines in reading order.
 
     Blank words are left out; confidence is the mean of those not negative, of 100, or 0.
+    Words that a reader gives line by line, as rows (keys, block, par, line, words: array of structs
+    word, text, confidence, x1, y1, x2, y2), are not exchanged; only their lines are.
     """
-    kept = words.where(F.trim("text") != "")
-    joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("word", "text"))), lambda w: w["text"]), " ")
-    mean = F.avg(F.when(F.col("confidence") >= 0, F.col("confidence"))) / 100
-    out = kept.groupBy(*keys, "block", "par", "line").agg(
-        joined.alias("text"), clamp(F.coalesce(mean, F.lit(0.0)), 0.0, 1.0).alias("confidence"),
-        F.min("x1").alias("x1"), F.min("y1").alias("y1"), F.max("x2").alias("x2"), F.max("y2").alias("y2"),
-    )
+    if "words" in words.columns:
+        kept = words.withColumn("words", said(F.col("words"))).where(F.size("words") > 0)
+        edge = lambda f, c: f(F.transform("words", lambda w: w[c])).alias(c)
+        out = kept.select(
+            *keys, "block", "par", "line", F.array_join(F.transform("words", lambda w: w["text"]), " ").alias("text"), sureness(F.col("words")).alias("confidence"),
+            edge(F.array_min, "x1"), edge(F.array_min, "y1"), edge(F.array_max, "x2"), edge(F.array_max, "y2"),
+        )
+    else:
+        kept = words.where(F.trim("text") != "")
+        joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("word", "text"))), lambda w: w["text"]), " ")
+        mean = F.avg(F.when(F.col("confidence") >= 0, F.col("confidence"))) / 100
+        out = kept.groupBy(*keys, "block", "par", "line").agg(
+            joined.alias("text"), clamp(F.coalesce(mean, F.lit(0.0)), 0.0, 1.0).alias("confidence"),
+            F.min("x1").alias("x1"), F.min("y1").alias("y1"), F.max("x2").alias("x2"), F.max("y2").alias("y2"),
+        )
     order = F.row_number().over(Window.partitionBy(*keys).orderBy("y1", "x1", "block", "par", "line")) - 1
     return out.withColumn("line_order", order)
 
@@ -95,12 +117,24 @@ def model_keys(year: Column, hint: Column) -> Column:
 def coverage(rows: DataFrame, keys: list[str]) -> DataFrame:
     """Adds up the lines (text, y1, y2) of each candidate: text, mean confidence, coverage of the page.
 
-    ``rows`` carries page_height and line_order besides the keys and confidence.
+    ``rows`` carries page_height and line_order besides the keys and confidence. Candidates that come
+    whole, as rows (keys, page_height, lines: array of structs line_order, text, confidence, y1, y2 and
+    the counts of ``text.quality_counts``), are not exchanged, and get their language too.
     """
-    joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line_order", "text"))), lambda x: x["text"]), "\n")
-    one = rows.groupBy(*keys, "page_height").agg(
-        joined.alias("text"), F.count("*").alias("lines"), F.avg("confidence").alias("confidence"), F.min("y1").alias("top"), F.max("y2").alias("bottom")
-    )
+    if "lines" in rows.columns:
+        kept = rows.where(F.size("lines") > 0).withColumn("text", F.array_join(F.transform(F.sort_array("lines"), lambda x: x["text"]), "\n"))
+        total = lambda c, zero: F.aggregate(F.transform("lines", lambda x: x[c]), F.lit(zero), lambda s, x: s + F.coalesce(x, F.lit(zero)))
+        rated = F.size(F.filter("lines", lambda x: x["confidence"].isNotNull()))
+        one = kept.select(
+            *keys, "page_height", "text", F.size("lines").alias("lines"), F.when(rated > 0, total("confidence", 0.0) / F.greatest(F.lit(1), rated)).alias("confidence"),
+            F.array_min(F.transform("lines", lambda x: x["y1"])).alias("top"), F.array_max(F.transform("lines", lambda x: x["y2"])).alias("bottom"),
+            text.quality_of_lines(F.col("text"), total("useful", 0), total("repeated", 0), F.forall("lines", lambda x: F.coalesce(x["blank"], F.lit(True)))).alias("language"),
+        )
+    else:
+        joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line_order", "text"))), lambda x: x["text"]), "\n")
+        one = rows.groupBy(*keys, "page_height").agg(
+            joined.alias("text"), F.count("*").alias("lines"), F.avg("confidence").alias("confidence"), F.min("y1").alias("top"), F.max("y2").alias("bottom")
+        )
     h = F.col("page_height")
     length = F.least(F.length("text") / F.greatest(F.lit(120.0), h / 8), F.lit(1.0))
     count = F.least(F.col("lines") / F.greatest(F.lit(8.0), h / 145), F.lit(1.0))
@@ -109,8 +143,8 @@ def coverage(rows: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def scores(candidates: DataFrame) -> DataFrame:
-    """Adds language, score and expected_cer to rows of ``coverage`` with a ``model`` column."""
-    c = candidates.withColumn("language", text.language_quality(F.col("text")))
+    """Adds language (unless there), score and expected_cer to rows of ``coverage`` with a ``model`` column."""
+    c = candidates if "language" in candidates.columns else candidates.withColumn("language", text.language_quality(F.col("text")))
     score = 0.45 * F.col("confidence") + 0.15 * F.col("language") + 0.40 * F.col("coverage")
     cer = clamp(1 - (0.55 * F.col("confidence") + 0.15 * F.col("language") + 0.30 * F.col("coverage")), 0.01, 0.99)
     return c.withColumn("score", score).withColumn("expected_cer", F.when(F.col("model").startswith("trocr-"), F.greatest(cer, F.lit(0.12))).otherwise(cer))

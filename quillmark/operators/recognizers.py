@@ -44,7 +44,13 @@ def segment_lines(words: DataFrame, keys: list[str]) -> DataFrame:
 
     Blank words are left out, a segment without others gives no line. Confidence
     is the mean of those not negative, of 100, or 0. ``segment`` keeps its number.
+    Words that come segment by segment, as rows (keys, segment, words: array of structs word, text,
+    confidence, bbox), are not exchanged.
     """
+    if "words" in words.columns:
+        trimmed = F.transform(recognition.said(F.col("words")), lambda w: F.trim(w["text"]))
+        lines = words.select(*keys, "segment", F.array_join(trimmed, " ").alias("text"), recognition.sureness(F.col("words")).alias("confidence"), F.try_element_at("words", F.lit(1))["bbox"].alias("bbox"))
+        return lines.where("text <> ''")
     said = F.trim("text")
     ordered = F.array_sort(F.collect_list(F.when(said != "", F.struct("word", said.alias("text")))))
     mean = F.avg(F.when(F.col("confidence") >= 0, F.col("confidence"))) / 100

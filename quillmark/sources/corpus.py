@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillmark.functions import text
@@ -31,12 +31,26 @@ def archive_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.format_string("%d-%04d-%04d", "doc_id", page, order).alias("line_id"),
         F.col("doc_id").cast("string").alias("document_id"),
         page.alias("page_index"), order.alias("line_order"), "text",
-        ((30 + (F.col("doc_id") * 31 + F.col("n") * 17) % 70) / 100.0).alias("confidence"),
+        confidence(F.col("doc_id"), F.col("n")).alias("confidence"),
         F.struct(F.lit(10).alias("x1"), top.alias("y1"), (10 + 8 * F.least(F.length("text"), F.lit(120))).alias("x2"), (top + 40).alias("y2")).alias("bbox"),
         "doc_id", "n",
     )
 
 
+def archive_pages(spark: SparkSession, sf_dir: str, line) -> DataFrame:
+    """document_id, page_index, doc_id, lines: the pages whole, ``line(text, n, doc_id)`` giving the structs of their lines."""
+    docs = table(spark, sf_dir, "documents")
+    lines = docs.select("doc_id", F.transform(F.split("text", "\n", -1), lambda t, n: line(t, n, F.col("doc_id"))).alias("lines"))
+    last = F.floor((F.size("lines") - 1) / LINES).cast("int")
+    pages = F.transform(F.sequence(F.lit(0), last), lambda p: F.slice("lines", p * LINES + 1, F.lit(LINES)))
+    one = lines.where("lines is not null").select("doc_id", F.posexplode(pages).alias("page_index", "lines"))
+    return one.select(F.col("doc_id").cast("string").alias("document_id"), "page_index", "doc_id", "lines")
+
+
+def confidence(doc_id: Column, n: Column) -> Column:
+    return (30 + (doc_id * 31 + n * 17) % 70) / 100.0
+
+
 def indexed_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines with their search form."""
     return archive_lines(spark, sf_dir).withColumn("normalized", text.normalize(F.col("text")))

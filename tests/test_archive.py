@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from quillmark import cli
 from quillmark.functions import text
-from quillmark.operators import commits, export, imaging, merge, recognition, rules, store
+from quillmark.operators import commits, export, imaging, merge, recognition, recognizers, rules, store
 from quillmark.sources import authority, discovery, pagexml
 from quillmark.streaming import index
 
@@ -223,3 +223,61 @@ def test_command_line(spark, tmp_path, capsys):
     spark.createDataFrame([("d1", "Buch", 1872)], "document_id string, title string, year int").write.parquet(f"{tmp_path}/documents.parquet")
     cli.main(["search", str(tmp_path), "Schmitt", "--mode", "namen", "--fuzziness", "0.6"], spark)
     assert "Buch\t1\t" in capsys.readouterr().out
+
+
+def exchanges(df):
+    return df._jdf.queryExecution().executedPlan().toString().count("Exchange")
+
+
+def same(a, b):
+    rows = lambda df: sorted(([round(x, 9) if isinstance(x, float) else x for x in r] for r in df.select(*a.columns).collect()), key=str)
+    return rows(a) == rows(b)
+
+
+def test_words_that_come_by_lines_are_grouped_without_an_exchange(spark):
+    rng = np.random.default_rng(3)
+    rows = [("d", int(p), 0, 0, int(n), int(w), str(rng.choice([" ", "", "a ", "Wort", " b"])), float(rng.integers(-10, 100)), int(10 * w), int(60 * n + w % 3), int(10 * w + 9), int(60 * n + 40)) for p in range(4) for n in range(5) for w in rng.permutation(rng.integers(0, 6))]
+    rows += [("d", 9, 0, 0, 0, 0, "x", -1.0, 1, 1, 2, 2), ("d", 9, 0, 0, 1, 0, " ", 5.0, 1, 1, 2, 2)]
+    flat = spark.createDataFrame(rows, "document_id string, page_index int, block int, par int, line int, word int, text string, confidence double, x1 int, y1 int, x2 int, y2 int")
+    keys, word = ["document_id", "page_index"], F.struct("word", "text", "confidence", "x1", "y1", "x2", "y2")
+    whole = spark.createDataFrame(flat.groupBy(*keys, "block", "par", "line").agg(F.collect_list(word).alias("words")).collect(), flat.select(*keys, "block", "par", "line", F.array(word).alias("words")).schema)
+    assert same(recognition.lines_of_words(flat, keys), recognition.lines_of_words(whole, keys)) and exchanges(recognition.lines_of_words(whole, keys)) == 1
+    boxed = flat.withColumnRenamed("line", "segment").withColumn("bbox", F.lit(1))
+    nested = whole.withColumnRenamed("line", "segment").withColumn("words", F.transform("words", lambda w: w.withField("bbox", F.lit(1))))
+    assert same(recognizers.segment_lines(boxed, keys), recognizers.segment_lines(nested, keys)) and exchanges(recognizers.segment_lines(nested, keys)) == 0
+
+
+def test_candidates_that_come_whole_are_rated_without_an_exchange(spark):
+    said = ["Johann Schmidt", "", "", "", "", "aaaaaaaa####", " ", "Ä é ß!", "....", None, "x"]
+    rows = [("p", k, n, said[(n * k + n) % len(said)], n / 50, 60 * n, 60 * n + 40) for k in range(6) for n in range(3 * k + 1)] + [("q", 0, n, t, 0.5, 0, 10) for n, t in enumerate(["", " ", "", "", ""])]
+    flat = spark.createDataFrame(rows, "page string, position int, line_order int, text string, confidence double, y1 int, y2 int").select("*", F.lit("trocr-x").alias("model"), F.lit(2440).alias("page_height"))
+    keys = ["page", "position", "model"]
+    counted = flat.withColumns(dict(zip(("useful", "repeated", "blank"), text.quality_counts(F.col("text")), strict=True)))
+    line = F.struct("line_order", "text", "confidence", "y1", "y2", "useful", "repeated", "blank")
+    whole = counted.groupBy(*keys, "page_height").agg(F.collect_list(line).alias("lines"))
+    whole = spark.createDataFrame(whole.collect(), whole.schema)
+    a, b = (recognition.scores(recognition.coverage(x, keys)) for x in (flat, whole))
+    assert same(a, b) and exchanges(b) == 0
+
+
+def test_pages_that_come_whole_are_merged_without_an_exchange(spark):
+    rows = [(f"p{p}", k, f"tesseract:{k}", n, f"Zeile {n * (k + p) % 4} aus Sorau", "m", 0.3 + 0.1 * k, 0, 60 * n + k, 100, 60 * n + 30) for p in range(250) for k in range(3) for n in range(3)]
+    flat = spark.createDataFrame(rows, "page string, rank int, candidate string, line_order int, text string, model string, confidence double, x1 int, y1 int, x2 int, y2 int")
+    whole = flat.groupBy("page").agg(F.collect_list(F.struct(*merge.READING)).alias("readings"))
+    whole = spark.createDataFrame(whole.collect(), whole.schema)
+    found = merge.merge(whole)
+    assert same(merge.merge(flat), found) and exchanges(found) == 0 and found.count() == 750
+    want, name = merge.merged([merge.Line(r[4], r[5], r[6], r[7:], []) for r in rows[:3]], "tesseract:0", [(f"tesseract:{k}", [merge.Line(r[4], r[5], r[6], r[7:], []) for r in rows[3 * k : 3 * k + 3]]) for k in (1, 2)])
+    assert [(r.text, r.page_model, len(r.alternatives)) for r in found.where("page = 'p0'").orderBy("line_order").collect()] == [(x.text, name, len(x.alternatives)) for x in want]
+
+
+def test_page_xml_is_read_a_few_files_at_a_time(spark):
+    """A batch of large files is never held as lines whole."""
+    xml = "<PcGts>" + "".join(f'<TextLine conf="0.5"><Coords points="1,2 3,4"/><Unicode>{"x" * 5000}</Unicode></TextLine>' for _ in range(30)) + "</PcGts>"
+    pages = spark.createDataFrame([(i, xml if i % 2 else "<PcGts/>") for i in range(40)], "i int, xml string").coalesce(1)
+    batch = next(iter(pages.toArrow().to_batches()))
+    sizes = [p.num_rows for p in pagexml.S.slices(batch, "xml")]
+    assert len(sizes) > 5 and sum(sizes) == batch.num_rows and pagexml.lines_of(xml)[0][1] == "x" * 5000
+    found = pagexml.parse(pages, ["i"])
+    assert {r.i: r.n for r in found.groupBy("i").agg(F.count("*").alias("n")).collect()} == {i: 30 for i in range(1, 40, 2)}
+    assert spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "1000"
