@@ -38,6 +38,40 @@ def postings(lines: DataFrame) -> DataFrame:
     return one.select("line_id", F.col("c.col").alias("col"), F.posexplode("c.tokens").alias("pos", "token")).select("token", "line_id", "col", "pos")
 
 
+def marked_postings(lines: DataFrame) -> DataFrame:
+    """The postings with first: whether it is the token's first one in its line, by col and pos.
+
+    Marked within each line's arrays, so that lines can be counted by token without bringing each token's lines together.
+    """
+    tokens = lambda c: F.coalesce(text.index_tokens(F.col(c)), F.array().cast("array<string>"))
+    cut = lines.select("line_id", tokens("text").alias("t0"), tokens("normalized").alias("t1"))
+
+    def places(col: int) -> Column:
+        n = F.size(f"t{col}")
+        return F.arrays_zip(F.col(f"t{col}").alias("token"), F.array_repeat(F.lit(col), n).alias("col"), F.slice(F.sequence(F.lit(0), n), F.lit(1), n).alias("pos"))
+
+    ordered = cut.select("line_id", F.sort_array(F.concat(places(0), places(1))).alias("p"))
+    before = F.concat(F.array(F.lit(None).cast("string")), F.slice("p.token", F.lit(1), F.greatest(F.size("p") - 1, F.lit(0))))
+    each = ordered.select("line_id", F.explode(F.slice(F.arrays_zip(F.col("p").alias("p"), before.alias("before")), F.lit(1), F.size("p"))).alias("x"))
+    return each.select("x.p.token", "line_id", "x.p.col", "x.p.pos", (~F.equal_null("x.p.token", "x.before")).alias("first"))
+
+
+def frequencies(marked: DataFrame, arrivals: DataFrame) -> DataFrame:
+    """token, lines (line_ids that hold it) and n (postings) of marked postings.
+
+    ``arrivals`` has a line_id for each time a line came. What first marks is summed; only for lines that came
+    several times, which it marks each time, are the tokens' lines told apart. Looks for such lines at once.
+    """
+    held = F.coalesce("first", F.raise_error(F.lit("postings without marks: index the lines anew")))
+    sums = marked.groupBy("token").agg(F.count_if(held & F.col("line_id").isNotNull()).alias("lines"), F.count("*").alias("n"))
+    again = arrivals.groupBy("line_id").agg(F.count("*").alias("k")).where("k > 1 and line_id is not null").select("line_id")
+    if again.isEmpty():
+        return sums
+    pairs = marked.where("first").join(again, "line_id", "left_semi").groupBy("token", "line_id").agg((F.count("*") - 1).alias("more"))
+    more = pairs.where("more > 0").groupBy("token").agg(F.sum("more").alias("more"))
+    return sums.join(more, "token", "left").select("token", (F.col("lines") - F.coalesce("more", F.lit(0))).alias("lines"), "n")
+
+
 def lengths(lines: DataFrame) -> DataFrame:
     """line_id and d, its tokens in both columns."""
     return lines.select("line_id", (F.size(text.index_tokens(F.col("text"))) + F.size(text.index_tokens(F.col("normalized")))).alias("d"))

@@ -51,8 +51,7 @@ def token_stats(spark, sf_dir) -> DataFrame:
 @query(f"""SELECT token, count(DISTINCT line_id) AS lines, count(*) AS n FROM (
     SELECT line_id, unnest({text.index_tokens_sql('text')} || {text.index_tokens_sql('normalized')}) AS token FROM ({NORMALIZED})) GROUP BY token""")
 def token_doc_freq(spark, sf_dir) -> DataFrame:
-    one = lexical.postings(corpus.indexed_lines(spark, sf_dir)).groupBy("token", "line_id").agg(F.count("*").alias("k"))
-    return one.groupBy("token").agg(F.count("*").alias("lines"), F.sum("k").alias("n"))
+    return lexical.frequencies(lexical.marked_postings(corpus.indexed_lines(spark, sf_dir)), corpus.archive_lines(spark, sf_dir).select("line_id"))
 
 
 WORDS_SQL = r"SELECT DISTINCT unnest(regexp_extract_all(text, '[\p{L}\p{N}_-]+')) AS word FROM documents"

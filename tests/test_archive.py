@@ -3,6 +3,7 @@
 import csv
 import io
 import json
+import re
 import struct
 import zipfile
 import zlib
@@ -13,7 +14,8 @@ from pyspark.sql import functions as F
 
 from quillmark import cli
 from quillmark.functions import text
-from quillmark.operators import commits, export, imaging, merge, recognition, recognizers, rules, store
+from quillmark.operators import commits, export, imaging, lexical, merge, recognition, recognizers, rules, store
+from quillmark.plans import catalog
 from quillmark.sources import authority, discovery, pagexml
 from quillmark.streaming import index
 
@@ -217,6 +219,27 @@ def test_incremental_index(spark, tmp_path):
     assert counts == {"haus": 2, "am": 1, "see": 1}
 
 
+def test_lines_are_counted_by_token_without_bringing_them_together(spark, tmp_path):
+    """Memory of a task follows its tokens, not the lines of each; lines that came several times count once."""
+    spark.createDataFrame([(k, f"Haus am See {k}\nHaus, haus\n\n") for k in range(40)], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    for name in ("stream_incremental_index", "token_doc_freq"):
+        found = catalog.QUERIES[name](spark, str(tmp_path))
+        rows = {r.token: (r.lines, r.n) for r in found.collect()}
+        assert rows["haus"] == (80, 240) and rows["am"] == (40, 80) and rows["7"] == (1, 2) and len(rows) == 43
+        exchanged = re.findall(r"hashpartitioning\((.*?), \d+\)", found._jdf.queryExecution().toString())
+        assert exchanged and not any("line_id" in keys for keys in exchanged), exchanged
+    rows = [("a", "Haus am Haus", "haus am haus x"), ("b", None, "z z"), ("c", "", ""), ("a", "am See", "am see"), ("a", "am See", "am see"), (None, "Haus", "haus"), (None, "Haus", "haus")]
+    lines = spark.createDataFrame(rows, "line_id string, text string, normalized string")
+    marked, plain = lexical.marked_postings(lines), lexical.postings(lines)
+    assert sorted(map(str, marked.drop("first").collect())) == sorted(map(str, plain.collect()))
+    want = plain.groupBy("token").agg(F.countDistinct("line_id").alias("lines"), F.count("*").alias("n"))
+    assert sorted(map(tuple, lexical.frequencies(marked, lines).collect())) == sorted(map(tuple, want.collect()))
+    for text_ in ("Haus am See", "Haus"):  # one line in two batches
+        spark.createDataFrame([("a", text_), (text_, text_)], "line_id string, text string").coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+        index.follow(spark.readStream.schema("line_id string, text string").parquet(f"{tmp_path}/in"), f"{tmp_path}/index", f"{tmp_path}/state").awaitTermination()
+    assert {tuple(r) for r in index.frequencies(spark, f"{tmp_path}/index").collect()} == {("haus", 3, 8), ("am", 2, 4), ("see", 2, 4)}
+
+
 def test_command_line(spark, tmp_path, capsys):
     lines = spark.createDataFrame([("l1", "d1", 0, "Johann Schmidt", 0.9)], "line_id string, document_id string, page_index int, text string, confidence double")
     lines.withColumn("bbox", F.lit(None).cast("struct<x1:int,y1:int,x2:int,y2:int>")).write.parquet(f"{tmp_path}/lines.parquet")
